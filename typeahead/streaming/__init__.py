@@ -1,0 +1 @@
+"""typeahead.streaming"""
