@@ -44,30 +44,39 @@ def clean_query(c) -> Column:
     return strip_ws(F.regexp_replace(normalize_text(c), CLEAN_DROP, ""))
 
 
-def char_ngrams(c, n: int = 3) -> Column:
-    """Sliding character n-grams of the lower-cased, stripped text.
+def char_ngram_text(c) -> Column:
+    """The text T3 slices: lower-cased and stripped, null -> ''."""
+    return strip_ws(F.lower(F.coalesce(_c(c), F.lit(""))))
 
-    Text shorter than ``n`` gives itself as the only gram; null, empty and
-    whitespace-only text give an empty array (no '' gram).
-    """
-    t = strip_ws(F.lower(F.coalesce(_c(c), F.lit(""))))
-    return ngrams_of(t, n)
-
-
-def ngrams_of(t: Column, n: int) -> Column:
-    """Sliding n-grams of an already prepared text column."""
-    return (F.when(F.length(t) == 0, F.array().cast("array<string>"))
-            .when(F.length(t) < n, F.array(t))
-            .otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1),
-                                   lambda i: F.substring(t, i, n))))
 
+def grams_from_chars(ch: Column, n: int, short_as_self: bool = True) -> Column:
+    """Sliding n-grams over an array of characters.
 
-def char_trigrams_strict(c) -> Column:
-    """T4: trigrams with no strip and no lower; [] when shorter than 3."""
-    t = F.coalesce(_c(c), F.lit(""))
-    return (F.when(F.length(t) < 3, F.array().cast("array<string>"))
-            .otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 2),
-                                   lambda i: F.substring(t, i, 3))))
+    Indexing a character array keeps the work linear in the text length
+    (``substring`` on UTF-8 would walk from the start for every position).
+    ``ch`` must be a column reference: the lambda reads it once per gram.
+    """
+    size = F.size(ch)
+    empty = F.array().cast("array<string>")
+    short = F.array(F.array_join(ch, "")) if short_as_self else empty
+    # split('', '') yields [''], so a one-element array of '' is empty text.
+    is_empty = (size == 0) | ((size == 1) & (F.element_at(ch, 1) == ""))
+    grams = F.transform(F.sequence(F.lit(1), size - n + 1),
+                        lambda i: F.concat(*[F.element_at(ch, i + j) for j in range(n)]))
+    return F.when(is_empty, empty).when(size < n, short).otherwise(grams)
+
+
+def add_char_ngrams(df, col: str, out: str, n: int = 3, strict: bool = False):
+    """T3 (``strict=False``) / T4 (``strict=True``) as a new array column.
+
+    T3: lower, strip, text shorter than ``n`` gives itself, empty gives [].
+    T4: raw text, no strip or lower, [] when shorter than 3.
+    The character array is projected first so each row is split once.
+    """
+    src = F.coalesce(F.col(col), F.lit("")) if strict else char_ngram_text(col)
+    tmp = f"__chars_{out}"
+    df = df.withColumn(tmp, F.split(src, ""))
+    return df.withColumn(out, grams_from_chars(F.col(tmp), n, short_as_self=not strict)).drop(tmp)
 
 
 def word_tokens(c) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, md5_int, word_tokens
+from ..functions.text import add_char_ngrams, md5_int, word_tokens
 from .topk import topk_per_key
 
 # Okapi BM25 defaults of the scorer the reference calls.
@@ -36,7 +36,7 @@ class BM25Index:
 
 def bm25_postings(pool: DataFrame, text: str = "query", n: int = 3) -> DataFrame:
     """B1: ``(query, gram, tf)`` plus the document length ``dl`` (grams with repeats)."""
-    docs = pool.select(F.col(text).alias("query"), char_ngrams(text, n).alias("grams"))
+    docs = add_char_ngrams(pool.select(F.col(text).alias("query")), "query", "grams", n)
     docs = docs.select("query", F.size("grams").alias("dl"), F.explode("grams").alias("gram"))
     return docs.groupBy("gram", "query", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -50,7 +50,7 @@ def bm25_index(pool: DataFrame, text: str = "query", n: int = 3,
     ``epsilon`` times the mean IDF over the vocabulary.  The three scalars
     come from one-row aggregates.
     """
-    lens = pool.select(F.size(char_ngrams(text, n)).alias("dl"))
+    lens = add_char_ngrams(pool.select(text), text, "grams", n).select(F.size("grams").alias("dl"))
     n_docs, total = lens.agg(F.count(F.lit(1)), F.sum("dl")).first()
     n_docs = int(n_docs)
     avgdl = float(total or 0) / n_docs if n_docs else 0.0
@@ -76,7 +76,8 @@ def bm25_corpus_stats(index: BM25Index) -> DataFrame:
 def prefix_grams(prefixes: DataFrame, col: str = "prefix", n: int = 3) -> DataFrame:
     """Distinct prefixes exploded to ``(prefix, gram, qtf)``; a gram repeated
     in the prefix counts once per occurrence."""
-    p = prefixes.select(col).distinct().select(col, F.explode(char_ngrams(col, n)).alias("gram"))
+    p = add_char_ngrams(prefixes.select(col).distinct(), col, "grams", n)
+    p = p.select(col, F.explode("grams").alias("gram"))
     return p.groupBy(col, "gram").agg(F.count(F.lit(1)).alias("qtf"))
 
 

@@ -13,7 +13,7 @@ from .registry import register
 N_BM25 = 250
 
 _BM25_CTE = f""",
-docs AS (SELECT query, {S.char_ngrams('query')} AS grams FROM fx_pool),
+docs AS {S.grams_table('fx_pool', 'query', 'query')},
 stats AS (SELECT count(*) AS n, sum(len(grams)) / count(*) AS avgdl FROM docs),
 post AS (SELECT query, g AS gram, CAST(count(*) AS BIGINT) AS tf, any_value(len(grams)) AS dl
          FROM docs, unnest(grams) AS u(g) GROUP BY query, g),
@@ -21,7 +21,7 @@ dfs AS (SELECT gram, CAST(count(*) AS BIGINT) AS df FROM post GROUP BY gram),
 idf0 AS (SELECT gram, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats),
 idf AS (SELECT gram, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM idf0) ELSE r END AS idf FROM idf0),
 pg AS (SELECT prefix, g AS gram, count(*) AS qtf
-       FROM (SELECT prefix, {S.char_ngrams('prefix')} AS grams FROM (SELECT DISTINCT prefix FROM fx_test)),
+       FROM {S.grams_table('(SELECT DISTINCT prefix FROM fx_test)', 'prefix', 'prefix')},
             unnest(grams) AS u(g) GROUP BY prefix, g),
 scores AS (SELECT prefix, query AS candidate,
                   round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS bm25_score

@@ -25,10 +25,17 @@ def ngrams_of(t: str, n: int = 3) -> str:
 
 
 def char_ngrams(x: str, n: int = 3) -> str:
-    """T3 in DuckDB."""
+    """T3 in DuckDB (prepared text inlined; fine for short strings)."""
     return ngrams_of(strip(f"lower(coalesce({x}, ''))"), n)
 
 
+def grams_table(src: str, keys: str, x: str, n: int = 3, out: str = "grams") -> str:
+    """``SELECT keys, grams`` with the prepared text computed once per row."""
+    t = "__t"
+    return (f"(SELECT {keys}, {ngrams_of(t, n)} AS {out} FROM "
+            f"(SELECT {keys}, {strip(f'lower(coalesce({x}, ' + chr(39) * 2 + '))')} AS {t} FROM {src}))")
+
+
 def word_tokens(x: str) -> str:
     return f"regexp_extract_all(lower(coalesce({x}, '')), '{WORD_TOKEN}')"
 
