@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 
-EMPTY = F.array().cast("array<string>")
+
+def _empty():
+    return F.array().cast("array<string>")
 
 
 def guard_empty_prefix(test: DataFrame, lists: DataFrame, key_col: str = "prefix_clean",
@@ -23,7 +25,7 @@ def guard_empty_prefix(test: DataFrame, lists: DataFrame, key_col: str = "prefix
     t = test.select(F.coalesce(F.col("prefix"), F.lit("")).alias("prefix"))
     t = t.withColumn("_k", F.when(F.col("prefix") == "", F.lit(None)).otherwise(key_fn(F.col("prefix"))))
     j = t.join(lists.withColumnRenamed(key_col, "_k"), "_k", "left")
-    return j.select("prefix", F.coalesce(F.col(list_col), EMPTY).alias(list_col))
+    return j.select("prefix", F.coalesce(F.col(list_col), _empty()).alias(list_col))
 
 
 def candidate_union(bm25: DataFrame, dense: DataFrame, default_distance: float = 1000.0) -> DataFrame:

@@ -63,3 +63,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def reuse(df):
+    """Keep a DataFrame that several later stages read (memory, spilling to disk).
+
+    A lost executor only recomputes its own partitions from lineage.
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
