@@ -94,7 +94,9 @@ def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool):
             S = -(G + (right["bias"].to_numpy(dtype=np.float64)[None, :] if has_bias else 0.0))
         kk = min(k, S.shape[1])
         thr = np.partition(S, kk - 1, axis=1)[:, kk - 1][:, None]
-        rows, cols_i = np.nonzero(S <= thr + 1e-9)
+        # keep everything within the rounding step of the k-th value: the
+        # final per-probe ranking runs on rounded scores, ties by item key
+        rows, cols_i = np.nonzero(S <= thr + 1e-6)
         if metric == "l2":
             # exact distance for the kept pairs, summed directly
             diff = P[rows] - Q[cols_i]
@@ -115,18 +117,20 @@ def block_topk(probes: DataFrame, pool: DataFrame, k: int, metric: str = "l2",
     (+ optional per-item ``bias``) descending.  Ties by item key.
     Output ``(probe_key, item_key, score, rank)``.
     """
-    n_p = probes.count()
-    n_q = pool.count()
-    B = max(1, math.ceil(n_p / probe_block))
-    M = max(1, math.ceil(n_q / pool_block))
+    from ..session import reuse
     ptype = dict(probes.dtypes)[probe_key]
     itype = dict(pool.dtypes)[item_key]
     pcols = [F.col(probe_key), F.col(vec).alias("vec")]
     icols = [F.col(item_key), F.col(vec).alias("vec")] + ([F.col(bias).alias("bias")] if bias else [])
-    p = (probes.select(*pcols)
+    # Both sides are read twice (row count, then the blocks): keep them.
+    probes, pool = reuse(probes.select(*pcols)), reuse(pool.select(*icols))
+    n_p, n_q = probes.count(), pool.count()
+    B = max(1, math.ceil(n_p / probe_block))
+    M = max(1, math.ceil(n_q / pool_block))
+    p = (probes
          .withColumn("b", F.pmod(F.xxhash64(probe_key), F.lit(B)))
          .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(M - 1)))))
-    q = (pool.select(*icols)
+    q = (pool
          .withColumn("m", F.pmod(F.xxhash64(item_key), F.lit(M)))
          .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
     schema = f"{probe_key} {ptype}, {item_key} {itype}, score double"
