@@ -1 +1,123 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks.
+
+Each writer query writes into the shared checkpoint folder and returns what
+it reads back, so the round trip itself is what gets checked.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.candidates import guard_empty_prefix
+from ..operators.profile import prefix_query_freq
+from ..operators.topk import collect_ranked_list, topk_per_key
+from ..session import scratch_path
+from ..sources import fixtures as fx
+from ..sources import sinks as SK
+from ..sources.tables import load_inputs, table_profile
+from . import sqlfrag as S
+from .registry import register
+
+K = 150
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"io/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _submission(spark, d):
+    """History-strategy submission: top 150 past queries per test prefix."""
+    hist = prefix_query_freq(fx.fx_train(spark, d)).withColumnRenamed("query_clean", "candidate")
+    lists = collect_ranked_list(topk_per_key(hist, "prefix_clean", "freq", K), "prefix_clean")
+    return guard_empty_prefix(fx.fx_test(spark, d), lists)
+
+
+_SUB_SQL = fx.with_fx("fx_train", "fx_test") + f"""
+, hist AS (SELECT {S.norm('prefix')} AS prefix_clean, {S.norm('query')} AS query_clean, count(*) AS freq
+           FROM fx_train GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix_clean ORDER BY freq DESC, query_clean) AS r
+        FROM hist) WHERE r <= {K}),
+lists AS (SELECT prefix_clean, list(query_clean ORDER BY r) AS l FROM top GROUP BY 1),
+sub AS (SELECT coalesce(t.prefix, '') AS prefix,
+               CASE WHEN coalesce(t.prefix, '') = '' THEN []::VARCHAR[] ELSE coalesce(l, []::VARCHAR[]) END AS l
+        FROM fx_test t LEFT JOIN lists ON lists.prefix_clean = {S.norm('t.prefix')})
+"""
+
+
+@register("load_tables", fx.with_fx("fx_train", "fx_test", "fx_query_features", "fx_pool") + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST({n} AS BIGINT) AS n_cols FROM {v}"
+    for t, v, n in (("train", "fx_train", 2), ("test", "fx_test", 1),
+                    ("features", "fx_query_features", 5), ("pool", "fx_pool", 1))))
+def q_load_tables(spark, d):
+    base = _scratch(spark, "inputs")
+    paths = {}
+    for name, df in fx.inputs(spark, d).items():
+        p = os.path.join(base, name)
+        df.write.mode("overwrite").parquet(p)
+        paths[name] = p
+    return table_profile(load_inputs(spark, paths))
+
+
+@register("write_submission_parquet", _SUB_SQL
+          + "SELECT prefix, CAST(len(l) AS INT) AS n_items, array_to_string(l, '|') AS items FROM sub")
+def q_write_submission_parquet(spark, d):
+    p = _scratch(spark, "submission_parquet")
+    SK.write_submission_parquet(_submission(spark, d), p)
+    back = spark.read.parquet(p)
+    return back.select("prefix", F.size("retrieved_queries").alias("n_items"),
+                       F.array_join("retrieved_queries", "|").alias("items"))
+
+
+@register("write_submission_csv_json", _SUB_SQL
+          + "SELECT prefix, CAST(to_json(l) AS VARCHAR) AS retrieved_queries FROM sub")
+def q_write_submission_csv_json(spark, d):
+    p = _scratch(spark, "submission_csv")
+    SK.write_submission_csv_json(_submission(spark, d), p)
+    back = (spark.read.option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .schema("prefix string, retrieved_queries string").csv(p))
+    return back.select(F.coalesce("prefix", F.lit("")).alias("prefix"), "retrieved_queries")
+
+
+@register("format_submission_delimited", _SUB_SQL
+          + "SELECT prefix, coalesce(array_to_string(l, ','), '') AS retrieved_queries FROM sub")
+def q_format_submission_delimited(spark, d):
+    return SK.format_submission_delimited(_submission(spark, d))
+
+
+@register("submission_inspection", _SUB_SQL
+          + "SELECT prefix, array_to_string(l[1:10], '|') AS top_10_queries, CAST(len(l) AS INT) AS num_queries FROM sub")
+def q_submission_inspection(spark, d):
+    s = SK.submission_inspection(_submission(spark, d))
+    return s.select("prefix", F.array_join("top_10_queries", "|").alias("top_10_queries"), "num_queries")
+
+
+@register("write_training_table")
+def q_write_training_table(spark, d):
+    from . import track_c as TC
+    from ..operators.features import FEATURE_COLUMNS
+    ins = fx.inputs(spark, d)
+    ds = TC.reranking_dataset(ins["train"], ins["pool"], ins["features"])
+    p = _scratch(spark, "training_table")
+    SK.write_training_table(ds, p, FEATURE_COLUMNS)
+    return spark.read.parquet(os.path.join(p, "parquet"))
+
+
+@register("model_metadata")
+def q_model_metadata(spark, d):
+    from . import track_c as TC
+    from ..operators.evaluate import roc_auc
+    from ..operators.features import FEATURE_COLUMNS
+    from .q_features import _model
+    _, prep, model = _model(spark, d)
+    scored = model.transform(prep).select("target", F.expr("vector_to_array(probability)[1]").alias("score"))
+    auc = roc_auc(scored).first()["auc"]
+    p = _scratch(spark, "model")
+    TC.save_model(model, p, FEATURE_COLUMNS, {"auc": auc})
+    m, meta = TC.load_model(p)
+    return spark.createDataFrame([(meta["model_type"], meta["n_features"], meta["n_trees"],
+                                   float(meta["metrics"]["auc"]))],
+                                 "model_type string, n_features int, n_trees int, auc double")
