@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
@@ -219,7 +220,7 @@ def q_train_reranker(spark, d):
     _, prep, model = _model(spark, d)
     out = model.transform(prep)
     return out.select("prefix", "candidate", "target", "is_valid",
-                      F.round(F.expr("vector_to_array(probability)[1]"), 6).alias("score"))
+                      F.round(vector_to_array(F.col("probability"))[1], 6).alias("score"))
 
 
 @register("feature_importance")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators.candidates import guard_empty_prefix
@@ -113,7 +114,7 @@ def q_model_metadata(spark, d):
     from ..operators.features import FEATURE_COLUMNS
     from .q_features import _model
     _, prep, model = _model(spark, d)
-    scored = model.transform(prep).select("target", F.expr("vector_to_array(probability)[1]").alias("score"))
+    scored = model.transform(prep).select("target", vector_to_array(F.col("probability"))[1].alias("score"))
     auc = roc_auc(scored).first()["auc"]
     p = _scratch(spark, "model")
     TC.save_model(model, p, FEATURE_COLUMNS, {"auc": auc})
