@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reuse
+
 # Fixed values of the fuzzy stage.
 FUZZY_MIN_LEN, FUZZY_MAX_LEN = 2, 20
 FUZZY_LIMIT = 50
@@ -82,8 +84,11 @@ def fuzzy_window_levenshtein(prefixes: DataFrame, popular: DataFrame,
     d = F.floor(F.col("plen") * (1 - threshold / 100.0) + 1e-9)
     dm = F.floor(F.length("prefix_clean") * (1 - threshold / 100.0) + 1e-9)
     bigram_ok = (F.length("prefix_clean") - 1) - 2 * dm >= 1
-    pairs = (blocked_pairs(pf.where(bigram_ok), popular, d, q=2)
-             .unionByName(blocked_pairs(pf.where(~bigram_ok), popular, d, q=1)))
+    # Persisting the pairs also stops Catalyst from pushing the score filter
+    # below the distinct into the blocking join, where every pair would be
+    # scored once per shared gram.
+    pairs = reuse(blocked_pairs(pf.where(bigram_ok), popular, d, q=2)
+                  .unionByName(blocked_pairs(pf.where(~bigram_ok), popular, d, q=1)))
     s = pairs.select("prefix_clean", "query_clean",
                      F.round(window_levenshtein_score(), 6).alias("fuzzy_score"))
     s = s.where(F.col("fuzzy_score") >= threshold)
@@ -146,6 +151,7 @@ def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
              .select("prefix_clean", "query_clean")
              .unionByName(short_pairs.join(lq, "query_clean").where(F.length("prefix_clean") > F.col("_ql"))
                           .select("prefix_clean", "query_clean")))
+    pairs = reuse(pairs)
     s = pairs.withColumn("fuzzy_score", partial_ratio_udf("prefix_clean", "query_clean"))
     s = s.where(F.col("fuzzy_score") >= threshold)
     w = Window.partitionBy("prefix_clean").orderBy(F.col("fuzzy_score").desc(), F.col("query_clean").asc())
