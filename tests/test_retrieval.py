@@ -102,3 +102,19 @@ def test_partial_ratio_examples():
     assert abs(FZ.partial_ratio("ifon", "iphone") - 200.0 * 2 / 7) < 1e-9
     assert FZ.partial_ratio("abc", "xxabcxx") == 100.0
     assert FZ.partial_ratio("", "abc") == 0.0
+
+
+def test_sample_negatives_bounds(spark):
+    from typeahead.operators.features import sample_negatives
+    cands = spark.createDataFrame([("p", f"c{i}") for i in range(30)] + [("q", "x"), ("q", "y")],
+                                  "prefix string, candidate string")
+    pairs = spark.createDataFrame([("p", "c3"), ("p", "zz"), ("q", "x"), ("r", "x")], "prefix string, query string")
+    got = sample_negatives(pairs, cands).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.prefix, r.query), []).append(r.candidate)
+    for (p, q), negs in by.items():
+        assert q not in negs and len(set(negs)) == len(negs)
+    assert 5 <= len(by[("p", "c3")]) <= 10 and 5 <= len(by[("p", "zz")]) <= 10
+    assert by[("q", "x")] == ["y"]
+    assert ("r", "x") not in by

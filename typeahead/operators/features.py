@@ -75,20 +75,36 @@ def align_features(df: DataFrame, names: list[str], keep: list[str] | None = Non
     return df.select(*(keep or []), *cols).na.fill(0.0, names)
 
 
-def sample_negatives(pairs_cands: DataFrame, seed: int = 42, n_min: int = 5, n_max: int = 10) -> DataFrame:
-    """H2: per ``(prefix, query)`` pair, ``n_min + hash % (n_max-n_min+1)``
-    distinct candidates other than the true query, in ``md5`` order.
-
-    Input rows ``(prefix, query, candidate)``; pairs without any negative
-    produce nothing.  The per-pair window first keeps ``n_max`` rows, which
-    Spark turns into a ``WindowGroupLimit`` before the shuffle.
+def sample_negatives(pairs: DataFrame, cands: DataFrame, seed: int = 42,
+                     n_min: int = 5, n_max: int = 10) -> DataFrame:
+    """H2: for each ``(prefix, query)`` pair, ``n_min + hash % (n_max-n_min+1)``
+    distinct candidates of the prefix other than the true query.
+
+    The candidates of a prefix are put in a seeded hash order once (a window
+    over at most the prefix's candidate list).  Each pair then reads a run
+    of ``n_max + 1`` consecutive positions starting at a hash of the pair, by
+    an equi-join on ``(prefix, position)``, so the work is ``n_max + 1`` rows
+    per pair however many pairs share a hot prefix; no pair is ever combined
+    with the whole candidate list.  A pair whose prefix has no candidate but
+    the true query yields nothing.
     """
-    neg = pairs_cands.where(F.col("candidate") != F.col("query"))
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), "prefix", "query", "candidate"))
-    want = F.lit(n_min) + md5_int(F.concat_ws("|", F.lit(str(seed)), "prefix", "query")) % (n_max - n_min + 1)
-    w = Window.partitionBy("prefix", "query").orderBy(h, F.col("candidate"))
-    r = neg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_max)
-    return r.where(F.col("_r") <= want).drop("_r")
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), "prefix", "candidate"))
+    w = Window.partitionBy("prefix").orderBy(h, F.col("candidate"))
+    ranked = cands.select("prefix", "candidate").withColumn("pos", F.row_number().over(w) - 1)
+    sizes = ranked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n_cands"))
+    key = F.concat_ws("|", F.lit(str(seed)), "prefix", "query")
+    p = pairs.join(sizes, "prefix").select(
+        "prefix", "query", "n_cands",
+        (F.lit(n_min) + md5_int(key) % (n_max - n_min + 1)).alias("want"),
+        (md5_int(F.concat(key, F.lit("|start"))) % F.col("n_cands")).alias("start"))
+    p = p.select("prefix", "query", "want",
+                 F.explode(F.sequence(F.lit(0), F.least(F.lit(n_max), F.col("n_cands") - 1))).alias("j"),
+                 "start", "n_cands")
+    p = p.withColumn("pos", (F.col("start") + F.col("j")) % F.col("n_cands"))
+    neg = p.join(ranked, ["prefix", "pos"]).where(F.col("candidate") != F.col("query"))
+    wj = Window.partitionBy("prefix", "query").orderBy("j")
+    neg = neg.withColumn("_r", F.row_number().over(wj)).where(F.col("_r") <= F.col("want"))
+    return neg.select("prefix", "query", "candidate")
 
 
 def stratified_split(df: DataFrame, key: str, seed: int = 42, valid_share: float = 0.2,

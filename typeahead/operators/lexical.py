@@ -50,14 +50,14 @@ def bm25_index(pool: DataFrame, text: str = "query", n: int = 3,
     ``epsilon`` times the mean IDF over the vocabulary.  The three scalars
     come from one-row aggregates.
     """
-    lens = add_char_ngrams(pool.select(text), text, "grams", n).select(F.size("grams").alias("dl"))
-    n_docs, total = lens.agg(F.count(F.lit(1)), F.sum("dl")).first()
-    n_docs = int(n_docs)
-    avgdl = float(total or 0) / n_docs if n_docs else 0.0
-    post = bm25_postings(pool, text, n)
+    from ..session import reuse
+    post = reuse(bm25_postings(pool, text, n))
+    n_docs = int(pool.count())
+    total = post.agg(F.sum("tf")).first()[0] or 0
+    avgdl = float(total) / n_docs if n_docs else 0.0
     df = post.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = df.withColumn("idf_raw", raw)
+    df = reuse(df.withColumn("idf_raw", raw))
     mean_idf = df.agg(F.avg("idf_raw")).first()[0] or 0.0
     idf = df.select("gram", "df", F.when(F.col("idf_raw") < 0, F.lit(epsilon * mean_idf))
                     .otherwise(F.col("idf_raw")).alias("idf"))

@@ -69,9 +69,11 @@ def reranking_dataset(train: DataFrame, pool: DataFrame, features: DataFrame, se
     r = build_retrieval(pool)
     pemb = prefix_embeddings(pairs)
     cands = reuse(candidates(r, pairs.select("prefix"), pemb))
-    pc = pairs.join(cands.select("prefix", "candidate"), "prefix")
-    neg = FT.sample_negatives(pc, seed).select("prefix", "candidate", F.lit(0).alias("target"))
-    pos = pairs.select("prefix", F.col("query").alias("candidate"), F.lit(1).alias("target"))
+    sampled = reuse(FT.sample_negatives(pairs, cands, seed))
+    neg = sampled.select("prefix", "candidate", F.lit(0).alias("target"))
+    # a pair without any negative is skipped entirely, its positive too
+    kept = pairs.join(sampled.select("prefix", "query").distinct(), ["prefix", "query"], "left_semi")
+    pos = kept.select("prefix", F.col("query").alias("candidate"), F.lit(1).alias("target"))
     # true queries missed by retrieval enter with scores (0, 0)
     scored = ensure_true_query(cands, pairs)
     rows = pos.unionByName(neg).join(scored, ["prefix", "candidate"], "left").na.fill(0.0, ["bm25_score"])

@@ -1 +1,8 @@
-"""typeahead.streaming"""
+"""typeahead.streaming
+
+Intentionally empty: the reference reads four finite tables once and has no
+stream, watermark, window or state.  New test prefixes arriving as files can
+be scored by running the batch plans (``plans.track_a.cascade_topk``,
+``plans.track_c.rerank_topk``) from ``foreachBatch``; no stateful operator is
+needed for that, so none is built.
+"""
