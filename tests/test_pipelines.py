@@ -25,3 +25,22 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_backfill_fills_short_lists_exactly(spark):
+    """H4: short lists are filled to k with unlisted pool queries in md5 order."""
+    import hashlib
+
+    from typeahead.operators.prefix import backfill_random
+    pool = spark.createDataFrame([(f"q{i}",) for i in range(12)], "query_clean string")
+    lists = spark.createDataFrame([("a", "q1", 1), ("a", "q2", 2), ("b", f"q{0}", 1)] +
+                                  [("c", f"q{i}", i + 1) for i in range(5)],
+                                  "prefix_clean string, query_clean string, rank int")
+    got = backfill_random(lists, pool, 5).collect()
+    order = sorted((f"q{i}" for i in range(12)), key=lambda q: (hashlib.md5(f"42|{q}".encode()).hexdigest(), q))
+    for p, listed in (("a", {"q1", "q2"}), ("b", {"q0"})):
+        rows = sorted((r.rank, r.query_clean) for r in got if r.prefix_clean == p)
+        want = [q for q in order if q not in listed][:5 - len(listed)]
+        assert [q for _, q in rows] == want
+        assert [r for r, _ in rows] == list(range(len(listed) + 1, 6))
+    assert not [r for r in got if r.prefix_clean == "c"]

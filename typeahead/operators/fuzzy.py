@@ -99,15 +99,19 @@ def fuzzy_window_levenshtein(prefixes: DataFrame, popular: DataFrame,
 # ------------------------------------------------------------ partial ratio
 
 def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel over ``a``
+    (one word-sized update per character of ``b``)."""
     if not a or not b:
         return 0
-    prev = [0] * (len(b) + 1)
-    for ca in a:
-        cur = [0]
-        for j, cb in enumerate(b):
-            cur.append(prev[j] + 1 if ca == cb else max(prev[j + 1], cur[j]))
-        prev = cur
-    return prev[-1]
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    v = full
+    for ch in b:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - bin(v).count("1")
 
 
 def partial_ratio(s1: str, s2: str) -> float:
@@ -151,7 +155,15 @@ def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
              .select("prefix_clean", "query_clean")
              .unionByName(short_pairs.join(lq, "query_clean").where(F.length("prefix_clean") > F.col("_ql"))
                           .select("prefix_clean", "query_clean")))
-    pairs = reuse(pairs)
+    # Exact upper bound before the Python scorer: LCS never exceeds the
+    # multiset intersection I of the two character bags, and the best window
+    # score is at most 200·I/(n + I) for the shorter length n.
+    pc, qc = F.split("prefix_clean", ""), F.split("query_clean", "")
+    inter = F.aggregate(F.array_distinct(pc), F.lit(0), lambda acc, c: acc + F.least(
+        F.size(F.filter(pc, lambda x: x == c)), F.size(F.filter(qc, lambda x: x == c))))
+    n = F.least(F.length("prefix_clean"), F.length("query_clean"))
+    i = F.least(inter, n)
+    pairs = reuse(pairs.where(F.lit(200.0) * i / (n + i) >= threshold - 1e-9))
     s = pairs.withColumn("fuzzy_score", partial_ratio_udf("prefix_clean", "query_clean"))
     s = s.where(F.col("fuzzy_score") >= threshold)
     w = Window.partitionBy("prefix_clean").orderBy(F.col("fuzzy_score").desc(), F.col("query_clean").asc())

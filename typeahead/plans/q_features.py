@@ -180,16 +180,23 @@ def q_method_set_ops(spark, d):
 
 # ------------------------------------------------------------- labelled rows
 
-@register("reranking_dataset")
-def q_reranking_dataset(spark, d):
+def _reranking_dataset(spark, d):
     ins = fx.inputs(spark, d)
     return TC.reranking_dataset(ins["train"], ins["pool"], ins["features"])
 
 
-@register("sample_negatives")
-def q_sample_negatives(spark, d):
-    ds = q_reranking_dataset(spark, d)
-    return ds.where("target = 0").select("prefix", "candidate")
+def _late_register():
+    register("reranking_dataset", _m6_select_sql())(lambda spark, d: _m6_select(_reranking_dataset(spark, d)))
+    register("sample_negatives", _m6_sql() + "SELECT prefix, query, candidate FROM neg")(
+        lambda spark, d: _sample_negatives(spark, d))
+
+
+def _sample_negatives(spark, d):
+    ins = fx.inputs(spark, d)
+    pairs = ins["train"].dropna(subset=["prefix", "query"]).select("prefix", "query").distinct()
+    r = TC.build_retrieval(ins["pool"])
+    cands = TC.candidates(r, pairs.select("prefix"), TC.prefix_embeddings(pairs))
+    return FT.sample_negatives(pairs, cands)
 
 
 @register("ensure_true_query")
@@ -238,6 +245,58 @@ def q_rerank_topk(spark, d):
 @register("explain_prefix")
 def q_explain_prefix(spark, d):
     ins, _, model = _model(spark, d)
-    # the inspection report covers the five alphabetically first test prefixes
-    few = ins["test"].select("prefix").distinct().orderBy("prefix").limit(5)
-    return TC.explain_prefix(model, few, ins["pool"], ins["features"])
+    prefixes = ins["test"].select("prefix").where(F.col("prefix").isNotNull()).distinct()
+    return TC.explain_prefix(model, prefixes, ins["pool"], ins["features"])
+
+
+# ------------------------------------------------------ labelled rows oracle
+
+def _m6_sql() -> str:
+    head = fx.with_fx("fx_pool", "fx_test", "fx_query_features")[:-1]
+    body = _CU[len(head):].replace("(SELECT DISTINCT prefix FROM fx_test)", "(SELECT DISTINCT prefix FROM pairs)")
+    new_head = (fx.with_fx("fx_pool", "fx_train", "fx_query_features")[:-1]
+                + ",\npairs AS (SELECT DISTINCT prefix, query FROM fx_train "
+                  "WHERE prefix IS NOT NULL AND query IS NOT NULL)")
+    pre, post = body.split("\ncs AS (", 1)
+    pre += "\n"
+    md5i = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+    key = "'42|' || p.prefix || '|' || p.query"
+    labelled = f"""ranked AS (SELECT prefix, candidate, row_number() OVER (PARTITION BY prefix
+   ORDER BY md5('42|' || prefix || '|' || candidate), candidate) - 1 AS pos FROM cu),
+sizes AS (SELECT prefix, count(*) AS n FROM ranked GROUP BY prefix),
+pp AS (SELECT p.prefix, p.query, s.n, 5 + {md5i.format(key)} % 6 AS want,
+              {md5i.format(key + " || '|start'")} % s.n AS start FROM pairs p JOIN sizes s ON s.prefix = p.prefix),
+slots AS (SELECT prefix, query, want, j, (start + j) % n AS pos FROM pp, unnest(range(0, least(10, n - 1) + 1)) AS u(j)),
+neg0 AS (SELECT s.prefix, s.query, r.candidate, s.j, s.want FROM slots s JOIN ranked r
+         ON r.prefix = s.prefix AND r.pos = s.pos WHERE r.candidate <> s.query),
+neg AS (SELECT prefix, query, candidate FROM (SELECT *, row_number() OVER (PARTITION BY prefix, query ORDER BY j) AS rr
+        FROM neg0) WHERE rr <= want),
+rws AS (SELECT DISTINCT prefix, query AS candidate, 1 AS target FROM neg
+        UNION ALL SELECT prefix, candidate, 0 FROM neg),
+sc AS (SELECT prefix, candidate, bm25_score, semantic_distance FROM cu
+       UNION ALL SELECT p.prefix, p.query, 0e0, 0e0 FROM pairs p
+       WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.prefix = p.prefix AND cu.candidate = p.query)),
+fin AS (SELECT r.prefix, r.candidate, r.target, coalesce(sc.bm25_score, 0e0) AS bm25_score, sc.semantic_distance
+        FROM rws r LEFT JOIN sc ON sc.prefix = r.prefix AND sc.candidate = r.candidate),
+"""
+    post = post.replace("FROM cu UNION SELECT DISTINCT candidate FROM cu", "FROM fin UNION SELECT DISTINCT candidate FROM fin")
+    post = post.replace("feat AS (SELECT cu.prefix, cu.candidate,", "feat AS (SELECT cu.prefix, cu.candidate, cu.target,")
+    post = post.replace(" FROM cu JOIN cs a", " FROM fin cu JOIN cs a")
+    post = post.replace("JOIN (SELECT te.prefix, pl.query AS candidate", "LEFT JOIN (SELECT te.prefix, pl.query AS candidate")
+    return new_head + pre + labelled + "cs AS (" + post
+
+
+_M6_OUT = ["prefix", "candidate", "target", "semantic_distance"] + FT.FEATURE_COLUMNS
+_M6_ROUND = ("cosine_similarity", "bm25_score", "length_ratio", "char_jaccard", "semantic_distance")
+
+
+def _m6_select_sql() -> str:
+    return _m6_sql() + "SELECT " + ", ".join(
+        f"round({c}, 6) AS {c}" if c in _M6_ROUND else c for c in _M6_OUT) + " FROM feat"
+
+
+def _m6_select(ds):
+    return ds.select(*[F.round(c, 6).alias(c) if c in _M6_ROUND else F.col(c) for c in _M6_OUT])
+
+
+_late_register()

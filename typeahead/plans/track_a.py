@@ -21,7 +21,7 @@ from ..operators import prefix as R
 from ..operators.candidates import guard_empty_prefix
 from ..operators.profile import prefix_query_freq
 from ..operators.topk import collect_ranked_list, topk_per_key
-from ..session import reuse
+from ..session import cut, reuse
 
 TOP_K = 150
 
@@ -61,7 +61,7 @@ def cascade_candidates(a: TrackA, prefixes: DataFrame, k: int = TOP_K,
                   (F.col("fuzzy_score") / 100.0 * R.FUZZY_BASE
                    + F.coalesce("popularity_norm", F.lit(0.0)) * R.FUZZY_POP).alias("score"))
           .withColumn("stage", F.lit(3)))
-    c3 = reuse(c2.unionByName(s3))
+    c3 = cut(c2.unionByName(s3))
     n3 = R.needy(p, c3, k)
     s4 = R.popularity_fallback(n3, c3, R.popular_list(a.scored, 2 * k), k).withColumn("stage", F.lit(4))
     return c3.unionByName(s4).withColumn("score", F.round("score", 6))

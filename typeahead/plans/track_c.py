@@ -25,7 +25,7 @@ from ..operators import features as FT
 from ..operators import lexical as L
 from ..operators.candidates import candidate_union, ensure_true_query, guard_empty_prefix
 from ..operators.topk import collect_ranked_list, topk_per_key
-from ..session import reuse
+from ..session import cut, reuse
 
 N_LEXICAL = 250
 N_DENSE = 250
@@ -68,7 +68,7 @@ def reranking_dataset(train: DataFrame, pool: DataFrame, features: DataFrame, se
     pairs = reuse(train.dropna(subset=["prefix", "query"]).select("prefix", "query").distinct())
     r = build_retrieval(pool)
     pemb = prefix_embeddings(pairs)
-    cands = reuse(candidates(r, pairs.select("prefix"), pemb))
+    cands = cut(candidates(r, pairs.select("prefix"), pemb))
     sampled = reuse(FT.sample_negatives(pairs, cands, seed))
     neg = sampled.select("prefix", "candidate", F.lit(0).alias("target"))
     # a pair without any negative is skipped entirely, its positive too

@@ -72,3 +72,11 @@ def reuse(df):
     """
     from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def cut(df):
+    """Write a stage result to the shared checkpoint folder and continue from
+    it: later stages (and recovery after a lost executor) read the written
+    table instead of replaying the whole lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
