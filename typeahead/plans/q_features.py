@@ -185,7 +185,30 @@ def _reranking_dataset(spark, d):
     return TC.reranking_dataset(ins["train"], ins["pool"], ins["features"])
 
 
+def _ensure_true_query(spark, d):
+    ins = fx.inputs(spark, d)
+    pairs = ins["train"].dropna(subset=["prefix", "query"]).select("prefix", "query").distinct()
+    r = TC.build_retrieval(ins["pool"])
+    j = C.ensure_true_query(TC.candidates(r, pairs.select("prefix"), TC.prefix_embeddings(pairs)), pairs)
+    return j.select("prefix", "candidate", *_r6(["bm25_score", "semantic_distance"]))
+
+
+def _prepare_features(spark, d):
+    p = TC.prepare_features(_reranking_dataset(spark, d)).drop("features")
+    return p.select("prefix", "candidate", "target", "is_valid", *_r6(FT.FEATURE_COLUMNS))
+
+
+def _prep_sql() -> str:
+    valid = ("(CAST('0x' || substr(md5('42|' || prefix || '|' || candidate), 1, 8) AS BIGINT) % 10000) "
+             "/ 10000e0 < 0.2e0")
+    return _m6_sql() + f"SELECT prefix, candidate, target, {valid} AS is_valid, " + ", ".join(
+        f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in FT.FEATURE_COLUMNS) + " FROM feat"
+
+
 def _late_register():
+    register("ensure_true_query", _m6_sql() + "SELECT prefix, candidate, round(bm25_score, 6) AS bm25_score, "
+             "round(semantic_distance, 6) AS semantic_distance FROM sc")(_ensure_true_query)
+    register("prepare_features", _prep_sql())(_prepare_features)
     register("reranking_dataset", _m6_select_sql())(lambda spark, d: _m6_select(_reranking_dataset(spark, d)))
     register("sample_negatives", _m6_sql() + "SELECT prefix, query, candidate FROM neg")(
         lambda spark, d: _sample_negatives(spark, d))
@@ -199,15 +222,6 @@ def _sample_negatives(spark, d):
     return FT.sample_negatives(pairs, cands)
 
 
-@register("ensure_true_query")
-def q_ensure_true_query(spark, d):
-    ins = fx.inputs(spark, d)
-    pairs = ins["train"].dropna(subset=["prefix", "query"]).select("prefix", "query").distinct()
-    r = TC.build_retrieval(ins["pool"])
-    pemb = TC.prefix_embeddings(pairs)
-    return C.ensure_true_query(TC.candidates(r, pairs.select("prefix"), pemb), pairs)
-
-
 def _model(spark, d):
     ins = fx.inputs(spark, d)
     ds = reuse(TC.reranking_dataset(ins["train"], ins["pool"], ins["features"]))
@@ -215,13 +229,6 @@ def _model(spark, d):
     return ins, prep, TC.train_reranker(prep)
 
 
-@register("prepare_features")
-def q_prepare_features(spark, d):
-    ins = fx.inputs(spark, d)
-    ds = TC.reranking_dataset(ins["train"], ins["pool"], ins["features"])
-    return TC.prepare_features(ds).drop("features")
-
-
 @register("train_reranker")
 def q_train_reranker(spark, d):
     _, prep, model = _model(spark, d)

@@ -96,7 +96,12 @@ def q_submission_inspection(spark, d):
     return s.select("prefix", F.array_join("top_10_queries", "|").alias("top_10_queries"), "num_queries")
 
 
-@register("write_training_table")
+def _m6_oracle():
+    from .q_features import _m6_select_sql
+    return _m6_select_sql()
+
+
+@register("write_training_table", _m6_oracle())
 def q_write_training_table(spark, d):
     from . import track_c as TC
     from ..operators.features import FEATURE_COLUMNS
@@ -104,7 +109,8 @@ def q_write_training_table(spark, d):
     ds = TC.reranking_dataset(ins["train"], ins["pool"], ins["features"])
     p = _scratch(spark, "training_table")
     SK.write_training_table(ds, p, FEATURE_COLUMNS)
-    return spark.read.parquet(os.path.join(p, "parquet"))
+    from .q_features import _m6_select
+    return _m6_select(spark.read.parquet(os.path.join(p, "parquet")))
 
 
 @register("model_metadata")
