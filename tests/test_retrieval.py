@@ -118,3 +118,15 @@ def test_sample_negatives_bounds(spark):
     assert 5 <= len(by[("p", "c3")]) <= 10 and 5 <= len(by[("p", "zz")]) <= 10
     assert by[("q", "x")] == ["y"]
     assert ("r", "x") not in by
+
+
+def test_bm25_pruned_topk_equals_exhaustive(spark, sf):
+    """The MaxScore-pruned top-k equals full scoring on the fixture tables."""
+    from typeahead.sources import fixtures as fx
+    idx = L.bm25_index(fx.fx_pool(spark, sf))
+    test = fx.fx_test(spark, sf)
+    cols = ["prefix", "candidate", "bm25_score", "rank"]
+    for k in (5, 40):
+        a = {tuple(r) for r in L.bm25_topk(idx, test, k, prune=True).select(*cols).collect()}
+        b = {tuple(r) for r in L.bm25_topk(idx, test, k, prune=False).select(*cols).collect()}
+        assert a == b

@@ -63,7 +63,9 @@ def bm25_index(pool: DataFrame, text: str = "query", n: int = 3,
                     .otherwise(F.col("idf_raw")).alias("idf"))
     denom = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
     post = post.withColumn("w", F.col("tf") * F.lit(k1 + 1) / denom)
-    return BM25Index(post, idf, n_docs, avgdl)
+    # the largest doc weight per gram bounds what the gram can add to any score
+    maxw = post.groupBy("gram").agg(F.max("w").alias("maxw"))
+    return BM25Index(post, reuse(idf.join(maxw, "gram")), n_docs, avgdl)
 
 
 def bm25_corpus_stats(index: BM25Index) -> DataFrame:
@@ -89,10 +91,50 @@ def bm25_scores(index: BM25Index, prefixes: DataFrame, col: str = "prefix", n: i
             .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("w")), 6).alias("bm25_score")))
 
 
+def _exact_scores(index: BM25Index, pg: DataFrame, cands: DataFrame, col: str) -> DataFrame:
+    """Exact BM25 of given ``(prefix, query)`` pairs: each pair meets the
+    prefix's grams and looks up its own postings by ``(gram, query)``."""
+    j = (cands.join(pg.select(col, "gram", "qtf", "idf"), col)
+         .join(index.postings.select("gram", "query", "w"), ["gram", "query"]))
+    return (j.groupBy(col, F.col("query").alias("candidate"))
+            .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("w")), 6).alias("bm25_score")))
+
+
 def bm25_topk(index: BM25Index, prefixes: DataFrame, k: int = 300,
-              col: str = "prefix", n: int = 3) -> DataFrame:
-    """Top ``k`` candidates per prefix by BM25, ties by candidate text."""
-    return topk_per_key(bm25_scores(index, prefixes, col, n), col, "bm25_score", k)
+              col: str = "prefix", n: int = 3, prune: bool = True) -> DataFrame:
+    """Top ``k`` candidates per prefix by BM25, ties by candidate text.
+
+    With ``prune`` (exact, MaxScore-style) not every posting of every gram is
+    scored.  Each prefix gram g has an upper bound ``ub = qtf·idf·max_w(g)``
+    on what it adds to any query's score.  First the rarest grams, until
+    their postings hold k queries, give k exactly scored queries and so a
+    threshold θ (the k-th score) that the final k-th score cannot fall below.
+    Grams sorted by ``ub``: the longest low run whose bounds sum below
+    θ − 1e-6 is "non-essential"; a query holding only such grams scores
+    below θ (also after rounding), so only postings of the essential grams
+    are read.  Common grams have small IDF, so their long posting lists are
+    the ones skipped.  Windows here run over one prefix's grams (≤ its length).
+    """
+    from pyspark.sql import Window
+
+    from ..session import reuse
+    if not prune:
+        return topk_per_key(bm25_scores(index, prefixes, col, n), col, "bm25_score", k)
+    pg = prefix_grams(prefixes, col, n).join(index.idf, "gram")
+    pg = reuse(pg.withColumn("ub", F.greatest(F.col("qtf") * F.col("idf") * F.col("maxw"), F.lit(0.0))))
+    post = index.postings.select("gram", "query")
+    rare = Window.partitionBy(col).orderBy(F.col("df").asc(), F.col("gram").asc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    seeds = pg.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("_before") < k)
+    seed_docs = seeds.select(col, "gram").join(post, "gram").select(col, "query").distinct()
+    first = topk_per_key(_exact_scores(index, pg, seed_docs, col), col, "bm25_score", k)
+    theta = first.where(F.col("rank") == k).select(col, F.col("bm25_score").alias("theta"))
+    by_ub = Window.partitionBy(col).orderBy(F.col("ub").asc(), F.col("gram").asc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    g = pg.join(theta, col, "left").withColumn("_cum", F.sum("ub").over(by_ub))
+    essential = g.where(F.col("theta").isNull() | (F.col("_cum") >= F.col("theta") - 1e-6))
+    docs = essential.select(col, "gram").join(post, "gram").select(col, "query").distinct()
+    return topk_per_key(_exact_scores(index, pg, docs, col), col, "bm25_score", k)
 
 
 # ---------------------------------------------------------------- hashed BM25
