@@ -10,7 +10,7 @@ from typeahead.operators import evaluate as E
 def test_knn_l2_matches_numpy(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
     got = D.knn_l2(e.withColumnRenamed("vec_id", "probe_id"), e.withColumnRenamed("vec_id", "item_id"), 5,
-                   probe_block=64, pool_block=128).collect()
+                   probe_block=64, pool_block=128, chunk=16).collect()
     rows = e.orderBy("vec_id").collect()
     ids = np.array([r.vec_id for r in rows])
     X = np.array([r.vec for r in rows], dtype=np.float64)

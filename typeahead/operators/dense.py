@@ -79,40 +79,54 @@ def scale_l2(a, factor: float, eps: float = 1e-10) -> Column:
 
 # ------------------------------------------------------------------ exact k-NN
 
-def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool):
+def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool, chunk: int = 512):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = [pk, ik, "score"]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({c: [] for c in cols})
-        P = np.stack(left["vec"].to_numpy()).astype(np.float64)
         Q = np.stack(right["vec"].to_numpy()).astype(np.float64)
-        G = P @ Q.T
-        if metric == "l2":
-            S = (P * P).sum(1)[:, None] + (Q * Q).sum(1)[None, :] - 2.0 * G
-            S = np.maximum(S, 0.0)
-        else:
-            S = -(G + (right["bias"].to_numpy(dtype=np.float64)[None, :] if has_bias else 0.0))
-        kk = min(k, S.shape[1])
-        thr = np.partition(S, kk - 1, axis=1)[:, kk - 1][:, None]
-        # keep everything within the rounding step of the k-th value: the
-        # final per-probe ranking runs on rounded scores, ties by item key
-        rows, cols_i = np.nonzero(S <= thr + 1e-6)
-        if metric == "l2":
-            # exact distance for the kept pairs, summed directly
-            diff = P[rows] - Q[cols_i]
-            val = (diff * diff).sum(1)
-        else:
-            val = -S[rows, cols_i]
-        return pd.DataFrame({pk: left[pk].to_numpy()[rows], ik: right[ik].to_numpy()[cols_i],
-                             "score": np.round(val, 6) + 0.0})
+        q2 = (Q * Q).sum(1)
+        bias = right["bias"].to_numpy(dtype=np.float64) if has_bias else None
+        pkeys, ikeys = left[pk].to_numpy(), right[ik].to_numpy()
+        kk = min(k, len(right))
+        out_p, out_i, out_s = [], [], []
+        # probe rows in chunks: the score matrix held at once is chunk x block
+        for lo in range(0, len(left), chunk):
+            P = np.stack(left["vec"].to_numpy()[lo:lo + chunk]).astype(np.float64)
+            G = P @ Q.T
+            if metric == "l2":
+                S = np.maximum((P * P).sum(1)[:, None] + q2[None, :] - 2.0 * G, 0.0)
+            else:
+                S = -(G + (bias[None, :] if has_bias else 0.0))
+            thr = np.partition(S, kk - 1, axis=1)[:, kk - 1][:, None]
+            # keep everything within the rounding step of the k-th value: the
+            # final per-probe ranking runs on rounded scores, ties by item key
+            rows, cols_i = np.nonzero(S <= thr + 1e-6)
+            if metric == "l2":
+                # exact distance for the kept pairs, summed directly
+                diff = P[rows] - Q[cols_i]
+                val = (diff * diff).sum(1)
+            else:
+                val = -S[rows, cols_i]
+            out_p.append(pkeys[lo + rows])
+            out_i.append(ikeys[cols_i])
+            out_s.append(np.round(val, 6) + 0.0)
+        return pd.DataFrame({pk: np.concatenate(out_p), ik: np.concatenate(out_i),
+                             "score": np.concatenate(out_s)})
     return run
 
 
 def block_topk(probes: DataFrame, pool: DataFrame, k: int, metric: str = "l2",
                probe_key: str = "probe_id", item_key: str = "item_id", vec: str = "vec",
-               bias: str | None = None, probe_block: int = 2048, pool_block: int = 8192) -> DataFrame:
+               bias: str | None = None, probe_block: int = 8192, pool_block: int = 32768,
+               chunk: int = 512) -> DataFrame:
     """D2 / D7 kernel: for every probe the ``k`` best pool items.
 
+    Each probe row is shipped to M pool blocks and each pool row to B probe
+    blocks, so the shuffle is ``n_probes·M + n_pool·B`` rows; large blocks
+    keep both factors small, and the kernel walks a probe block in chunks so
+    its score matrix stays ``512 x pool_block`` doubles.
+
     ``metric='l2'`` ranks by squared L2 ascending; ``'dot'`` by dot product
     (+ optional per-item ``bias``) descending.  Ties by item key.
     Output ``(probe_key, item_key, score, rank)``.
@@ -135,7 +149,7 @@ def block_topk(probes: DataFrame, pool: DataFrame, k: int, metric: str = "l2",
          .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
     schema = f"{probe_key} {ptype}, {item_key} {itype}, score double"
     part = (p.groupBy("b", "m").cogroup(q.groupBy("b", "m"))
-            .applyInPandas(_block_kernel(k, metric, probe_key, item_key, bias is not None), schema))
+            .applyInPandas(_block_kernel(k, metric, probe_key, item_key, bias is not None, chunk), schema))
     return topk_per_key(part, probe_key, "score", k, tie=item_key, ascending=(metric == "l2"))
 
 
