@@ -104,14 +104,29 @@ _FILL = ("SELECT query, coalesce(orders, 0) AS orders, coalesce(volume, 0) AS vo
 _LINEAR = ("(10e0 * orders + 5e0 * volume + 2e0 * catalog_clicks + 1e0 * catalog_views)")
 
 
-@register("enrich_pool_normalized", fx.with_fx("fx_pool", "fx_query_features") + _J1_SQL)
+# Unmatched rows carry nulls; the integer counts come out as DOUBLE so that a
+# nullable column has one representation in every client.
+_NULLABLE = ["orders", "catalog_clicks", "catalog_views"]
+
+
+def _as_double(df):
+    return df.select(*[F.col(c).cast("double").alias(c) if c in _NULLABLE else F.col(c) for c in df.columns])
+
+
+def _as_double_sql(inner: str, keys: str) -> str:
+    return (f"SELECT {keys}, CAST(orders AS DOUBLE) AS orders, volume, CAST(catalog_clicks AS DOUBLE) AS catalog_clicks, "
+            f"CAST(catalog_views AS DOUBLE) AS catalog_views FROM ({inner})")
+
+
+@register("enrich_pool_normalized", fx.with_fx("fx_pool", "fx_query_features")
+          + _as_double_sql(_J1_SQL, "query, query_clean"))
 def q_enrich_pool_normalized(spark, d):
-    return P.enrich_pool_normalized(fx.fx_pool(spark, d), fx.fx_query_features(spark, d))
+    return _as_double(P.enrich_pool_normalized(fx.fx_pool(spark, d), fx.fx_query_features(spark, d)))
 
 
-@register("enrich_pool_raw", fx.with_fx("fx_pool", "fx_query_features") + _J2_SQL)
+@register("enrich_pool_raw", fx.with_fx("fx_pool", "fx_query_features") + _as_double_sql(_J2_SQL, "query"))
 def q_enrich_pool_raw(spark, d):
-    return P.enrich_pool_raw(fx.fx_pool(spark, d), fx.fx_query_features(spark, d))
+    return _as_double(P.enrich_pool_raw(fx.fx_pool(spark, d), fx.fx_query_features(spark, d)))
 
 
 @register("fill_missing_zero", fx.with_fx("fx_pool", "fx_query_features")
