@@ -8,7 +8,8 @@ from typeahead.sources import fixtures as fx
 
 def test_cascade_keeps_every_row_and_bounds_lists(spark, sf):
     ins = fx.inputs(spark, sf)
-    test = ins["test"].unionByName(spark.createDataFrame([(None,), ("",)], "prefix string"))
+    dup = ins["test"].orderBy("prefix").limit(3)
+    test = ins["test"].unionByName(dup).unionByName(spark.createDataFrame([(None,), ("",)], "prefix string"))
     sub = TA.cascade_topk(ins["train"], test, ins["pool"], ins["features"], k=20).collect()
     assert len(sub) == test.count()
     for r in sub:
@@ -18,6 +19,12 @@ def test_cascade_keeps_every_row_and_bounds_lists(spark, sf):
             assert r.retrieved_queries == []
         else:
             assert len(r.retrieved_queries) == 20
+    # duplicate test rows keep their multiplicity, with the same list, raw prefix kept
+    by = {}
+    for r in sub:
+        by.setdefault(r.prefix, []).append(tuple(r.retrieved_queries))
+    for p in [r.prefix for r in dup.collect()]:
+        assert len(by[p]) == 2 and by[p][0] == by[p][1]
 
 
 def test_entry_smoke(spark):

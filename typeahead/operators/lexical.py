@@ -159,13 +159,14 @@ def bm25_hashed_fit(pool: DataFrame, text: str = "query",
                     k1: float = HASHED_K1, b: float = HASHED_B) -> HashedBM25:
     """B4 + B5: N, mean distinct-bucket count, bucket df and doc weights
     ``1 / (k1(1-b+b·dl/avgdl) + 1)`` (binary tf)."""
+    from ..session import reuse
     docs = pool.select(F.col(text).alias("query"))
-    buckets = hashed_buckets(docs, "query", n_features)
-    dl = buckets.groupBy("query").agg(F.count(F.lit(1)).alias("dl"))
+    buckets = reuse(hashed_buckets(docs, "query", n_features))
+    dl = reuse(buckets.groupBy("query").agg(F.count(F.lit(1)).alias("dl")))
     n_docs = int(docs.count())
     total = dl.agg(F.sum("dl")).first()[0] or 0
     avgdl = float(total) / n_docs if n_docs else 0.0
-    bdf = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    bdf = reuse(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")))
     w = buckets.join(dl, "query").select(
         "query", "bucket",
         (F.lit(1.0) / (F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)) + 1.0)).alias("w"))
