@@ -5,7 +5,10 @@ is zero for queries sharing no bucket with the prefix.  So the exact top k
 lies in the union of (a) the queries sharing a bucket, scored by a join, and
 (b) the top k by ``dense + w·pop`` over the whole pool, found by the blocked
 matrix-product kernel with ``w·pop`` as a per-item bias.  Only that union is
-scored in full.
+scored in full.  The full scores of (b) give a threshold θ per prefix (its
+k-th score cannot exceed the final k-th); a pair of (a) whose bound
+``‖h‖·‖v‖ + sparse + w·pop`` (Cauchy-Schwarz on the dense part) is below θ
+cannot enter the top k and is never given a dense product.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ def hybrid_topk(test: DataFrame, pool: DataFrame, features: DataFrame, k: int =
                 alpha: float = 0.5, pop_weight: float = 0.2) -> DataFrame:
     """``(prefix, candidate, hybrid_score, rank)``, top ``k`` per distinct prefix."""
     prefixes = reuse(test.select("prefix").where(F.col("prefix").isNotNull()).distinct())
-    te = reuse(D.embed_text(prefixes, "prefix", "vec").select("prefix", D.scale_l2("vec", alpha).alias("h")))
-    pl = D.embed_text(pool.select("query"), "query", "vec")
+    te = reuse(D.embed_text(prefixes, "prefix", "vec").select("prefix", D.scale_l2("vec", alpha).alias("h"))
+               .withColumn("hn", D.norm("h")))
+    pl = D.embed_text(pool.select("query"), "query", "vec").withColumn("vn", D.norm("vec"))
     pop = hybrid_pool_popularity(pool, features).select(
         "query", (F.col("popularity_score") * pop_weight).alias("bias"))
     plb = reuse(pl.join(pop, "query"))
@@ -34,12 +38,22 @@ def hybrid_topk(test: DataFrame, pool: DataFrame, features: DataFrame, k: int =
     sp = reuse(L.sparse_dot_scores(qw, m, weight="hs"))
     dense_top = D.block_topk(te.select("prefix", F.col("h").alias("vec")), plb, k, "dot",
                              probe_key="prefix", item_key="query", bias="bias")
-    cands = (sp.select("prefix", "candidate")
-             .unionByName(dense_top.select("prefix", F.col("query").alias("candidate"))).distinct())
-    full = (cands.join(te, "prefix")
-            .join(plb.select(F.col("query").alias("candidate"), "vec", "bias"), "candidate")
-            .join(sp, ["prefix", "candidate"], "left"))
-    scored = full.select("prefix", "candidate",
-                         F.round(D.dot("h", "vec") + F.coalesce("sparse_score", F.lit(0.0)) + F.col("bias"), 6)
-                         .alias("hybrid_score"))
+    items = plb.select(F.col("query").alias("candidate"), "vec", "vn", "bias")
+
+    def full_scores(c):
+        j = (c.join(te, "prefix").join(items, "candidate").join(sp, ["prefix", "candidate"], "left"))
+        return j.select("prefix", "candidate",
+                        F.round(D.dot("h", "vec") + F.coalesce("sparse_score", F.lit(0.0)) + F.col("bias"), 6)
+                        .alias("hybrid_score"))
+
+    dt = reuse(full_scores(dense_top.select("prefix", F.col("query").alias("candidate"))))
+    theta = (topk_per_key(dt, "prefix", "hybrid_score", k).where(F.col("rank") == k)
+             .select("prefix", F.col("hybrid_score").alias("theta")))
+    bound = F.col("hn") * F.col("vn") + F.col("sparse_score") + F.col("bias")
+    sp_keep = (sp.join(te.select("prefix", "hn"), "prefix").join(items.select("candidate", "vn", "bias"), "candidate")
+               .join(theta, "prefix", "left")
+               .where(F.col("theta").isNull() | (bound >= F.col("theta") - 1e-6))
+               .select("prefix", "candidate"))
+    rest = sp_keep.join(dt.select("prefix", "candidate"), ["prefix", "candidate"], "left_anti")
+    scored = dt.unionByName(full_scores(rest))
     return topk_per_key(scored, "prefix", "hybrid_score", k)
