@@ -17,7 +17,15 @@ def register(key: str, sql: str | None = None):
     def deco(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+
+        def run(spark, sf_dir):
+            # Drop what earlier queries kept in memory; caching is transparent,
+            # so a query built before this call only recomputes.
+            spark.catalog.clearCache()
+            return fn(spark, sf_dir)
+        run.__name__ = getattr(fn, "__name__", key)
+        run.__doc__ = fn.__doc__
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn
