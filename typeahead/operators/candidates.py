@@ -43,11 +43,6 @@ def candidate_union(bm25: DataFrame, dense: DataFrame, default_distance: float =
                                F.lit(default_distance)).alias("semantic_distance"))
 
 
-def check_unique(df: DataFrame, key: str) -> DataFrame:
-    """Q21: the keys that occur more than once (empty when the lookup is safe)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-
-
 def popularity_lookup(cands: DataFrame, features: DataFrame, cols: list[str],
                       key: str = "candidate", prefix: str = "popularity_") -> DataFrame:
     """Candidate -> popularity columns (renamed), zeros when absent."""

@@ -103,9 +103,6 @@ def q_pair_popularity_features(spark, d):
     return q_popularity_lookup(spark, d)
 
 
-_M5_COLS = ["prefix", "candidate"] + FT.FEATURE_COLUMNS
-
-
 @register("pair_features", _CU + "SELECT prefix, candidate, " + ", ".join(
     f"round({c}, 6) AS {c}" if c in ("cosine_similarity", "bm25_score", "length_ratio", "char_jaccard") else c
     for c in FT.FEATURE_COLUMNS) + " FROM feat")
