@@ -36,7 +36,7 @@ idx AS (SELECT * FROM (SELECT prefix_key, query_clean, popularity_norm,
         WHERE pos <= 1000),
 hist AS (SELECT {S.norm('prefix')} AS prefix_clean, {S.norm('query')} AS query_clean, CAST(count(*) AS BIGINT) AS freq
          FROM fx_train GROUP BY 1, 2),
-tp AS (SELECT DISTINCT {S.norm('prefix')} AS prefix_clean FROM fx_test WHERE {S.norm('prefix')} <> ''),
+tp AS (SELECT DISTINCT {S.norm('prefix')} AS prefix_clean FROM fx_test),
 s1 AS (SELECT prefix_clean, query_clean, sum(score) AS score FROM (
          SELECT prefix_clean, query_clean, freq * 100e0 AS score FROM tp JOIN hist USING (prefix_clean)
          UNION ALL SELECT tp.prefix_clean, idx.query_clean, 50e0 + idx.popularity_norm * 20e0
@@ -123,7 +123,7 @@ def _a(spark, d):
 
 def _tp(test):
     return (test.select(normalize_text("prefix").alias("prefix_clean"))
-            .where(F.col("prefix_clean") != "").distinct())
+            .distinct())
 
 
 @register("prefix_index", _TA + "SELECT prefix_key, query_clean, round(popularity_norm, 6) AS popularity_norm, pos FROM idx")

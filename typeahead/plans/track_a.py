@@ -5,6 +5,9 @@ per prefix decides which prefixes the next stage sees (only the "needy"
 ones), and each stage adds only queries not listed yet.  Distinct normalised
 prefixes are scored once and joined back to every test row, so duplicate
 test rows keep their multiplicity and the raw prefix is what comes out.
+Unlike the re-ranker's submission, this cascade has no empty-prefix guard:
+a null or blank prefix normalises to '' and gets the history of '' plus the
+popular fallback.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from ..functions.text import normalize_text
 from ..operators import fuzzy as FZ
 from ..operators import popularity as P
 from ..operators import prefix as R
-from ..operators.candidates import guard_empty_prefix
 from ..operators.profile import prefix_query_freq
 from ..operators.topk import collect_ranked_list, topk_per_key
 from ..session import cut, reuse
@@ -45,7 +47,9 @@ def build(train: DataFrame, pool: DataFrame, features: DataFrame) -> TrackA:
 def cascade_candidates(a: TrackA, prefixes: DataFrame, k: int = TOP_K,
                        fuzzy: str = "levenshtein") -> DataFrame:
     """Scored candidates ``(prefix_clean, query_clean, score, stage)`` of all stages."""
-    p = reuse(prefixes.select("prefix_clean").where(F.col("prefix_clean") != "").distinct())
+    # an empty normalised prefix is scored like any other (history of the
+    # empty prefix, then the popular fallback), as the cascade does
+    p = reuse(prefixes.select("prefix_clean").distinct())
     s1 = (R.history_scores(p, a.history).unionByName(R.prefix_match(p, a.index))
           .groupBy("prefix_clean", "query_clean").agg(F.sum("score").alias("score"))
           .withColumn("stage", F.lit(1)))
@@ -83,4 +87,7 @@ def cascade_topk(train: DataFrame, test: DataFrame, pool: DataFrame, features: D
     t = test.select("prefix", normalize_text("prefix").alias("prefix_clean"))
     ranked = cascade_ranked(a, t, k, fuzzy).withColumnRenamed("query_clean", "candidate")
     lists = collect_ranked_list(ranked, "prefix_clean")
-    return guard_empty_prefix(test, lists)
+    # every test row comes out with its raw prefix (null as '') and its list
+    out = t.join(lists, "prefix_clean", "left")
+    return out.select(F.coalesce("prefix", F.lit("")).alias("prefix"),
+                      F.coalesce("retrieved_queries", F.array().cast("array<string>")).alias("retrieved_queries"))
