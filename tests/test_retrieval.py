@@ -72,7 +72,7 @@ def test_fuzzy_blocking_is_exact(spark):
     queries = ["iphone", "iphone case", "ipad", "laptop", "lap desk", "shoes", "sheos", "red dress",
                "dress red", "women dress", "phone", "fone cover"]
     pref = ["ifon", "lapt", "sho", "red dr", "womn"]
-    popular = spark.createDataFrame([(q,) for q in queries], "query_clean string")
+    popular = spark.createDataFrame([(q, 1.0) for q in queries], "query_clean string, popularity_score double")
     prefixes = spark.createDataFrame([(p,) for p in pref], "prefix_clean string")
     got = {(r.prefix_clean, r.query_clean): r.fuzzy_score
            for r in FZ.fuzzy_window_levenshtein(prefixes, popular, 60.0, 50).collect()}

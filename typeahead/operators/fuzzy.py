@@ -30,10 +30,21 @@ POPULAR_SUBSET = 50000
 
 
 def fuzzy_popular_subset(scored_pool: DataFrame, n: int = POPULAR_SUBSET) -> DataFrame:
-    """Distinct normalised queries among the ``n`` most popular pool rows."""
+    """Distinct normalised queries among the ``n`` most popular pool rows,
+    with the popularity that ranks them (the list order of the scan)."""
     top = scored_pool.orderBy(F.col("popularity_score").desc(), F.col("query_clean").asc(),
                               F.col("query").asc()).limit(n)
-    return top.select("query_clean").distinct()
+    return top.groupBy("query_clean").agg(F.max("popularity_score").alias("popularity_score"))
+
+
+def _best(s: DataFrame, popular: DataFrame, limit: int) -> DataFrame:
+    """Best ``limit`` per prefix; equal scores keep the popular list's order
+    (popularity, then text), as a stable scan of that list would."""
+    s = s.join(popular.select("query_clean", "popularity_score"), "query_clean")
+    w = Window.partitionBy("prefix_clean").orderBy(F.col("fuzzy_score").desc(), F.col("popularity_score").desc(),
+                                                   F.col("query_clean").asc())
+    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+            .select("prefix_clean", "query_clean", "fuzzy_score", "rank"))
 
 
 def _grams(df: DataFrame, col: str, q: int, with_pos: bool = False) -> DataFrame:
@@ -87,13 +98,12 @@ def fuzzy_window_levenshtein(prefixes: DataFrame, popular: DataFrame,
     # Persisting the pairs also stops Catalyst from pushing the score filter
     # below the distinct into the blocking join, where every pair would be
     # scored once per shared gram.
-    pairs = reuse(blocked_pairs(pf.where(bigram_ok), popular, d, q=2)
-                  .unionByName(blocked_pairs(pf.where(~bigram_ok), popular, d, q=1)))
+    qs = popular.select("query_clean")
+    pairs = reuse(blocked_pairs(pf.where(bigram_ok), qs, d, q=2)
+                  .unionByName(blocked_pairs(pf.where(~bigram_ok), qs, d, q=1)))
     s = pairs.select("prefix_clean", "query_clean",
                      F.round(window_levenshtein_score(), 6).alias("fuzzy_score"))
-    s = s.where(F.col("fuzzy_score") >= threshold)
-    w = Window.partitionBy("prefix_clean").orderBy(F.col("fuzzy_score").desc(), F.col("query_clean").asc())
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return _best(s.where(F.col("fuzzy_score") >= threshold), popular, limit)
 
 
 # ------------------------------------------------------------ partial ratio
@@ -147,7 +157,7 @@ def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
     go unmatched; a shorter query only needs one shared character.
     """
     pf = prefixes.where(F.length("prefix_clean").between(FUZZY_MIN_LEN, FUZZY_MAX_LEN)).select("prefix_clean")
-    lq = popular.withColumn("_ql", F.length("query_clean"))
+    lq = popular.select("query_clean").withColumn("_ql", F.length("query_clean"))
     d_long = F.col("plen") - F.ceil(F.col("plen") * (3.0 / 7.0) - 1e-9)
     long_pairs = blocked_pairs(pf, lq.select("query_clean"), d_long, q=1)
     short_pairs = blocked_pairs(pf, lq.select("query_clean"), F.col("plen") - 1, q=1)
@@ -165,7 +175,4 @@ def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
     i = F.least(inter, n)
     pairs = reuse(pairs.where(F.lit(200.0) * i / (n + i) >= threshold - 1e-9))
     s = pairs.withColumn("fuzzy_score", partial_ratio_udf("prefix_clean", "query_clean"))
-    s = s.where(F.col("fuzzy_score") >= threshold)
-    w = Window.partitionBy("prefix_clean").orderBy(F.col("fuzzy_score").desc(), F.col("query_clean").asc())
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
+    return _best(s.where(F.col("fuzzy_score") >= threshold), popular, limit)

@@ -61,15 +61,15 @@ c2 AS (SELECT prefix_clean, query_clean, score, 1 AS stage FROM s1
        UNION ALL SELECT prefix_clean, query_clean, score, 2 FROM s2),
 n2 AS (SELECT tp.prefix_clean FROM tp LEFT JOIN (SELECT prefix_clean, count(*) AS n FROM c2 GROUP BY 1) c
        USING (prefix_clean) WHERE coalesce(c.n, 0) < {K} AND length(tp.prefix_clean) >= 3),
-popular AS (SELECT DISTINCT query_clean FROM
-            (SELECT * FROM scored ORDER BY popularity_score DESC, query_clean, query LIMIT 50000)),
+popular AS (SELECT query_clean, max(popularity_score) AS popularity_score FROM
+            (SELECT * FROM scored ORDER BY popularity_score DESC, query_clean, query LIMIT 50000) GROUP BY 1),
 """
 
 
 def _fuzzy_sql(src: str) -> str:
     return f"""(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY prefix_clean
-      ORDER BY fuzzy_score DESC, query_clean) AS INT) AS rank FROM (
-      SELECT x.prefix_clean, p.query_clean, round(100e0 * (1e0 - list_min(list_transform(
+      ORDER BY fuzzy_score DESC, popularity_score DESC, query_clean) AS INT) AS rank FROM (
+      SELECT x.prefix_clean, p.query_clean, p.popularity_score, round(100e0 * (1e0 - list_min(list_transform(
                range(1, greatest(length(p.query_clean) - length(x.prefix_clean) + 1, 1) + 1),
                lambda i: levenshtein(x.prefix_clean, substr(p.query_clean, i, length(x.prefix_clean)))))
                / length(x.prefix_clean)), 6) AS fuzzy_score
@@ -77,7 +77,11 @@ def _fuzzy_sql(src: str) -> str:
     WHERE rank <= 50)"""
 
 
-_REST = f"""fz AS {_fuzzy_sql('n2')},
+def _fuzzy_out(src: str) -> str:
+    return f"(SELECT prefix_clean, query_clean, fuzzy_score, rank FROM {_fuzzy_sql(src)})"
+
+
+_REST = f"""fz AS {_fuzzy_out('n2')},
 s3 AS (SELECT fz.prefix_clean, fz.query_clean,
               fuzzy_score / 100e0 * 30e0 + coalesce(pop.popularity_norm, 0e0) * 10e0 AS score
        FROM fz LEFT JOIN pop USING (query_clean)
@@ -154,7 +158,7 @@ def q_prefix_backoff(spark, d):
     return s2.select("prefix_clean", "query_clean", F.round("score", 6).alias("score"))
 
 
-@register("fuzzy_window_levenshtein", _TA + "SELECT * FROM " + _fuzzy_sql("tp"))
+@register("fuzzy_window_levenshtein", _TA + "SELECT * FROM " + _fuzzy_out("tp"))
 def q_fuzzy_window_levenshtein(spark, d):
     i, a = _a(spark, d)
     return FZ.fuzzy_window_levenshtein(_tp(i["test"]), a.popular)
@@ -166,7 +170,7 @@ def q_fuzzy_partial_ratio(spark, d):
     return FZ.fuzzy_partial_ratio(_tp(i["test"]), a.popular)
 
 
-@register("fuzzy_popular_subset", _TA + "SELECT query_clean FROM popular")
+@register("fuzzy_popular_subset", _TA + "SELECT query_clean, popularity_score FROM popular")
 def q_fuzzy_popular_subset(spark, d):
     return _a(spark, d)[1].popular
 
