@@ -14,21 +14,27 @@ from pyspark.sql import functions as F
 
 
 def running_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool = False,
-                 n_buckets: int = 64) -> DataFrame:
+                 n_buckets: int | None = None, rows_per_bucket: int = 200_000) -> DataFrame:
     """Inclusive running sums of ``cols`` over ``order_col`` (distinct values).
 
     Adds ``cum_<c>`` for each column.  Work is split into range buckets of
-    ``order_col``; bucket totals (≤ n_buckets rows) give each bucket's offset.
+    ``order_col`` (by default one per ``rows_per_bucket`` rows, at least 64);
+    bucket totals give each bucket's offset, so no task sorts more than a
+    bucket.
     """
+    from ..session import reuse
+    df = reuse(df)
+    if n_buckets is None:
+        n_buckets = int(min(100_000, max(64, df.count() // rows_per_bucket + 1)))
     key = F.col(order_col)
     sk = (-key) if descending else key
     df = df.withColumn("_sk", sk)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sorted(set(df.approxQuantile("_sk", probs, 0.001))) if probs else []
-    b = F.lit(0)
-    for x in bounds:
-        b = b + (F.col("_sk") > F.lit(x)).cast("int")
-    df = df.withColumn("_b", b)
+    # bucket index by binary search over the split points (JVM-side)
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf")] + [float(x) for x in bounds] + [float("inf")]
+    df = Bucketizer(splits=splits, inputCol="_sk", outputCol="_b", handleInvalid="keep").transform(df)
     tot = df.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
