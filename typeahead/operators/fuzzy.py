@@ -15,6 +15,7 @@ Arrow-batched pandas UDF, the only per-pair Python in this module.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,9 +144,66 @@ def partial_ratio(s1: str, s2: str) -> float:
     return best
 
 
+def partial_ratio_batch(a_list, b_list) -> np.ndarray:
+    """``partial_ratio`` for a whole batch of pairs at once.
+
+    The bit-parallel LCS state of every pair lives in one uint64 array; for
+    each start offset o of the longer string the state advances one text
+    character per step, and after j steps it is the LCS with the window
+    ``s2[o:o+j]``.  The windows the scorer uses are read off on the way:
+    full windows (j = m), leading windows (o = 0, j < m) and trailing
+    windows (o + j = n, j < m).  NumPy work per batch is
+    ``max(n) x max(m)`` vector steps, independent of the batch size.
+    """
+    s1, s2 = [], []
+    for a, b in zip(a_list, b_list):
+        a, b = a or "", b or ""
+        if len(a) > len(b):
+            a, b = b, a
+        s1.append(a)
+        s2.append(b)
+    n_pairs = len(s1)
+    best = np.zeros(n_pairs)
+    if n_pairs == 0:
+        return best
+    m = np.array([len(x) for x in s1], dtype=np.int64)
+    n = np.array([len(x) for x in s2], dtype=np.int64)
+    maxn, maxm = int(n.max()), int(m.max())
+    if maxn == 0 or maxm == 0:
+        return best
+    ids: dict[str, int] = {}
+    text = np.zeros((n_pairs, maxn), dtype=np.int64)          # 0 = padding, never matches
+    for i, b in enumerate(s2):
+        text[i, :len(b)] = [ids.setdefault(c, len(ids) + 1) for c in b]
+    masks = np.zeros((n_pairs, len(ids) + 1), dtype=np.uint64)
+    for i, a in enumerate(s1):
+        for j, c in enumerate(a):
+            cid = ids.get(c)
+            if cid is not None:
+                masks[i, cid] |= np.uint64(1 << j)
+    full = (np.left_shift(np.uint64(1), m.astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
+    rows = np.arange(n_pairs)
+    valid = (m > 0) & (n > 0)
+    for o in range(maxn):
+        v = full.copy()
+        for j in range(1, maxm + 1):
+            pos = o + j - 1
+            step = valid & (j <= m) & (pos < n)
+            if not step.any():
+                break
+            u = v & masks[rows, text[:, min(pos, maxn - 1)]]
+            v = np.where(step, ((v + u) | (v - u)) & full, v)
+            lcs = m - np.bitwise_count(v).astype(np.int64)
+            window = step & ((j == m) | ((o == 0) & (j < m)) | ((o + j == n) & (j < m)))
+            if window.any():
+                score = 200.0 * lcs / (m + j)
+                best = np.where(window, np.maximum(best, score), best)
+    return best
+
+
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([round(partial_ratio(x, y), 6) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(np.round(partial_ratio_batch(a.tolist(), b.tolist()), 6), dtype="float64")
 
 
 def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
@@ -165,14 +223,7 @@ def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
              .select("prefix_clean", "query_clean")
              .unionByName(short_pairs.join(lq, "query_clean").where(F.length("prefix_clean") > F.col("_ql"))
                           .select("prefix_clean", "query_clean")))
-    # Exact upper bound before the Python scorer: LCS never exceeds the
-    # multiset intersection I of the two character bags, and the best window
-    # score is at most 200·I/(n + I) for the shorter length n.
-    pc, qc = F.split("prefix_clean", ""), F.split("query_clean", "")
-    inter = F.aggregate(F.array_distinct(pc), F.lit(0), lambda acc, c: acc + F.least(
-        F.size(F.filter(pc, lambda x: x == c)), F.size(F.filter(qc, lambda x: x == c))))
-    n = F.least(F.length("prefix_clean"), F.length("query_clean"))
-    i = F.least(inter, n)
-    pairs = reuse(pairs.where(F.lit(200.0) * i / (n + i) >= threshold - 1e-9))
+    # persisted so the score filter is not pushed into the blocking join
+    pairs = reuse(pairs)
     s = pairs.withColumn("fuzzy_score", partial_ratio_udf("prefix_clean", "query_clean"))
     return _best(s.where(F.col("fuzzy_score") >= threshold), popular, limit)
