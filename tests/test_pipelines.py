@@ -50,3 +50,15 @@ def test_backfill_fills_short_lists_exactly(spark):
         assert [q for _, q in rows] == want
         assert [r for r, _ in rows] == list(range(len(listed) + 1, 6))
     assert not [r for r in got if r.prefix_clean == "c"]
+
+
+def test_hybrid_pruning_is_exact(spark, sf):
+    """Threshold pruning of sparse candidates does not change the hybrid top-k."""
+    from typeahead.plans.track_b import hybrid_topk
+    ins = fx.inputs(spark, sf)
+    cols = ["prefix", "candidate", "hybrid_score", "rank"]
+    a = {tuple(r) for r in hybrid_topk(ins["test"], ins["pool"], ins["features"], 10, 0.6, 0.15, prune=True)
+         .select(*cols).collect()}
+    b = {tuple(r) for r in hybrid_topk(ins["test"], ins["pool"], ins["features"], 10, 0.6, 0.15, prune=False)
+         .select(*cols).collect()}
+    assert a == b and len(a) > 0

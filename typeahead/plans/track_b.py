@@ -24,7 +24,7 @@ from ..session import reuse
 
 
 def hybrid_topk(test: DataFrame, pool: DataFrame, features: DataFrame, k: int = 150,
-                alpha: float = 0.5, pop_weight: float = 0.2) -> DataFrame:
+                alpha: float = 0.5, pop_weight: float = 0.2, prune: bool = True) -> DataFrame:
     """``(prefix, candidate, hybrid_score, rank)``, top ``k`` per distinct prefix."""
     prefixes = reuse(test.select("prefix").where(F.col("prefix").isNotNull()).distinct())
     te = reuse(D.embed_text(prefixes, "prefix", "vec").select("prefix", D.scale_l2("vec", alpha).alias("h"))
@@ -52,7 +52,7 @@ def hybrid_topk(test: DataFrame, pool: DataFrame, features: DataFrame, k: int =
     bound = F.col("hn") * F.col("vn") + F.col("sparse_score") + F.col("bias")
     sp_keep = (sp.join(te.select("prefix", "hn"), "prefix").join(items.select("candidate", "vn", "bias"), "candidate")
                .join(theta, "prefix", "left")
-               .where(F.col("theta").isNull() | (bound >= F.col("theta") - 1e-6))
+               .where(F.col("theta").isNull() | (bound >= F.col("theta") - 1e-6) | F.lit(not prune))
                .select("prefix", "candidate"))
     rest = sp_keep.join(dt.select("prefix", "candidate"), ["prefix", "candidate"], "left_anti")
     scored = dt.unionByName(full_scores(rest))
