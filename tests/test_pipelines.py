@@ -62,3 +62,17 @@ def test_hybrid_pruning_is_exact(spark, sf):
     b = {tuple(r) for r in hybrid_topk(ins["test"], ins["pool"], ins["features"], 10, 0.6, 0.15, prune=False)
          .select(*cols).collect()}
     assert a == b and len(a) > 0
+
+
+def test_hot_prefix_sampling_stays_bounded(spark, sf):
+    """One prefix holding a large share of all pairs: every pair still gets at
+    most 10 negatives and the work per pair does not grow with the hot group."""
+    from typeahead.operators.features import sample_negatives
+    pool = fx.fx_pool(spark, sf)
+    cands = pool.select(F.lit("hot").alias("prefix"), F.col("query").alias("candidate"))
+    pairs = pool.select(F.lit("hot").alias("prefix"), "query")          # every query is a true query
+    out = sample_negatives(pairs, cands)
+    per = {r["query"]: r["n"] for r in out.groupBy("query").count().withColumnRenamed("count", "n").collect()}
+    assert len(per) == pairs.count()
+    assert all(5 <= n <= 10 for n in per.values())
+    assert out.where(F.col("candidate") == F.col("query")).count() == 0
