@@ -9,7 +9,7 @@ from ..operators import lexical as L
 from ..operators import popularity as P
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
-from ..operators.topk import collect_ranked_list, topk_per_key
+from ..operators.topk import collect_ranked_list
 from . import sqlfrag as S
 from .q_lexical import _HASHED_CTE
 from .registry import register
