@@ -27,10 +27,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.xxhash64(lower_ascii(F.substring(text, 1, prefix_chars))).alias("prefix")]
     narrow = stage(docs.select(F.col(id_col).alias("id"), *keys), "dedup-keys")
 
-    lengths = narrow.groupBy("len").count().filter("count > 1").select("len")
-    candidates = narrow.join(lengths, "len", "left_semi")
-    prefixes = (candidates.groupBy("len", "prefix").count().filter("count > 1")
-                .select("len", "prefix"))
+    # counts are combined before any shuffle, and written, so that the joins below have a
+    # shuffle of their own on both sides, which a hot key's partition can be split out of
+    pairs = stage(narrow.groupBy("len", "prefix").agg(F.count("*").alias("n")), "dedup-prefixes")
+    lengths = stage(pairs.groupBy("len").agg(F.sum("n").alias("rows")).filter("rows > 1")
+                    .select("len"), "dedup-lengths")
+    prefixes = stage(pairs.join(lengths, "len", "left_semi").filter("n > 1")
+                     .select("len", "prefix"), "dedup-shared")
     survivors = stage(narrow.join(prefixes, ["len", "prefix"], "left_semi"), "dedup-survivors")
     survivors = survivors.distinct().select(F.col("id").alias("s_id"), F.col("len").alias("s_len"),
                                             F.col("prefix").alias("s_prefix"))
@@ -40,14 +43,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             & (F.col("prefix") == F.col("s_prefix")))
     shared = F.col("s_len").isNotNull()
     digest = F.sha2(lower_ascii(F.col("text")).cast("binary"), 256)
-    full = stage(whole.join(survivors, same, "left")
+    # one merge join at every size: survivors grow with the table, so they are never broadcast
+    full = stage(whole.join(survivors.hint("merge"), same, "left")
                  .select("id", "len", shared.alias("shared"),
                          (digest if digest_singles else F.when(shared, digest)).alias("sha"),
                          F.monotonically_increasing_id().alias("tie")), "dedup-digests")
 
     multi = full.filter("shared")
-    groups = multi.groupBy("len", "sha").agg(F.count("*").alias("n"),
-                                             F.max(F.struct("id", "tie")).alias("keep"))
+    groups = stage(multi.groupBy("len", "sha").agg(F.count("*").alias("n"),
+                                                   F.max(F.struct("id", "tie")).alias("keep")),
+                   "dedup-groups")
     grouped = multi.join(groups, ["len", "sha"]).select(
         "id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("keep.tie") == F.col("tie")).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -61,7 +66,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows that :func:`exact_dedup` drops, columns unchanged."""
     kept = (exact_dedup(docs, id_col, text_col).filter("kept")
             .select(F.col(id_col).alias("kept_id")).distinct())
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
     return rows.dropDuplicates([id_col, text_col])  # rows that repeat an id with its text
 
 
