@@ -7,8 +7,9 @@
   fingerprint to the side it lies on, and, where its distance to the radius is within
   ``max_bits``, also as a visitor to the other side: by the triangle inequality no link can
   hide behind a wider gap.  Points outside visit inwards only, so a pair meets once.
-* Each shard compares its residents with residents and visitors and returns a spanning
-  forest of the links (never all pairs of a cluster).
+* Each shard goes on with a tree of its own in memory, compares the residents of a leaf with
+  its residents and visitors, and returns a spanning forest of the links (never all pairs
+  of a cluster).
 * Alternating large-star / small-star passes turn the forest into components.
 
 Null or empty text: fingerprint zero, linked like any other.  A null id is never a
@@ -29,7 +30,8 @@ from .common import stage, table
 from .queries import register
 
 SAMPLE = 1 << 17     # fingerprints that fit the upper tree, at most (1 MiB)
-SHARD = 2048         # aimed residents per shard
+SHARD = 1 << 15      # aimed residents per shard: few shards, so few copies of boundary points
+LEAF = 1 << 10       # aimed residents per leaf of a shard's own tree
 CHUNK = 1 << 21      # pairs compared at a time
 
 
@@ -101,31 +103,34 @@ def fit_tree(sample: np.ndarray, total: int, shard: int, max_bits: int, seed: in
     return (np.array([n[0] for n in nodes], np.uint64), [n[1:] for n in nodes], root)
 
 
-def route(batches, tree, max_bits: int):
+def walk(fps: np.ndarray, resident: np.ndarray, tree, max_bits: int):
+    """(leaf, rows, resident?) for every leaf that rows of ``fps`` live in or must visit."""
     vantage, nodes, root = tree
+    todo = [(root, np.flatnonzero(resident), True), (root, np.flatnonzero(~resident), False)]
+    while todo:
+        at, rows, here = todo.pop()
+        if not len(rows):
+            continue
+        if at < 0:
+            yield ~at, rows, here
+            continue
+        radius, inner, outer = nodes[at]
+        d = np.bitwise_count(fps[rows] ^ vantage[at]).astype(np.int64)
+        if here:
+            todo += [(inner, rows[d <= radius], True), (outer, rows[d > radius], True),
+                     (inner, rows[(d > radius) & (d <= radius + max_bits)], False)]
+        else:
+            todo += [(inner, rows[d <= radius + max_bits], False),
+                     (outer, rows[d > radius - max_bits], False)]
+
+
+def route(batches, tree, max_bits: int):
     for batch in batches:
         fps = batch.column(0).to_numpy().view(np.uint64)
-        out: list[tuple[int, np.ndarray, bool]] = []
-        todo = [(root, np.arange(len(fps)), True)]
-        while todo:
-            at, rows, resident = todo.pop()
-            if not len(rows):
-                continue
-            if at < 0:
-                out.append((~at, rows, resident))
-                continue
-            radius, inner, outer = nodes[at]
-            d = np.bitwise_count(fps[rows] ^ vantage[at]).astype(np.int64)
-            if resident:
-                todo += [(inner, rows[d <= radius], True), (outer, rows[d > radius], True),
-                         (inner, rows[(d > radius) & (d <= radius + max_bits)], False)]
-            else:
-                todo += [(inner, rows[d <= radius + max_bits], False),
-                         (outer, rows[d > radius - max_bits], False)]
-        for shard, rows, resident in out:
+        for shard, rows, here in walk(fps, np.ones(len(fps), bool), tree, max_bits):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(rows), shard, np.int64)), pa.array(fps[rows].view(np.int64)),
-                 pa.array(np.full(len(rows), resident))], ["shard", "fp", "resident"])
+                 pa.array(np.full(len(rows), here))], ["shard", "fp", "resident"])
 
 
 # --- inside a shard -----------------------------------------------------------------------
@@ -149,22 +154,29 @@ def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def link_shard(rows: pa.Table, max_bits: int) -> pa.Table:
-    fps = rows.column("fp").to_numpy().view(np.uint64)
+    points = rows.column("fp").to_numpy().view(np.uint64)
     here = rows.column("resident").to_numpy()
-    points = np.concatenate([fps[here], fps[~here]])  # residents first
-    n, m = int(here.sum()), len(points)
-    parent = np.arange(m)
-    step = max(1, CHUNK // max(1, m))
-    for lo in range(0, n, step):
-        block = points[lo:lo + step]
-        i, j = np.nonzero(np.bitwise_count(block[:, None] ^ points[None, lo:]) <= max_bits)
-        apart = j > i
-        union(parent, i[apart] + lo, j[apart] + lo)
-        parent = parent[parent]
-    root = roots(parent, np.arange(m))
-    child = np.flatnonzero(root != np.arange(m))
-    a, b = points[child].view(np.int64), points[root[child]].view(np.int64)
-    return pa.table({"a": a, "b": b})
+    own = points[here]
+    parent = np.arange(len(points))
+    leaves: dict[int, dict[bool, list[np.ndarray]]] = {}
+    if len(own):
+        for leaf, at, resident in walk(points, here, fit_tree(own, len(own), LEAF, max_bits), max_bits):
+            leaves.setdefault(leaf, {True: [], False: []})[resident].append(at)
+    for parts in leaves.values():
+        if not parts[True]:
+            continue
+        at = np.concatenate(parts[True] + parts[False])  # residents first
+        n = sum(map(len, parts[True]))
+        step = max(1, CHUNK // len(at))
+        for lo in range(0, n, step):
+            block = points[at[lo:min(n, lo + step)]]
+            i, j = np.nonzero(np.bitwise_count(block[:, None] ^ points[at[None, lo:]]) <= max_bits)
+            apart = j > i
+            union(parent, at[i[apart] + lo], at[j[apart] + lo])
+            parent = parent[parent]
+    root = roots(parent, np.arange(len(points)))
+    child = np.flatnonzero(points[root] != points)
+    return pa.table({"a": points[child].view(np.int64), "b": points[root[child]].view(np.int64)})
 
 
 # --- components ---------------------------------------------------------------------------
@@ -178,10 +190,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     def stars(pairs: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")), "smallest")  # lets AQE split hot u
         large = (both.filter("v > u").join(low, "u")
                  .select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large, "large-star")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
         small = large.join(low, "u")
         return (small.select("u", "m").union(small.filter("v <> m").select("v", "m"))
                 .toDF("a", "b").distinct())
@@ -224,7 +237,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = components(links)
     named = classes.join(linked, classes["fp"] == linked["node"], "left") \
         .select("fp", "min_id", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    named = stage(named, "named")
+    smallest = stage(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "smallest")
     by_print = stage(named.join(smallest, "root").select("fp", "component_id"), "components")
     return prints.join(by_print, "fp").withColumnRenamed("id", id_col)
 
@@ -235,7 +249,7 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keep = (simhash_components(docs, id_col, text_col, shingle, max_bits)
             .filter(F.col(id_col).eqNullSafe(F.col("component_id")))
             .select(F.col(id_col).alias("kept_id")).distinct())
-    return (docs.join(keep, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    return (docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
             .dropDuplicates([id_col]))
 
 
