@@ -37,7 +37,7 @@ END = xxhash.xxh64_intdigest(b" end")  # words have no blanks
 VOCAB_SHARD = 500_000    # tokens per vocabulary file, about
 PAIR_SHARD = 3_000_000   # training tokens per bigram file, about
 ID_BLOCK = 1 << 19       # ids per file of the per-id arrays
-SLICE_TOKENS = 3_000_000
+SLICE_TOKENS = 1_000_000   # tokens that a worker holds as arrays at a time, about
 
 
 # --- arrays in the shared folder ------------------------------------------------------------
