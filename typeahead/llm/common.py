@@ -53,3 +53,17 @@ def lower_ascii(col: Column) -> Column:
 def id_remainder(col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def text_key(text_col: str) -> Column:
+    """Tells rows that share an id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named in ``kept`` (id, key), each once, columns unchanged."""
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    rows = docs.withColumn("__key", text_key(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("__key") == F.col("kept_key"))
+    # a merge join at every size: the rows kept grow with the table
+    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")

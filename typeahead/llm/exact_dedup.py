@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lower_ascii, stage, table
+from .common import keep_rows, lower_ascii, stage, table, text_key
 from .queries import register
 
 
@@ -22,6 +22,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_sha256 is null for rows that the first two passes prove unique, unless
     ``digest_singles`` asks for it.
     """
+    return (decide(docs, id_col, text_col, prefix_chars, digest_singles).drop("key")
+            .withColumnRenamed("id", id_col))
+
+
+def decide(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int = 64,
+           digest_singles: bool = False) -> DataFrame:
+    """The rows of :func:`exact_dedup`, with the text's key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = [F.octet_length(text).alias("len"),
             F.xxhash64(lower_ascii(F.substring(text, 1, prefix_chars))).alias("prefix")]
@@ -38,14 +45,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     survivors = survivors.distinct().select(F.col("id").alias("s_id"), F.col("len").alias("s_len"),
                                             F.col("prefix").alias("s_prefix"))
 
-    whole = docs.select(F.col(id_col).alias("id"), text.alias("text"), *keys)
+    whole = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_key(text_col).alias("key"), *keys)
     same = (F.col("id").eqNullSafe(F.col("s_id")) & (F.col("len") == F.col("s_len"))
             & (F.col("prefix") == F.col("s_prefix")))
     shared = F.col("s_len").isNotNull()
     digest = F.sha2(lower_ascii(F.col("text")).cast("binary"), 256)
     # one merge join at every size: survivors grow with the table, so they are never broadcast
     full = stage(whole.join(survivors.hint("merge"), same, "left")
-                 .select("id", "len", shared.alias("shared"),
+                 .select("id", "len", "key", shared.alias("shared"),
                          (digest if digest_singles else F.when(shared, digest)).alias("sha"),
                          F.monotonically_increasing_id().alias("tie")), "dedup-digests")
 
@@ -54,20 +61,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                    F.max(F.struct("id", "tie")).alias("keep")),
                    "dedup-groups")
     grouped = multi.join(groups, ["len", "sha"]).select(
-        "id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
+        "id", "key", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("keep.tie") == F.col("tie")).alias("kept"), F.col("sha").alias("text_sha256"))
     singles = full.filter("NOT shared").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        "id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    return grouped.unionByName(singles).withColumnRenamed("id", id_col)
+    return grouped.unionByName(singles)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops, columns unchanged."""
-    kept = (exact_dedup(docs, id_col, text_col).filter("kept")
-            .select(F.col(id_col).alias("kept_id")).distinct())
-    rows = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates([id_col, text_col])  # rows that repeat an id with its text
+    return keep_rows(docs, decide(docs, id_col, text_col).filter("kept"), id_col, text_col)
 
 
 @register("op10_exact_dedup", """

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, table
+from .common import keep_rows, stage, table, text_key
 from .queries import register
 
 SAMPLE = 1 << 17     # fingerprints that fit the upper tree, at most (1 MiB)
@@ -60,7 +60,8 @@ def fingerprint_batches(batches, shingle: int):
     for batch in batches:
         fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64,
                           batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))],
+                                         ["id", "key", "fp"])
 
 
 # --- the upper tree -----------------------------------------------------------------------
@@ -215,8 +216,15 @@ def components(edges: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per row of ``docs``: id, fp (the fingerprint as a signed long), component_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = stage(rows.mapInArrow(partial(fingerprint_batches, shingle=shingle), "id long, fp long"),
+    return (assign(docs, id_col, text_col, shingle, max_bits).drop("key", "root")
+            .withColumnRenamed("id", id_col))
+
+
+def assign(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """The rows of :func:`simhash_components`, with the text's key and the component's root."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       text_key(text_col).alias("key"))
+    prints = stage(rows.mapInArrow(partial(fingerprint_batches, shingle=shingle), "id long, key long, fp long"),
                    "fingerprints")
     classes = stage(prints.groupBy("fp").agg(F.min("id").alias("min_id")), "classes")
 
@@ -239,18 +247,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("fp", "min_id", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "named")
     smallest = stage(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "smallest")
-    by_print = stage(named.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").withColumnRenamed("id", id_col)
+    by_print = stage(named.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(by_print, "fp")
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` reduced to the row with the smallest id of each component, columns unchanged."""
-    keep = (simhash_components(docs, id_col, text_col, shingle, max_bits)
-            .filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-            .select(F.col(id_col).alias("kept_id")).distinct())
-    return (docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-            .dropDuplicates([id_col]))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))
+    keep = assign(docs, id_col, text_col, shingle, max_bits).groupBy("root").agg(first.alias("first"))
+    return keep_rows(docs, keep.select("first.id", "first.key"), id_col, text_col)
 
 
 @register("op9_simhash_vp_tree")
