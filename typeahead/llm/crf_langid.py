@@ -33,8 +33,8 @@ BUCKETS = 1 << 15
 DOCS_PER_LANG = 150   # documented bound of the training sample
 LEXICON = 300         # words per language
 SEGMENT, SEQUENCE = 40, 320
-CACHE_WORDS = 500_000     # emissions kept per worker; a full cache is emptied
-SLICE_WORDS = 2_000_000   # words per forward-backward run
+CACHE_WORDS = 250_000     # emissions kept per worker; a full cache is emptied
+SLICE_WORDS = 600_000     # words per forward-backward run, about
 
 
 def words_of(text: str | None) -> list[str]:

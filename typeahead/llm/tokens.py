@@ -23,7 +23,7 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+"
 UNSAFE = re.compile("[^\x00-\x1b\x20-ſ‐-‧‰-⁞₠-₿]")
 SPACED_WORD = re.compile(f" [{LETTERS}]+")
 
-CACHE_PIECES = 400_000  # per worker; a full cache is emptied, which changes no result
+CACHE_PIECES = 200_000  # per worker; a full cache is emptied, which changes no result
 
 
 class PieceEncoder:
