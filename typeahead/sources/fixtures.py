@@ -32,7 +32,7 @@ def fx_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_query_features(spark: SparkSession, d: str) -> DataFrame:
-    p = read_table(spark, d, "part").where(F.col("p_partkey") % 10 != 7)
+    p = read_table(spark, d, "part")
     li = read_table(spark, d, "lineitem")
     j = li.join(p, li.l_partkey == p.p_partkey)
     return (j.groupBy(_raw_query(p).alias("query"))
@@ -84,7 +84,7 @@ FX_SQL = {
         "SUM(l_quantity) AS volume, "
         "CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS catalog_clicks, "
         "CAST(COUNT(*) AS BIGINT) AS catalog_views "
-        "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 10 <> 7 GROUP BY 1"),
+        "FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
     "fx_train": (
         "SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL "
         f"ELSE substr(ltrim(lower({_Q})), 1, CAST(2 + l_orderkey % 9 AS INT)) END AS prefix, "
