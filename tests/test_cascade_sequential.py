@@ -10,6 +10,7 @@ import hashlib
 
 import pytest
 
+from typeahead.operators.fuzzy import partial_ratio
 from typeahead.functions.text import normalize_text
 from typeahead.plans import track_a as TA
 from typeahead.sources import fixtures as fx
@@ -32,13 +33,14 @@ def _window_score(p, q):
     return round(100.0 * (1 - min(_lev(p, w) for w in wins) / m), 6)
 
 
-@pytest.mark.parametrize("K", [20, 150])
-def test_cascade_matches_sequential_loop(spark, sf, K):
+@pytest.mark.parametrize("K, fuzzy", [(20, "levenshtein"), (150, "levenshtein"), (20, "partial_ratio")])
+def test_cascade_matches_sequential_loop(spark, sf, K, fuzzy):
+    similarity = _window_score if fuzzy == "levenshtein" else lambda p, q: round(partial_ratio(p, q), 6)
     ins = fx.inputs(spark, sf)
-    a = TA.build(ins["train"], ins["pool"], ins["features"])
+    a = TA.build(ins["train"], ins["pool"], ins["features"], ins["test"], K)
     prefixes = ins["test"].select(normalize_text("prefix").alias("prefix_clean")).distinct()
     got = {}
-    for r in TA.cascade_ranked(a, prefixes, K).collect():
+    for r in TA.cascade_ranked(a, prefixes, K, fuzzy).collect():
         got.setdefault(r.prefix_clean, []).append((r.rank, r.query_clean))
     got = {p: [q for _, q in sorted(v)] for p, v in got.items()}
 
@@ -46,13 +48,14 @@ def test_cascade_matches_sequential_loop(spark, sf, K):
     for r in a.history.collect():
         hist.setdefault(r.prefix_clean, []).append((r.query_clean, r.freq))
     pop = {r.query_clean: r.popularity_norm for r in a.popularity.collect()}
-    post = {}
-    for r in a.index.collect():
-        post.setdefault(r.prefix_key, []).append((r.pos, r.query_clean))
-    post = {key: [q for _, q in sorted(v)] for key, v in post.items()}
+    by_pop = sorted(pop, key=lambda q: (-pop[q], q))
+
+    def post(key):
+        return [q for q in by_pop if key and q.startswith(key)]
+
     rows = sorted(a.scored.collect(), key=lambda r: (-r.popularity_score, r.query_clean, r.query))
     popular = {}
-    for r in rows[:50000]:
+    for r in rows:
         popular.setdefault(r.query_clean, r.popularity_score)
     fill_order = sorted({r.query_clean for r in rows},
                         key=lambda q: (hashlib.md5(f"42|{q}".encode()).hexdigest(), q))[:2 * K]
@@ -61,18 +64,18 @@ def test_cascade_matches_sequential_loop(spark, sf, K):
         c = {}
         for q, f in hist.get(p, []):
             c[q] = c.get(q, 0) + 100.0 * f
-        for q in post.get(p, [])[:500]:
+        for q in post(p):
             c[q] = c.get(q, 0) + 50.0 + pop[q] * 20.0
         if len(c) < K and len(p) >= 2:
-            for i in range(min(len(p), 6), 1, -1):
-                for q in post.get(p[:i], [])[:300]:
+            for i in range(len(p), 1, -1):
+                for q in post(p[:i]):
                     if q not in c:
                         c[q] = 25.0 * i / len(p) + pop[q] * 10.0
                 if len(c) >= K:
                     break
-        if len(c) < K and len(p) >= 3 and 2 <= len(p) <= 20:
-            fz = [(q, _window_score(p, q)) for q in popular]
-            fz = sorted([x for x in fz if x[1] >= 60], key=lambda x: (-x[1], -popular[x[0]], x[0]))[:50]
+        if len(c) < K and p:
+            fz = [(q, similarity(p, q)) for q in popular]
+            fz = sorted([x for x in fz if x[1] >= 60], key=lambda x: (-x[1], -popular[x[0]], x[0]))[:K]
             for q, sc in fz:
                 if q not in c:
                     c[q] = sc / 100.0 * 30.0 + pop.get(q, 0.0) * 10.0

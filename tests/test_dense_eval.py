@@ -26,7 +26,7 @@ def test_lsh_recall_against_exact(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
     p, q = e.withColumnRenamed("vec_id", "probe_id"), e.withColumnRenamed("vec_id", "item_id")
     exact = {(r.probe_id, r.item_id) for r in D.knn_l2(p, q, 5).collect()}
-    approx = {(r.probe_id, r.item_id) for r in D.knn_lsh_join(p, q, 5, threshold=2.0).collect()}
+    approx = {(r.probe_id, r.item_id) for r in D.knn_lsh_join(p, q, 5).collect()}
     assert len(exact & approx) / len(exact) > 0.5
 
 

@@ -79,13 +79,13 @@ def scale_l2(a, factor: float, eps: float = 1e-10) -> Column:
 
 # ------------------------------------------------------------------ exact k-NN
 
-def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool, chunk: int = 512):
+def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool, chunk: int = 512,
+                  rescore: int = 1 << 18):
     """Local top-k of one probe block against one pool block.
 
     Candidates are selected in float32 (half the memory and BLAS time of
     float64) with a slack that covers float32 error; the kept pairs are then
-    scored exactly in float64, and the final per-probe ranking runs on those
-    exact, rounded scores.
+    scored exactly in float64 and cut to k per probe by rounded score and key.
     """
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = [pk, ik, "score"]
@@ -97,6 +97,8 @@ def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool, chunk:
         bias = right["bias"].to_numpy(dtype=np.float64) if has_bias else None
         pkeys, ikeys = left[pk].to_numpy(), right[ik].to_numpy()
         kk = min(k, len(right))
+        key_rank = np.empty(len(right), dtype=np.int64)
+        key_rank[sorted(range(len(right)), key=ikeys.__getitem__)] = np.arange(len(right))
         out_p, out_i, out_s = [], [], []
         # probe rows in chunks: the score matrix held at once is chunk x block
         for lo in range(0, len(left), chunk):
@@ -113,17 +115,27 @@ def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool, chunk:
             # float32 error is a few 1e-7 of the magnitudes involved; keep a
             # wide margin plus the rounding step of the final scores
             slack = 1e-5 * (1.0 + scale.max(axis=1, keepdims=True)) + 1e-6
-            rows, cols_i = np.nonzero(S <= thr + slack)
-            if metric == "l2":
-                diff = P[rows] - Q[cols_i]
-                val = (diff * diff).sum(1)
-            else:
-                val = np.einsum("ij,ij->i", P[rows], Q[cols_i])
-                if has_bias:
-                    val = val + bias[cols_i]
-            out_p.append(pkeys[lo + rows])
-            out_i.append(ikeys[cols_i])
-            out_s.append(np.round(val, 6) + 0.0)
+            near = S <= thr + slack
+            # many pool rows may tie: a few probes at a time, each cut to its k best
+            step = max(1, rescore // max(1, int(near.sum(axis=1).max())))
+            for a in range(0, len(P), step):
+                rows, cols_i = np.nonzero(near[a:a + step])
+                rows += a
+                if metric == "l2":
+                    diff = P[rows] - Q[cols_i]
+                    val = (diff * diff).sum(1)
+                else:
+                    val = np.einsum("ij,ij->i", P[rows], Q[cols_i])
+                    if has_bias:
+                        val = val + bias[cols_i]
+                val = np.round(val, 6) + 0.0
+                best = np.lexsort((key_rank[cols_i], val if metric == "l2" else -val, rows))
+                rows, cols_i, val = rows[best], cols_i[best], val[best]
+                first = np.searchsorted(rows, rows)
+                keep = np.arange(len(rows)) - first < kk
+                out_p.append(pkeys[lo + rows[keep]])
+                out_i.append(ikeys[cols_i[keep]])
+                out_s.append(val[keep])
         return pd.DataFrame({pk: np.concatenate(out_p), ik: np.concatenate(out_i),
                              "score": np.concatenate(out_s)})
     return run
@@ -178,7 +190,7 @@ def dense_dot_scores(probes: DataFrame, pool: DataFrame, k: int, **kw) -> DataFr
 
 def knn_lsh_join(probes: DataFrame, pool: DataFrame, k: int, probe_key: str = "probe_id",
                  item_key: str = "item_id", vec: str = "vec", bucket_length: float = 0.5,
-                 num_tables: int = 4, threshold: float = 1.5, seed: int = 42) -> DataFrame:
+                 num_tables: int = 4, seed: int = 42) -> DataFrame:
     """Approximate k-NN for pools too big for D2, via Spark ML's
     random-projection LSH similarity join (Euclidean distance)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -187,7 +199,7 @@ def knn_lsh_join(probes: DataFrame, pool: DataFrame, k: int, probe_key: str = "p
     b = pool.select(F.col(item_key).alias("ik"), array_to_vector(_d(F.col(vec))).alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
                                       bucketLength=bucket_length, numHashTables=num_tables, seed=seed).fit(b)
-    j = lsh.approxSimilarityJoin(a, b, threshold, distCol="dist")
+    j = lsh.approxSimilarityJoin(a, b, float("inf"), distCol="dist")
     r = j.select(F.col("datasetA.pk").alias(probe_key), F.col("datasetB.ik").alias(item_key),
                  F.round(F.col("dist") * F.col("dist"), 6).alias("score"))
     return topk_per_key(r, probe_key, "score", k, tie=item_key, ascending=True)

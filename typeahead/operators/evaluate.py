@@ -1,48 +1,16 @@
 """Evaluation of scored rows ``(target, score)`` and of submissions.
 
 Rank statistics (AUC, ROC) need counts "below each score".  Rows are first
-aggregated to one row per distinct score; the running sums over scores are
-then computed per range bucket (bucket boundaries from ``approxQuantile``)
-plus the bucket's offset, so no window ever spans the whole table in one
-task and a hot score value is a single row.
+aggregated to one row per distinct score, so a hot score is a single row; the
+running sums over scores come from ``ranking.running_sums``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def running_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool = False,
-                 n_buckets: int | None = None, rows_per_bucket: int = 200_000) -> DataFrame:
-    """Inclusive running sums of ``cols`` over ``order_col`` (distinct values).
-
-    Adds ``cum_<c>`` for each column.  Work is split into range buckets of
-    ``order_col`` (by default one per ``rows_per_bucket`` rows, at least 64);
-    bucket totals give each bucket's offset, so no task sorts more than a
-    bucket.
-    """
-    from ..session import reuse
-    df = reuse(df)
-    if n_buckets is None:
-        n_buckets = int(min(100_000, max(64, df.count() // rows_per_bucket + 1)))
-    key = F.col(order_col)
-    sk = (-key) if descending else key
-    df = df.withColumn("_sk", sk)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(df.approxQuantile("_sk", probs, 0.001))) if probs else []
-    # bucket index by binary search over the split points (JVM-side)
-    from pyspark.ml.feature import Bucketizer
-    splits = [float("-inf")] + [float(x) for x in bounds] + [float("inf")]
-    df = Bucketizer(splits=splits, inputCol="_sk", outputCol="_b", handleInvalid="keep").transform(df)
-    tot = df.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    df = df.join(off, "_b", "left")
-    w = Window.partitionBy("_b").orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
-    for c in cols:
-        df = df.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(w))
-    return df.drop("_sk", "_b", *[f"_o_{c}" for c in cols])
+from .ranking import join_null_safe, quantiles, running_sums
 
 
 def score_counts(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
@@ -117,8 +85,9 @@ def classification_report(df: DataFrame, label: str = "target", score: str = "sc
 
 def probability_distribution(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
     """Mean, median, population std of the score per class."""
-    return df.groupBy(F.col(label).alias("target")).agg(
-        F.avg(score).alias("mean"), F.median(score).alias("median"), F.stddev_pop(score).alias("std"))
+    d = df.select(F.col(label).alias("target"), F.col(score).cast("double").alias("score"))
+    a = d.groupBy("target").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return join_null_safe(a, quantiles(d, "score", {"median": 0.5}, ["target"]), ["target"], "left")
 
 
 def roc_curve(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:

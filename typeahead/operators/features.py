@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import md5_int
+from ..session import reuse
 from . import dense as D
+from .ranking import join_null_safe
 
+# The feature names.
 POPULARITY_COLUMNS = ["orders", "volume", "catalog_clicks", "catalog_views"]
 BASE_FEATURES = ["cosine_similarity", "bm25_score", "prefix_length", "candidate_length", "length_ratio",
                  "prefix_in_candidate", "candidate_starts_with_prefix", "char_overlap", "char_jaccard"]
@@ -75,10 +78,23 @@ def align_features(df: DataFrame, names: list[str], keep: list[str] | None = Non
     return df.select(*(keep or []), *cols).na.fill(0.0, names)
 
 
+def occurrences(rows: DataFrame, keys: list[str], step: int = 1000) -> DataFrame:
+    """One row per repetition of equal keys, numbered ``occ`` from 0.
+
+    Equal rows are counted first; large counts are dealt out in steps, so that a hot
+    pair is numbered by many tasks."""
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.select(*keys, "_n", F.explode(F.expr(f"sequence(0, (_n - 1) div {step})")).alias("_part"))
+    n = n.repartition(*keys, "_part")
+    return n.select(*keys, F.explode(F.expr(
+        f"sequence(_part * {step}, least((_part + 1) * {step}, _n) - 1)")).alias("occ"))
+
+
 def sample_negatives(pairs: DataFrame, cands: DataFrame, seed: int = 42,
                      n_min: int = 5, n_max: int = 10) -> DataFrame:
-    """H2: for each ``(prefix, query)`` pair, ``n_min + hash % (n_max-n_min+1)``
-    distinct candidates of the prefix other than the true query.
+    """H2: for each ``(prefix, query)`` row, ``n_min + hash % (n_max-n_min+1)``
+    distinct candidates of the prefix other than the true query.  With a column
+    ``occ`` every repetition of a pair draws its own.
 
     The candidates of a prefix are put in a seeded hash order once (a window
     over at most the prefix's candidate list).  Each pair then reads a run
@@ -88,31 +104,41 @@ def sample_negatives(pairs: DataFrame, cands: DataFrame, seed: int = 42,
     with the whole candidate list.  A pair whose prefix has no candidate but
     the true query yields nothing.
     """
+    ids = ["prefix", "query"] + (["occ"] if "occ" in pairs.columns else [])
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), "prefix", "candidate"))
     w = Window.partitionBy("prefix").orderBy(h, F.col("candidate"))
     ranked = cands.select("prefix", "candidate").withColumn("pos", F.row_number().over(w) - 1)
     sizes = ranked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n_cands"))
-    key = F.concat_ws("|", F.lit(str(seed)), "prefix", "query")
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids])
     p = pairs.join(sizes, "prefix").select(
-        "prefix", "query", "n_cands",
+        *ids, "n_cands",
         (F.lit(n_min) + md5_int(key) % (n_max - n_min + 1)).alias("want"),
         (md5_int(F.concat(key, F.lit("|start"))) % F.col("n_cands")).alias("start"))
-    p = p.select("prefix", "query", "want",
+    p = p.select(*ids, "want",
                  F.explode(F.sequence(F.lit(0), F.least(F.lit(n_max), F.col("n_cands") - 1))).alias("j"),
                  "start", "n_cands")
     p = p.withColumn("pos", (F.col("start") + F.col("j")) % F.col("n_cands"))
     neg = p.join(ranked, ["prefix", "pos"]).where(F.col("candidate") != F.col("query"))
-    wj = Window.partitionBy("prefix", "query").orderBy("j")
+    wj = Window.partitionBy(*ids).orderBy("j")
     neg = neg.withColumn("_r", F.row_number().over(wj)).where(F.col("_r") <= F.col("want"))
-    return neg.select("prefix", "query", "candidate")
+    return neg.select(*ids, "candidate")
 
 
 def stratified_split(df: DataFrame, key: str, seed: int = 42, valid_share: float = 0.2,
-                     out: str = "is_valid") -> DataFrame:
-    """H3: deterministic validation flag from a seeded hash of the row key.
+                     out: str = "is_valid", label: str = "target") -> DataFrame:
+    """H3: validation flag for exactly ``valid_share`` (rounded) of each label's rows,
+    the first by a seeded hash of the row key.
 
-    Each row decides alone (no sort, no shuffle); within each label the
-    share converges to ``valid_share``.
+    Rows are counted per label and hash bucket (at most 65,536 a label); the counts give
+    each bucket's offset and a window inside the bucket the rest of the rank.
     """
-    u = (md5_int(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))) % 10000) / 10000.0
-    return df.withColumn(out, u < valid_share)
+    u = md5_int(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    df = reuse(df.withColumn("_u", u).withColumn("_b", F.shiftright("_u", 16)))
+    n = df.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy(label)
+    before = by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = n.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                   F.floor(F.sum("_n").over(by) * valid_share + 0.5).alias("_want"))
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", key)) + F.col("_off")
+    return join_null_safe(df, off, [label, "_b"]).withColumn(out, rank <= F.col("_want")) \
+        .drop("_u", "_b", "_off", "_want")

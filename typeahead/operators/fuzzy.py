@@ -1,15 +1,11 @@
 """Typo-tolerant matching of prefixes against the popular list.
 
-Candidate pairs come from an exact character blocking instead of all pairs:
-if a prefix of length m may differ from its best window in at most d
-positions, then among any d+1 positions of the prefix at least one keeps its
-character, so the query must contain one of them.  We pick the d+1 positions
-holding the globally rarest characters, join them to the popular list's
-character postings, and score only the surviving pairs.  No pair that could
-pass the threshold is lost.
-
-R5 scores pairs with Spark's built-in ``levenshtein`` over windows; R4
-reproduces a partial indel ratio (longest-common-subsequence based) in an
+Candidate pairs come from an exact blocking instead of all pairs; no pair that
+could pass the threshold is lost.  R5 joins pieces of the prefix to substrings
+of the queries and scores with Spark's built-in ``levenshtein`` over windows.
+R4 joins on the rarest characters of the prefix (see ``blocked_pairs``), which
+is weak: a partial ratio of 60 leaves short prefixes few characters to rely on.
+It reproduces a partial indel ratio (longest-common-subsequence based) in an
 Arrow-batched pandas UDF, the only per-pair Python in this module.
 """
 
@@ -21,20 +17,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import reuse
+from ..session import cut, reuse
+from .ranking import top_n
 
-# Fixed values of the fuzzy stage.
-FUZZY_MIN_LEN, FUZZY_MAX_LEN = 2, 20
-FUZZY_LIMIT = 50
+# Fixed value of the fuzzy stage.
 FUZZY_THRESHOLD = 60.0
-POPULAR_SUBSET = 50000
+FUZZY_LIMIT = 150           # the length of the final list
+LCS_BITS = 63               # longest string whose LCS state fits one machine word
 
 
-def fuzzy_popular_subset(scored_pool: DataFrame, n: int = POPULAR_SUBSET) -> DataFrame:
-    """Distinct normalised queries among the ``n`` most popular pool rows,
-    with the popularity that ranks them (the list order of the scan)."""
-    top = scored_pool.orderBy(F.col("popularity_score").desc(), F.col("query_clean").asc(),
-                              F.col("query").asc()).limit(n)
+def fuzzy_popular_subset(scored_pool: DataFrame, n: int | None = None) -> DataFrame:
+    """Distinct normalised queries among the ``n`` most popular pool rows (None:
+    all), with the popularity that ranks them (the list order of the scan)."""
+    top = scored_pool if n is None else top_n(scored_pool, [
+        F.col("popularity_score").desc(), F.col("query_clean").asc(), F.col("query").asc()], n)
     return top.groupBy("query_clean").agg(F.max("popularity_score").alias("popularity_score"))
 
 
@@ -79,32 +75,69 @@ def blocked_pairs(prefixes: DataFrame, queries: DataFrame, max_unmatched, q: int
     return keys.join(qg, "gram").select("prefix_clean", "query_clean").distinct()
 
 
-def window_levenshtein_score(p: str = "prefix_clean", q: str = "query_clean"):
-    """``100·(1 − min_i levenshtein(p, q[i:i+m]) / m)`` over windows of q."""
-    m = F.length(p)
-    n_win = F.greatest(F.length(q) - m + 1, F.lit(1))
-    d = F.array_min(F.transform(F.sequence(F.lit(1), n_win),
-                                lambda i: F.levenshtein(F.col(p), F.substring(F.col(q), i, m))))
-    return F.lit(100.0) * (F.lit(1.0) - d / m)
+def _substrings(df: DataFrame, col: str, lengths: list[int]) -> DataFrame:
+    """Every substring of the given lengths of a column, as ``piece``."""
+    n = F.length(col) - F.col("_len") + 1
+    e = df.select(col, F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_len")).where(n > 0)
+    e = e.select(col, "_len", F.explode(F.sequence(F.lit(1), n)).alias("_at"))
+    return e.select(col, F.expr(f"substring({col}, _at, _len)").alias("piece")).distinct()
+
+
+def _within(prefixes: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """``(prefix_clean, query_clean, d, dist)`` of all pairs whose best window is at most
+    ``d`` edits away; ``prefixes`` has ``d`` (at most ``most``, below the prefix's length).
+
+    ``d`` edits leave one of ``d + 1`` pieces of the prefix whole, and the query holds it.
+    """
+    cut_at = F.expr("CAST(floor(_j * length(prefix_clean) / (d + 1)) AS INT)")
+    p = prefixes.select("prefix_clean", "d", F.explode(F.expr("sequence(0, CAST(d AS INT))")).alias("_j"))
+    p = p.select("prefix_clean", "d", (cut_at + 1).alias("_from"), (F.col("_j") + 1).alias("_j"))
+    p = p.select("prefix_clean", "d", F.expr("substring(prefix_clean, _from, CAST(floor(_j * length(prefix_clean) "
+                                             "/ (d + 1)) AS INT) - _from + 1)").alias("piece")).distinct()
+    p = reuse(p)
+    lengths = sorted(r[0] for r in p.select(F.length("piece")).distinct().collect())  # at most one per piece length
+    if not lengths:
+        return p.select("prefix_clean", F.col("prefix_clean").alias("query_clean"), "d", F.lit(0).alias("dist"))
+    grams = _substrings(queries, "query_clean", lengths).join(p.select("piece").distinct(), "piece", "left_semi")
+    # Kept, so that the test on the distance is not pushed below the distinct, where a
+    # pair would be scored once per shared piece.
+    pairs = reuse(p.join(grams, "piece").select("prefix_clean", "query_clean", "d").distinct())
+    m = F.length("prefix_clean")
+    n_win = F.greatest(F.length("query_clean") - m + 1, F.lit(1))
+    dist = F.array_min(F.transform(F.sequence(F.lit(1), n_win), lambda i: F.nullif(F.levenshtein(
+        F.col("prefix_clean"), F.substring(F.col("query_clean"), i, m), most), F.lit(-1))))
+    return pairs.withColumn("dist", dist).where(F.col("dist") <= F.col("d"))
 
 
 def fuzzy_window_levenshtein(prefixes: DataFrame, popular: DataFrame,
                              threshold: float = FUZZY_THRESHOLD, limit: int = FUZZY_LIMIT) -> DataFrame:
-    """Best ``limit`` popular queries per prefix by window Levenshtein
-    similarity ≥ ``threshold`` (prefixes of length 2..20 only)."""
-    pf = prefixes.where(F.length("prefix_clean").between(FUZZY_MIN_LEN, FUZZY_MAX_LEN)).select("prefix_clean")
-    d = F.floor(F.col("plen") * (1 - threshold / 100.0) + 1e-9)
-    dm = F.floor(F.length("prefix_clean") * (1 - threshold / 100.0) + 1e-9)
-    bigram_ok = (F.length("prefix_clean") - 1) - 2 * dm >= 1
-    # Persisting the pairs also stops Catalyst from pushing the score filter
-    # below the distinct into the blocking join, where every pair would be
-    # scored once per shared gram.
-    qs = popular.select("query_clean")
-    pairs = reuse(blocked_pairs(pf.where(bigram_ok), qs, d, q=2)
-                  .unionByName(blocked_pairs(pf.where(~bigram_ok), qs, d, q=1)))
-    s = pairs.select("prefix_clean", "query_clean",
-                     F.round(window_levenshtein_score(), 6).alias("fuzzy_score"))
-    return _best(s.where(F.col("fuzzy_score") >= threshold), popular, limit)
+    """Best ``limit`` queries per prefix by window Levenshtein similarity
+    ``100·(1 − min_i levenshtein(p, q[i:i+m]) / m)`` ≥ ``threshold``.
+
+    Fewer edits score higher, so the allowed edits grow (0, 1, 2, 4, ...) and only the
+    prefixes that have no ``limit`` queries yet go on: the long pieces of the early rounds
+    are selective, and the short ones are met by few prefixes.  The empty prefix has no
+    windows and gets nothing.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    p = cut(prefixes.select("prefix_clean").distinct().where(F.length("prefix_clean") > 0)
+              .withColumn("_max", F.floor(F.length("prefix_clean") * (1 - threshold / 100.0) + 1e-9)))
+    last = p.agg(F.max("_max")).first()[0]
+    last = 0 if last is None else last
+    queries = cut(popular.select("query_clean"))
+    found, waiting, done, most = None, p, -1, 0
+    while done < last:
+        at = waiting.where(F.col("_max") > done).withColumn("d", F.least(F.lit(most).cast("bigint"), F.col("_max")))
+        new = _within(at, queries, most).where(F.col("dist") > done).select("prefix_clean", "query_clean", "dist")
+        # each round is written: the plan of the next one starts from its rows
+        found = cut(new) if found is None else found.unionByName(cut(new))
+        n = found.groupBy("prefix_clean").agg(F.count(F.lit(1)).alias("_n"))
+        waiting = cut(p.join(n, "prefix_clean", "left").where(F.coalesce("_n", F.lit(0)) < limit).drop("_n"))
+        done, most = most, max(1, 2 * most)
+    s = found.select("prefix_clean", "query_clean", F.round(
+        100.0 * (1.0 - F.col("dist") / F.length("prefix_clean")), 6).alias("fuzzy_score"))
+    return _best(s, popular, limit)
 
 
 # ------------------------------------------------------------ partial ratio
@@ -203,7 +236,13 @@ def partial_ratio_batch(a_list, b_list) -> np.ndarray:
 
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(np.round(partial_ratio_batch(a.tolist(), b.tolist()), 6), dtype="float64")
+    a, b = a.tolist(), b.tolist()
+    short = [i for i, (x, y) in enumerate(zip(a, b)) if min(len(x or ""), len(y or "")) <= LCS_BITS]
+    score = np.zeros(len(a))
+    score[short] = partial_ratio_batch([a[i] for i in short], [b[i] for i in short])
+    for i in set(range(len(a))) - set(short):
+        score[i] = partial_ratio(a[i], b[i])
+    return pd.Series(np.round(score, 6), dtype="float64")
 
 
 def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
@@ -214,7 +253,7 @@ def fuzzy_partial_ratio(prefixes: DataFrame, popular: DataFrame,
     LCS ≥ 3m/7 with some window, so at most m − ceil(3m/7) prefix positions
     go unmatched; a shorter query only needs one shared character.
     """
-    pf = prefixes.where(F.length("prefix_clean").between(FUZZY_MIN_LEN, FUZZY_MAX_LEN)).select("prefix_clean")
+    pf = prefixes.where(F.length("prefix_clean") > 0).select("prefix_clean").distinct()
     lq = popular.select("query_clean").withColumn("_ql", F.length("query_clean"))
     d_long = F.col("plen") - F.ceil(F.col("plen") * (3.0 / 7.0) - 1e-9)
     long_pairs = blocked_pairs(pf, lq.select("query_clean"), d_long, q=1)

@@ -1,10 +1,11 @@
 """Prefix, back-off, fallback and back-fill retrieval.
 
-The prefix index is an explode of each distinct query into its first 1..15
-characters, so "queries starting with p" becomes an equi-join on the key
-instead of a ``startswith`` nested loop.  Posting lists are capped per key
-with a ``WindowGroupLimit``, which also caps hot one-letter keys *before* the
-shuffle.
+The prefix index is an explode of each distinct query into its first characters
+(as many as the longest prefix to look up has), so "queries starting with p"
+becomes an equi-join on the key instead of a ``startswith`` nested loop.  A list
+of k queries never needs more than the 2k most popular postings of a key (k new
+ones after at most k already listed), so posting lists end there, with a
+``WindowGroupLimit`` that shortens hot one-letter keys *before* the shuffle.
 
 Lists that every needy prefix shares (the popular list, the back-fill slice)
 are bounded by a parameter (2k rows) and attached by an equi-join on the
@@ -19,11 +20,6 @@ from pyspark.sql import functions as F
 from .topk import cap_postings
 
 # Fixed values of the heuristic cascade.
-INDEX_DEPTH = 15            # index prefixes of length 1..15
-POSTINGS_CAP = 1000         # queries kept per index key
-MATCH_TAKE = 500            # postings read for the exact prefix
-BACKOFF_TAKE = 300          # postings read per back-off level
-BACKOFF_MAX_LEN = 6         # longest back-off level
 HISTORY_WEIGHT = 100.0
 MATCH_BASE, MATCH_POP = 50.0, 20.0
 BACKOFF_BASE, BACKOFF_POP = 25.0, 10.0
@@ -31,18 +27,19 @@ FUZZY_BASE, FUZZY_POP = 30.0, 10.0
 FALLBACK_POP = 5.0
 
 
-def prefix_index(popularity: DataFrame, depth: int = INDEX_DEPTH, cap: int = POSTINGS_CAP) -> DataFrame:
+def prefix_index(popularity: DataFrame, k: int, depth: int | None = None) -> DataFrame:
     """``(prefix_key, query_clean, popularity_norm, pos)``.
 
     ``popularity`` has one row per ``query_clean``.  Every prefix of length
-    1..depth of each query is a key; each key keeps its ``cap`` most popular
-    queries (ties by text), ``pos`` 1-based in that order.
+    1..depth of each query is a key (``depth``: the longest prefix that will be
+    looked up, None: all); each key keeps its ``2k`` most popular queries (ties
+    by text), ``pos`` 1-based in that order.
     """
     q = popularity.where(F.length("query_clean") > 0)
-    e = q.select("query_clean", "popularity_norm",
-                 F.explode(F.sequence(F.lit(1), F.least(F.length("query_clean"), F.lit(depth)))).alias("i"))
+    n = F.length("query_clean") if depth is None else F.least(F.length("query_clean"), F.lit(depth))
+    e = q.where(n > 0).select("query_clean", "popularity_norm", F.explode(F.sequence(F.lit(1), n)).alias("i"))
     e = e.select(F.expr("substring(query_clean, 1, i)").alias("prefix_key"), "query_clean", "popularity_norm")
-    return cap_postings(e, "prefix_key", cap, [F.col("popularity_norm").desc(), F.col("query_clean").asc()])
+    return cap_postings(e, "prefix_key", 2 * k, [F.col("popularity_norm").desc(), F.col("query_clean").asc()])
 
 
 def history_scores(prefixes: DataFrame, history: DataFrame) -> DataFrame:
@@ -51,12 +48,26 @@ def history_scores(prefixes: DataFrame, history: DataFrame) -> DataFrame:
             .select("prefix_clean", "query_clean", (F.col("freq") * HISTORY_WEIGHT).alias("score")))
 
 
-def prefix_match(prefixes: DataFrame, index: DataFrame, take: int = MATCH_TAKE) -> DataFrame:
-    """R2: the first ``take`` postings of the exact prefix, ``50 + 20·pop``."""
-    post = index.where(F.col("pos") <= take).withColumnRenamed("prefix_key", "prefix_clean")
-    return (prefixes.join(post, "prefix_clean")
-            .select("prefix_clean", "query_clean",
-                    (F.lit(MATCH_BASE) + F.col("popularity_norm") * MATCH_POP).alias("score")))
+def prefix_match(prefixes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """R2: the first ``2k`` postings of the exact prefix, ``50 + 20·pop``."""
+    post = index.where(F.col("pos") <= 2 * k).withColumnRenamed("prefix_key", "prefix_clean")
+    return prefixes.join(post, "prefix_clean").select("prefix_clean", "query_clean", _match_score().alias("score"))
+
+
+def _match_score():
+    return F.lit(MATCH_BASE) + F.col("popularity_norm") * MATCH_POP
+
+
+def history_and_match(prefixes: DataFrame, history: DataFrame, popularity: DataFrame, index: DataFrame,
+                      k: int) -> DataFrame:
+    """Stage 1: history and prefix scores added up.  A past query that starts with the
+    prefix gets its prefix score however far down the posting list it stands."""
+    past = history_scores(prefixes, history)
+    starts = (past.drop("score").join(popularity.select("query_clean", "popularity_norm"), "query_clean")
+              .where((F.length("prefix_clean") > 0) & F.col("query_clean").startswith(F.col("prefix_clean")))
+              .select("prefix_clean", "query_clean", _match_score().alias("score")))
+    match = prefix_match(prefixes, index, k).unionByName(starts).dropDuplicates(["prefix_clean", "query_clean"])
+    return past.unionByName(match).groupBy("prefix_clean", "query_clean").agg(F.sum("score").alias("score"))
 
 
 def stage_counts(cands: DataFrame) -> DataFrame:
@@ -69,22 +80,21 @@ def needy(prefixes: DataFrame, cands: DataFrame, k: int) -> DataFrame:
     return c.where(F.col("n_cands") < k)
 
 
-def prefix_backoff(needy_prefixes: DataFrame, cands: DataFrame, index: DataFrame, k: int,
-                   take: int = BACKOFF_TAKE, max_len: int = BACKOFF_MAX_LEN) -> DataFrame:
-    """Back off to shorter prefixes (length min(len,6) down to 2).
+def prefix_backoff(needy_prefixes: DataFrame, cands: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Back off to shorter prefixes, down to length 2.
 
     A query takes the score of the longest level that lists it,
     ``25·i/len + 10·pop``, and only if it is not a candidate yet.  Level i
     is read only while the running count before it is below ``k``: counts
-    per level are aggregated first (≤5 rows per prefix), then a running sum
+    per level are aggregated first (one row per prefix and level), then a running sum
     over levels picks the levels to keep.
     """
     p = needy_prefixes.where(F.length("prefix_clean") >= 2).select(
         "prefix_clean", "n_cands", F.length("prefix_clean").alias("plen"))
     lv = p.select("prefix_clean", "n_cands", "plen",
-                  F.explode(F.sequence(F.least(F.col("plen"), F.lit(max_len)), F.lit(2), F.lit(-1))).alias("lvl"))
+                  F.explode(F.sequence(F.col("plen"), F.lit(2), F.lit(-1))).alias("lvl"))
     lv = lv.withColumn("prefix_key", F.expr("substring(prefix_clean, 1, lvl)"))
-    post = index.where(F.col("pos") <= take)
+    post = index.where(F.col("pos") <= 2 * k)
     hits = lv.join(post, "prefix_key")
     hits = hits.join(cands.select("prefix_clean", "query_clean"), ["prefix_clean", "query_clean"], "left_anti")
     first = Window.partitionBy("prefix_clean", "query_clean").orderBy(F.col("lvl").desc())

@@ -2,10 +2,8 @@
 
 Every profile is one pass of grouped aggregates with map-side partial
 aggregation.  Multi-column statistics unpivot with ``stack`` and group by the
-column name, so adding columns adds rows, not passes.  Exact quantiles use
-Spark's ``percentile``, whose buffer is a value->count map (memory grows with
-distinct values, not rows); ``approx=True`` switches to ``percentile_approx``
-for high-cardinality columns at scale.
+column name, so adding columns adds rows, not passes.  Quantiles are exact and
+come from ``ranking.quantiles``.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from .ranking import join_null_safe, quantiles
 
 
 def prefix_query_freq(train: DataFrame) -> DataFrame:
@@ -38,10 +37,9 @@ def value_counts_topn(df: DataFrame, col: str, n: int = 20) -> DataFrame:
     return c.orderBy(F.col("n").desc(), F.col("value").asc()).limit(n)
 
 
-def distinct_counts(tables: dict[str, tuple[DataFrame, str]], approx: bool = False) -> DataFrame:
-    """Distinct non-null values per (table, column); HLL when ``approx``."""
-    fn = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
-    parts = [df.agg(fn(col).cast("bigint").alias("n_distinct"))
+def distinct_counts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Distinct non-null values per (table, column)."""
+    parts = [df.agg(F.countDistinct(col).cast("bigint").alias("n_distinct"))
              .select(F.lit(name).alias("table_name"), F.lit(col).alias("column_name"), "n_distinct")
              for name, (df, col) in tables.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -63,22 +61,21 @@ def unpivot(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
     return df.selectExpr(*[f"`{k}`" for k in keep], stack)
 
 
-def describe_long(long_df: DataFrame, group: list[str], approx: bool = False) -> DataFrame:
+def describe_long(long_df: DataFrame, group: list[str]) -> DataFrame:
     """G7 core over long form ``(group..., value)``: count, mean, sample std,
     min, quartiles (linear interpolation), max."""
-    q = (lambda p: F.percentile_approx("value", p, 10000).cast("double")) if approx \
-        else (lambda p: F.percentile("value", p))
     v = long_df.where(F.col("value").isNotNull())
-    return v.groupBy(*group).agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"),
-        F.max("value").alias("max"))
+    a = v.groupBy(*group).agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles(v, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, group)
+    return join_null_safe(a, q, group).select(
+        *group, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def describe_numeric(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Describe every numeric column, one row per column."""
-    return describe_long(unpivot(df, cols), ["column_name"], approx)
+    return describe_long(unpivot(df, cols), ["column_name"])
 
 
 def describe_by_class(df: DataFrame, cols: list[str], label: str = "target") -> DataFrame:

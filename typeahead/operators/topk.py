@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import top_n
+
 
 def _order(score: str, tie: str, ascending: bool) -> list[Column]:
     s = F.col(score).asc() if ascending else F.col(score).desc()
@@ -66,18 +68,14 @@ def method_set_ops(a: DataFrame, b: DataFrame, key: str = "prefix",
                     F.array_except(eb, ea).alias("only_b"))
 
 
-def reduce_pool(pool: DataFrame, score: str, cap: int, n_top: int, n_random: int,
+def reduce_pool(pool: DataFrame, score: str, n_top: int, n_random: int,
                 seed: int = 42, key: str = "query_clean") -> DataFrame:
-    """When the pool exceeds ``cap`` rows keep the ``n_top`` most popular
-    rows plus a fixed-seed sample of ``n_random`` rows, exact duplicates removed.
+    """The ``n_top`` most popular rows plus a fixed-seed sample of
+    ``n_random`` rows, exact duplicates removed.
 
     The sample order is ``md5(seed|key)`` so it is the same on every run.
-    The row count is one aggregate; the limits are global top-n reductions.
     """
-    n = pool.count()
-    if n <= cap:
-        return pool
-    top = pool.orderBy(F.col(score).desc(), F.col(key).asc()).limit(n_top)
+    top = top_n(pool, [F.col(score).desc(), F.col(key).asc()], n_top)
     rnd = fixed_size_sample(pool, n_random, seed, key)
     return top.unionByName(rnd).dropDuplicates()
 
@@ -85,4 +83,4 @@ def reduce_pool(pool: DataFrame, score: str, cap: int, n_top: int, n_random: int
 def fixed_size_sample(df: DataFrame, n: int, seed: int = 42, key: str = "query") -> DataFrame:
     """H1: ``n`` rows chosen by a seeded hash order (deterministic)."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+    return top_n(df.withColumn("_h", h), [F.col("_h").asc(), F.col(key).asc()], n).drop("_h")

@@ -89,8 +89,14 @@ def q_score_histogram_by_class(spark, d):
     return round_hist(G.histogram(fx.fx_scored(spark, d), "score", 50, ["target"]))
 
 
-@register("stratified_split", _FX + """SELECT doc_id, target,
-  (CAST('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000) / 10000e0 < 0.2e0 AS is_valid
+def split_sql(key: str) -> str:
+    """H3 in DuckDB: the share of 0.2 of each target, first by hash."""
+    u = f"CAST('0x' || substr(md5('42|' || {key}), 1, 8) AS BIGINT)"
+    return (f"row_number() OVER (PARTITION BY target ORDER BY {u}, {key}) "
+            "<= floor(count(*) OVER (PARTITION BY target) * 0.2e0 + 0.5e0)")
+
+
+@register("stratified_split", _FX + f"""SELECT doc_id, target, {split_sql('CAST(doc_id AS VARCHAR)')} AS is_valid
 FROM fx_scored""")
 def q_stratified_split(spark, d):
     return FT.stratified_split(fx.fx_scored(spark, d), "doc_id").select("doc_id", "target", "is_valid")

@@ -13,6 +13,7 @@ from ..sources import fixtures as fx
 from ..session import reuse
 from . import track_c as TC
 from .q_dense import _sql_dot, _sql_sq_l2, emb_sql
+from .q_eval import split_sql
 from .q_lexical import _BM25_CTE
 from .registry import register
 
@@ -131,18 +132,19 @@ def _lists(spark, d):
     return a.select("prefix", "candidate", "rank"), b.select("prefix", "candidate", "rank")
 
 
-_LISTS_SQL = _CU + """, la AS (SELECT * FROM (SELECT prefix, candidate, CAST(row_number() OVER (PARTITION BY prefix
+_LISTS_SQL = _CU + """, la AS MATERIALIZED (SELECT * FROM (SELECT prefix, candidate, CAST(row_number() OVER (PARTITION BY prefix
    ORDER BY bm25_score DESC, candidate) AS INT) AS rank FROM cu WHERE bm25_score > 0) WHERE rank <= 10),
-lb AS (SELECT * FROM (SELECT prefix, candidate, CAST(row_number() OVER (PARTITION BY prefix
+lb AS MATERIALIZED (SELECT * FROM (SELECT prefix, candidate, CAST(row_number() OVER (PARTITION BY prefix
    ORDER BY semantic_distance, candidate) AS INT) AS rank FROM cu) WHERE rank <= 10)
 """
 
 
 @register("compare_methods", _LISTS_SQL + """SELECT coalesce(la.prefix, lb.prefix) AS prefix, coalesce(la.rank, lb.rank) AS rank,
   la.candidate AS candidate_a, lb.candidate AS candidate_b,
-  CASE WHEN la.candidate IN (SELECT candidate FROM lb x WHERE x.prefix = la.prefix) THEN 1 ELSE 0 END AS a_in_b,
-  CASE WHEN lb.candidate IN (SELECT candidate FROM la x WHERE x.prefix = lb.prefix) THEN 1 ELSE 0 END AS b_in_a
-FROM la FULL OUTER JOIN lb ON la.prefix = lb.prefix AND la.rank = lb.rank""")
+  CASE WHEN x.prefix IS NULL THEN 0 ELSE 1 END AS a_in_b, CASE WHEN y.prefix IS NULL THEN 0 ELSE 1 END AS b_in_a
+FROM la FULL OUTER JOIN lb ON la.prefix = lb.prefix AND la.rank = lb.rank
+LEFT JOIN lb x ON x.prefix = la.prefix AND x.candidate = la.candidate
+LEFT JOIN la y ON y.prefix = lb.prefix AND y.candidate = lb.candidate""")
 def q_compare_methods(spark, d):
     a, b = _lists(spark, d)
     return C.compare_methods(a, b)
@@ -192,13 +194,12 @@ def _ensure_true_query(spark, d):
 
 def _prepare_features(spark, d):
     p = TC.prepare_features(_reranking_dataset(spark, d)).drop("features")
-    return p.select("prefix", "candidate", "target", "is_valid", *_r6(FT.FEATURE_COLUMNS))
+    return p.select("prefix", "candidate", "target", "weight", "is_valid", *_r6(FT.FEATURE_COLUMNS))
 
 
 def _prep_sql() -> str:
-    valid = ("(CAST('0x' || substr(md5('42|' || prefix || '|' || candidate), 1, 8) AS BIGINT) % 10000) "
-             "/ 10000e0 < 0.2e0")
-    return _m6_sql() + f"SELECT prefix, candidate, target, {valid} AS is_valid, " + ", ".join(
+    k = "prefix || '|' || candidate"
+    return _m6_sql() + f"SELECT prefix, candidate, target, weight, {split_sql(k)} AS is_valid, " + ", ".join(
         f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in FT.FEATURE_COLUMNS) + " FROM feat"
 
 
@@ -207,15 +208,15 @@ def _late_register():
              "round(semantic_distance, 6) AS semantic_distance FROM sc")(_ensure_true_query)
     register("prepare_features", _prep_sql())(_prepare_features)
     register("reranking_dataset", _m6_select_sql())(lambda spark, d: _m6_select(_reranking_dataset(spark, d)))
-    register("sample_negatives", _m6_sql() + "SELECT prefix, query, candidate FROM neg")(
+    register("sample_negatives", _m6_sql() + "SELECT prefix, query, occ, candidate FROM neg")(
         lambda spark, d: _sample_negatives(spark, d))
 
 
 def _sample_negatives(spark, d):
     ins = fx.inputs(spark, d)
-    pairs = ins["train"].dropna(subset=["prefix", "query"]).select("prefix", "query").distinct()
+    pairs = reuse(FT.occurrences(ins["train"].dropna(subset=["prefix", "query"]), ["prefix", "query"]))
     r = TC.build_retrieval(ins["pool"])
-    cands = TC.candidates(r, pairs.select("prefix"), TC.prefix_embeddings(pairs))
+    cands = TC.candidates(r, pairs.select("prefix").distinct(), TC.prefix_embeddings(pairs))
     return FT.sample_negatives(pairs, cands)
 
 
@@ -259,38 +260,38 @@ def _m6_sql() -> str:
     head = fx.with_fx("fx_pool", "fx_test", "fx_query_features")[:-1]
     body = _CU[len(head):].replace("(SELECT DISTINCT prefix FROM fx_test)", "(SELECT DISTINCT prefix FROM pairs)")
     new_head = (fx.with_fx("fx_pool", "fx_train", "fx_query_features")[:-1]
-                + ",\npairs AS (SELECT DISTINCT prefix, query FROM fx_train "
+                + ",\npairs AS (SELECT prefix, query, row_number() OVER (PARTITION BY prefix, query) - 1 AS occ FROM fx_train "
                   "WHERE prefix IS NOT NULL AND query IS NOT NULL)")
     pre, post = body.split("\ncs AS (", 1)
     pre += "\n"
     md5i = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
-    key = "'42|' || p.prefix || '|' || p.query"
+    key = "'42|' || p.prefix || '|' || p.query || '|' || p.occ"
     labelled = f"""ranked AS (SELECT prefix, candidate, row_number() OVER (PARTITION BY prefix
    ORDER BY md5('42|' || prefix || '|' || candidate), candidate) - 1 AS pos FROM cu),
 sizes AS (SELECT prefix, count(*) AS n FROM ranked GROUP BY prefix),
-pp AS (SELECT p.prefix, p.query, s.n, 5 + {md5i.format(key)} % 6 AS want,
+pp AS (SELECT p.prefix, p.query, p.occ, s.n, 5 + {md5i.format(key)} % 6 AS want,
               {md5i.format(key + " || '|start'")} % s.n AS start FROM pairs p JOIN sizes s ON s.prefix = p.prefix),
-slots AS (SELECT prefix, query, want, j, (start + j) % n AS pos FROM pp, unnest(range(0, least(10, n - 1) + 1)) AS u(j)),
-neg0 AS (SELECT s.prefix, s.query, r.candidate, s.j, s.want FROM slots s JOIN ranked r
+slots AS (SELECT prefix, query, occ, want, j, (start + j) % n AS pos FROM pp, unnest(range(0, least(10, n - 1) + 1)) AS u(j)),
+neg0 AS (SELECT s.prefix, s.query, s.occ, r.candidate, s.j, s.want FROM slots s JOIN ranked r
          ON r.prefix = s.prefix AND r.pos = s.pos WHERE r.candidate <> s.query),
-neg AS (SELECT prefix, query, candidate FROM (SELECT *, row_number() OVER (PARTITION BY prefix, query ORDER BY j) AS rr
+neg AS (SELECT prefix, query, occ, candidate FROM (SELECT *, row_number() OVER (PARTITION BY prefix, query, occ ORDER BY j) AS rr
         FROM neg0) WHERE rr <= want),
-rws AS (SELECT DISTINCT prefix, query AS candidate, 1 AS target FROM neg
-        UNION ALL SELECT prefix, candidate, 0 FROM neg),
+rws AS (SELECT prefix, query AS candidate, 1 AS target, count(DISTINCT occ) AS weight FROM neg GROUP BY 1, 2
+        UNION ALL SELECT prefix, candidate, 0, count(*) FROM neg GROUP BY 1, 2),
 sc AS (SELECT prefix, candidate, bm25_score, semantic_distance FROM cu
-       UNION ALL SELECT p.prefix, p.query, 0e0, 0e0 FROM pairs p
+       UNION ALL SELECT DISTINCT p.prefix, p.query, 0e0, 0e0 FROM pairs p
        WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.prefix = p.prefix AND cu.candidate = p.query)),
-fin AS (SELECT r.prefix, r.candidate, r.target, coalesce(sc.bm25_score, 0e0) AS bm25_score, sc.semantic_distance
+fin AS (SELECT r.prefix, r.candidate, r.target, r.weight, coalesce(sc.bm25_score, 0e0) AS bm25_score, sc.semantic_distance
         FROM rws r LEFT JOIN sc ON sc.prefix = r.prefix AND sc.candidate = r.candidate),
 """
     post = post.replace("FROM cu UNION SELECT DISTINCT candidate FROM cu", "FROM fin UNION SELECT DISTINCT candidate FROM fin")
-    post = post.replace("feat AS (SELECT cu.prefix, cu.candidate,", "feat AS (SELECT cu.prefix, cu.candidate, cu.target,")
+    post = post.replace("feat AS (SELECT cu.prefix, cu.candidate,", "feat AS (SELECT cu.prefix, cu.candidate, cu.target, cu.weight,")
     post = post.replace(" FROM cu JOIN cs a", " FROM fin cu JOIN cs a")
     post = post.replace("JOIN (SELECT te.prefix, pl.query AS candidate", "LEFT JOIN (SELECT te.prefix, pl.query AS candidate")
     return new_head + pre + labelled + "cs AS (" + post
 
 
-_M6_OUT = ["prefix", "candidate", "target", "semantic_distance"] + FT.FEATURE_COLUMNS
+_M6_OUT = ["prefix", "candidate", "target", "weight", "semantic_distance"] + FT.FEATURE_COLUMNS
 _M6_ROUND = ("cosine_similarity", "bm25_score", "length_ratio", "char_jaccard", "semantic_distance")
 
 

@@ -29,25 +29,30 @@ scored AS (SELECT query, query_clean, popularity_score,
            FROM sc0, (SELECT max(popularity_score) AS m FROM sc0)),
 pop AS (SELECT query_clean, max(popularity_score) AS popularity_score, max(popularity_norm) AS popularity_norm
         FROM scored GROUP BY 1),
+tp AS (SELECT DISTINCT {S.norm('prefix')} AS prefix_clean FROM fx_test),
 idx AS (SELECT * FROM (SELECT prefix_key, query_clean, popularity_norm,
           CAST(row_number() OVER (PARTITION BY prefix_key ORDER BY popularity_norm DESC, query_clean) AS INT) AS pos
           FROM (SELECT substr(query_clean, 1, i) AS prefix_key, query_clean, popularity_norm
-                FROM pop, unnest(range(1, least(length(query_clean), 15) + 1)) AS u(i) WHERE length(query_clean) > 0))
-        WHERE pos <= 1000),
+                FROM pop, unnest(range(1, least(length(query_clean), (SELECT max(length(prefix_clean)) FROM tp)) + 1)) AS u(i)
+                WHERE length(query_clean) > 0))
+        WHERE pos <= {2 * K}),
 hist AS (SELECT {S.norm('prefix')} AS prefix_clean, {S.norm('query')} AS query_clean, CAST(count(*) AS BIGINT) AS freq
          FROM fx_train GROUP BY 1, 2),
-tp AS (SELECT DISTINCT {S.norm('prefix')} AS prefix_clean FROM fx_test),
 s1 AS (SELECT prefix_clean, query_clean, sum(score) AS score FROM (
          SELECT prefix_clean, query_clean, freq * 100e0 AS score FROM tp JOIN hist USING (prefix_clean)
-         UNION ALL SELECT tp.prefix_clean, idx.query_clean, 50e0 + idx.popularity_norm * 20e0
-         FROM tp JOIN idx ON idx.prefix_key = tp.prefix_clean AND idx.pos <= 500) GROUP BY 1, 2),
+         UNION ALL SELECT prefix_clean, query_clean, 50e0 + popularity_norm * 20e0 FROM (
+           SELECT tp.prefix_clean, idx.query_clean, idx.popularity_norm
+           FROM tp JOIN idx ON idx.prefix_key = tp.prefix_clean AND idx.pos <= {2 * K}
+           UNION SELECT tp.prefix_clean, pop.query_clean, pop.popularity_norm FROM tp JOIN hist USING (prefix_clean)
+           JOIN pop ON pop.query_clean = hist.query_clean
+           WHERE length(tp.prefix_clean) > 0 AND starts_with(pop.query_clean, tp.prefix_clean))) GROUP BY 1, 2),
 n1 AS (SELECT tp.prefix_clean, coalesce(c.n, 0) AS n_cands FROM tp
        LEFT JOIN (SELECT prefix_clean, count(*) AS n FROM s1 GROUP BY 1) c USING (prefix_clean)
        WHERE coalesce(c.n, 0) < {K}),
 lv AS (SELECT prefix_clean, n_cands, length(prefix_clean) AS plen, lvl, substr(prefix_clean, 1, lvl) AS prefix_key
-       FROM n1, unnest(range(least(length(prefix_clean), 6), 1, -1)) AS u(lvl) WHERE length(prefix_clean) >= 2),
+       FROM n1, unnest(range(length(prefix_clean), 1, -1)) AS u(lvl) WHERE length(prefix_clean) >= 2),
 hits0 AS (SELECT lv.prefix_clean, lv.n_cands, lv.plen, lv.lvl, idx.query_clean, idx.popularity_norm
-          FROM lv JOIN idx ON idx.prefix_key = lv.prefix_key AND idx.pos <= 300
+          FROM lv JOIN idx ON idx.prefix_key = lv.prefix_key AND idx.pos <= {2 * K}
           WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.prefix_clean = lv.prefix_clean AND s1.query_clean = idx.query_clean)),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix_clean, query_clean ORDER BY lvl DESC) AS r
          FROM hits0) WHERE r = 1),
@@ -60,9 +65,9 @@ s2 AS (SELECT prefix_clean, query_clean, 25e0 * lvl / plen + popularity_norm * 1
 c2 AS (SELECT prefix_clean, query_clean, score, 1 AS stage FROM s1
        UNION ALL SELECT prefix_clean, query_clean, score, 2 FROM s2),
 n2 AS (SELECT tp.prefix_clean FROM tp LEFT JOIN (SELECT prefix_clean, count(*) AS n FROM c2 GROUP BY 1) c
-       USING (prefix_clean) WHERE coalesce(c.n, 0) < {K} AND length(tp.prefix_clean) >= 3),
+       USING (prefix_clean) WHERE coalesce(c.n, 0) < {K}),
 popular AS (SELECT query_clean, max(popularity_score) AS popularity_score FROM
-            (SELECT * FROM scored ORDER BY popularity_score DESC, query_clean, query LIMIT 50000) GROUP BY 1),
+            scored GROUP BY 1),
 """
 
 
@@ -73,8 +78,8 @@ def _fuzzy_sql(src: str) -> str:
                range(1, greatest(length(p.query_clean) - length(x.prefix_clean) + 1, 1) + 1),
                lambda i: levenshtein(x.prefix_clean, substr(p.query_clean, i, length(x.prefix_clean)))))
                / length(x.prefix_clean)), 6) AS fuzzy_score
-      FROM {src} x, popular p WHERE length(x.prefix_clean) BETWEEN 2 AND 20) WHERE fuzzy_score >= 60)
-    WHERE rank <= 50)"""
+      FROM {src} x, popular p WHERE length(x.prefix_clean) > 0) WHERE fuzzy_score >= 60)
+    WHERE rank <= {K})"""
 
 
 def _fuzzy_out(src: str) -> str:
@@ -122,7 +127,7 @@ def _inputs(spark, d):
 
 def _a(spark, d):
     i = _inputs(spark, d)
-    return i, TA.build(i["train"], i["pool"], i["features"])
+    return i, TA.build(i["train"], i["pool"], i["features"], i["test"])
 
 
 def _tp(test):
@@ -136,24 +141,19 @@ def q_prefix_index(spark, d):
     return a.index.select("prefix_key", "query_clean", F.round("popularity_norm", 6).alias("popularity_norm"), "pos")
 
 
-@register("prefix_match", _TA + """SELECT tp.prefix_clean, idx.query_clean, round(50e0 + idx.popularity_norm * 20e0, 6) AS score
-FROM tp JOIN idx ON idx.prefix_key = tp.prefix_clean AND idx.pos <= 500""")
+@register("prefix_match", _TA + f"""SELECT tp.prefix_clean, idx.query_clean, round(50e0 + idx.popularity_norm * 20e0, 6) AS score
+FROM tp JOIN idx ON idx.prefix_key = tp.prefix_clean AND idx.pos <= {2 * K}""")
 def q_prefix_match(spark, d):
     i, a = _a(spark, d)
-    m = R.prefix_match(_tp(i["test"]), a.index)
+    m = R.prefix_match(_tp(i["test"]), a.index, K)
     return m.select("prefix_clean", "query_clean", F.round("score", 6).alias("score"))
 
 
-def _stage1(a, p):
-    return (R.history_scores(p, a.history).unionByName(R.prefix_match(p, a.index))
-            .groupBy("prefix_clean", "query_clean").agg(F.sum("score").alias("score")))
-
-
 @register("prefix_backoff", _TA + "SELECT prefix_clean, query_clean, round(score, 6) AS score FROM s2")
 def q_prefix_backoff(spark, d):
     i, a = _a(spark, d)
     p = _tp(i["test"])
-    s1 = _stage1(a, p)
+    s1 = R.history_and_match(p, a.history, a.popularity, a.index, K)
     s2 = R.prefix_backoff(R.needy(p, s1, K), s1, a.index, K)
     return s2.select("prefix_clean", "query_clean", F.round("score", 6).alias("score"))
 
@@ -161,13 +161,13 @@ def q_prefix_backoff(spark, d):
 @register("fuzzy_window_levenshtein", _TA + "SELECT * FROM " + _fuzzy_out("tp"))
 def q_fuzzy_window_levenshtein(spark, d):
     i, a = _a(spark, d)
-    return FZ.fuzzy_window_levenshtein(_tp(i["test"]), a.popular)
+    return FZ.fuzzy_window_levenshtein(_tp(i["test"]), a.popular, limit=K)
 
 
 @register("fuzzy_partial_ratio")
 def q_fuzzy_partial_ratio(spark, d):
     i, a = _a(spark, d)
-    return FZ.fuzzy_partial_ratio(_tp(i["test"]), a.popular)
+    return FZ.fuzzy_partial_ratio(_tp(i["test"]), a.popular, limit=K)
 
 
 @register("fuzzy_popular_subset", _TA + "SELECT query_clean, popularity_score FROM popular")
@@ -206,6 +206,14 @@ def q_cascade_topk(spark, d):
         .select("prefix", (F.col("pos") + 1).cast("int").alias("rank"), "query")
 
 
+@register("cascade_topk_partial_ratio")
+def q_cascade_topk_partial_ratio(spark, d):
+    i = _inputs(spark, d)
+    sub = TA.cascade_topk(i["train"], i["test"], i["pool"], i["features"], K, fuzzy="partial_ratio")
+    return sub.select("prefix", F.posexplode("retrieved_queries").alias("pos", "query")) \
+        .select("prefix", (F.col("pos") + 1).cast("int").alias("rank"), "query")
+
+
 @register("collect_ranked_list", _TA + """SELECT prefix_clean, CAST(count(*) AS INT) AS n_items,
   string_agg(query_clean, '|' ORDER BY rank) AS items FROM ranked GROUP BY prefix_clean""")
 def q_collect_ranked_list(spark, d):
@@ -282,17 +290,16 @@ def q_head_n(spark, d):
     return W.head_n(fx.fx_pool(spark, d), 100, [F.col("query").asc()])
 
 
-@register("cap_postings", _TA + """SELECT * FROM (SELECT prefix_clean, query_clean, freq,
+@register("cap_postings", _TA + f"""SELECT * FROM (SELECT prefix_clean, query_clean, freq,
   CAST(row_number() OVER (PARTITION BY prefix_clean ORDER BY freq DESC, query_clean) AS INT) AS pos FROM hist)
-WHERE pos <= 5""")
+WHERE pos <= {K}""")
 def q_cap_postings(spark, d):
     _, a = _a(spark, d)
-    return W.cap_postings(a.history, "prefix_clean", 5, [F.col("freq").desc(), F.col("query_clean").asc()])
+    return W.cap_postings(a.history, "prefix_clean", K, [F.col("freq").desc(), F.col("query_clean").asc()])
 
 
-# Sizes scaled down from 700,000 / 560,000 / 140,000 so the reduction runs
-# on test data; the operator takes them as parameters.
-REDUCE_CAP, REDUCE_TOP, REDUCE_RANDOM = 1000, 800, 200
+# Sizes of the reduced pool.
+REDUCE_TOP, REDUCE_RANDOM = 560_000, 140_000
 
 
 @register("reduce_pool", _TA + f"""SELECT DISTINCT * FROM (
@@ -304,7 +311,7 @@ REDUCE_CAP, REDUCE_TOP, REDUCE_RANDOM = 1000, 800, 200
 def q_reduce_pool(spark, d):
     _, a = _a(spark, d)
     s = a.scored.select("query_clean", "popularity_score", F.round("popularity_norm", 6).alias("popularity_norm"))
-    return W.reduce_pool(s, "popularity_score", REDUCE_CAP, REDUCE_TOP, REDUCE_RANDOM, 42, "query_clean")
+    return W.reduce_pool(s, "popularity_score", REDUCE_TOP, REDUCE_RANDOM, 42, "query_clean")
 
 
 @register("distinct_queries", _TA + "SELECT DISTINCT query_clean FROM scored")

@@ -154,21 +154,14 @@ def q_feature_correlation(spark, d):
     return c.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
 
 
-# Fixed-size sample for the length scatter (the sample is the feature).
-SAMPLE_N = 10000
 SAMPLE_SEED = 42
 
 
 @register("length_correlation", fx.with_fx("fx_train")
-          + "SELECT CAST(count(*) AS BIGINT) AS n_sample, round(corr(length(prefix), length(query)), 6) AS corr FROM "
-            f"(SELECT prefix, query FROM (SELECT *, md5('{SAMPLE_SEED}|' || coalesce(prefix, '') || '|' || query) AS h "
-            f"FROM fx_train) ORDER BY h LIMIT {SAMPLE_N})")
+          + "SELECT CAST(count(*) AS BIGINT) AS n_rows, round(corr(length(prefix), length(query)), 6) AS corr FROM fx_train")
 def q_length_correlation(spark, d):
-    t = fx.fx_train(spark, d).withColumn(
-        "k", F.concat(F.coalesce("prefix", F.lit("")), F.lit("|"), F.col("query")))
-    s = fixed_size_sample(t, SAMPLE_N, SAMPLE_SEED, "k")
-    return s.agg(F.count(F.lit(1)).alias("n_sample"),
-                 F.round(F.corr(F.length("prefix"), F.length("query")), 6).alias("corr"))
+    return fx.fx_train(spark, d).agg(F.count(F.lit(1)).alias("n_rows"),
+                                     F.round(F.corr(F.length("prefix"), F.length("query")), 6).alias("corr"))
 
 
 @register("fixed_size_sample", fx.with_fx("fx_pool")

@@ -12,6 +12,7 @@ from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import sqlfrag as S
 from .registry import register
+from .track_a import TOP_K
 
 
 def _docs(spark, d):
@@ -78,7 +79,7 @@ def q_drop_missing_pairs(spark, d):
            FROM fx_train GROUP BY 1, 2),
 top AS (SELECT prefix_clean, query_clean, row_number() OVER (PARTITION BY prefix_clean ORDER BY freq DESC, query_clean) AS r
         FROM hist),
-lists AS (SELECT prefix_clean, list(query_clean ORDER BY r) AS l FROM top WHERE r <= 10 GROUP BY 1),
+lists AS (SELECT prefix_clean, list(query_clean ORDER BY r) AS l FROM top WHERE r <= {TOP_K} GROUP BY 1),
 t AS (SELECT DISTINCT prefix FROM fx_train)
 SELECT coalesce(t.prefix, '') AS prefix,
        CAST(len(coalesce(CASE WHEN coalesce(t.prefix, '') = '' THEN NULL ELSE l END, [])) AS INT) AS n_items,
@@ -88,7 +89,7 @@ def q_guard_empty_prefix(spark, d):
     from ..operators.candidates import guard_empty_prefix
     train = fx.fx_train(spark, d)
     hist = G.prefix_query_freq(train).withColumnRenamed("query_clean", "candidate")
-    lists = collect_ranked_list(topk_per_key(hist, "prefix_clean", "freq", 10), "prefix_clean")
+    lists = collect_ranked_list(topk_per_key(hist, "prefix_clean", "freq", TOP_K), "prefix_clean")
     out = guard_empty_prefix(train.select("prefix").distinct(), lists)
     return out.select("prefix", F.size("retrieved_queries").alias("n_items"),
                       F.array_join("retrieved_queries", "|").alias("items"))

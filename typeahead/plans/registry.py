@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from ..session import release
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,9 +21,9 @@ def register(key: str, sql: str | None = None):
             raise ValueError(f"duplicate query key {key}")
 
         def run(spark, sf_dir):
-            # Drop what earlier queries kept in memory; caching is transparent,
-            # so a query built before this call only recomputes.
-            spark.catalog.clearCache()
+            # Drop what earlier queries kept in memory, and nothing of others;
+            # a query built before this call only recomputes.
+            release()
             return fn(spark, sf_dir)
         run.__name__ = getattr(fn, "__name__", key)
         run.__doc__ = fn.__doc__

@@ -12,7 +12,7 @@ popular fallback.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +28,43 @@ from ..session import cut, reuse
 TOP_K = 150
 
 
-@dataclass
 class TrackA:
-    history: DataFrame        # prefix_clean, query_clean, freq
-    scored: DataFrame         # pool rows: query, query_clean, popularity_score, popularity_norm
-    popularity: DataFrame     # one row per query_clean
-    index: DataFrame          # prefix_key, query_clean, popularity_norm, pos
-    popular: DataFrame        # fuzzy list: query_clean
+    """Tables of the cascade, each built when first used."""
 
+    def __init__(self, train: DataFrame, pool: DataFrame, features: DataFrame, k: int, depth: int | None):
+        self.inputs, self.k, self.depth = (train, pool, features), k, depth
 
-def build(train: DataFrame, pool: DataFrame, features: DataFrame) -> TrackA:
-    scored = reuse(P.scored_pool(pool, features))
-    pop = reuse(P.query_popularity(scored))
-    return TrackA(history=reuse(prefix_query_freq(train)), scored=scored, popularity=pop,
-                  index=reuse(R.prefix_index(pop)), popular=reuse(FZ.fuzzy_popular_subset(scored)))
+    @cached_property
+    def history(self) -> DataFrame:
+        """prefix_clean, query_clean, freq"""
+        return reuse(prefix_query_freq(self.inputs[0]))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Pool rows: query, query_clean, popularity_score, popularity_norm."""
+        return reuse(P.scored_pool(*self.inputs[1:]))
+
+    @cached_property
+    def popularity(self) -> DataFrame:
+        """One row per query_clean."""
+        return reuse(P.query_popularity(self.scored))
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """prefix_key, query_clean, popularity_norm, pos"""
+        return reuse(R.prefix_index(self.popularity, self.k, self.depth))
+
+    @cached_property
+    def popular(self) -> DataFrame:
+        """Queries for fuzzy matching: query_clean, popularity_score."""
+        return reuse(FZ.fuzzy_popular_subset(self.scored))
+
+
+def build(train: DataFrame, pool: DataFrame, features: DataFrame, test: DataFrame | None = None,
+          k: int = TOP_K) -> TrackA:
+    """``test`` bounds the depth of the prefix index by its longest prefix."""
+    depth = None if test is None else test.agg(F.max(F.length(normalize_text("prefix")))).first()[0] or 0
+    return TrackA(train, pool, features, k, depth)
 
 
 def cascade_candidates(a: TrackA, prefixes: DataFrame, k: int = TOP_K,
@@ -50,15 +73,13 @@ def cascade_candidates(a: TrackA, prefixes: DataFrame, k: int = TOP_K,
     # an empty normalised prefix is scored like any other (history of the
     # empty prefix, then the popular fallback), as the cascade does
     p = reuse(prefixes.select("prefix_clean").distinct())
-    s1 = (R.history_scores(p, a.history).unionByName(R.prefix_match(p, a.index))
-          .groupBy("prefix_clean", "query_clean").agg(F.sum("score").alias("score"))
-          .withColumn("stage", F.lit(1)))
-    s1 = reuse(s1)
+    s1 = reuse(R.history_and_match(p, a.history, a.popularity, a.index, k).withColumn("stage", F.lit(1)))
     n1 = R.needy(p, s1, k)
     s2 = R.prefix_backoff(n1, s1, a.index, k).withColumn("stage", F.lit(2))
     c2 = reuse(s1.unionByName(s2))
-    n2 = R.needy(p, c2, k).where(F.length("prefix_clean") >= 3)
-    fz = (FZ.fuzzy_partial_ratio if fuzzy == "partial_ratio" else FZ.fuzzy_window_levenshtein)(n2, a.popular)
+    n2 = R.needy(p, c2, k)
+    match = FZ.fuzzy_partial_ratio if fuzzy == "partial_ratio" else FZ.fuzzy_window_levenshtein
+    fz = match(n2, a.popular, limit=k)
     fz = fz.join(a.popularity.select("query_clean", "popularity_norm"), "query_clean", "left")
     s3 = (fz.join(c2.select("prefix_clean", "query_clean"), ["prefix_clean", "query_clean"], "left_anti")
           .select("prefix_clean", "query_clean",
@@ -83,7 +104,7 @@ def cascade_ranked(a: TrackA, prefixes: DataFrame, k: int = TOP_K, fuzzy: str =
 def cascade_topk(train: DataFrame, test: DataFrame, pool: DataFrame, features: DataFrame,
                  k: int = TOP_K, fuzzy: str = "levenshtein") -> DataFrame:
     """``(prefix, retrieved_queries)`` for every test row."""
-    a = build(train, pool, features)
+    a = build(train, pool, features, test, k)
     t = test.select("prefix", normalize_text("prefix").alias("prefix_clean"))
     ranked = cascade_ranked(a, t, k, fuzzy).withColumnRenamed("query_clean", "candidate")
     lists = collect_ranked_list(ranked, "prefix_clean")

@@ -64,18 +64,24 @@ def candidates(r: Retrieval, prefixes: DataFrame, pemb: DataFrame) -> DataFrame:
 
 
 def reranking_dataset(train: DataFrame, pool: DataFrame, features: DataFrame, seed: int = 42) -> DataFrame:
-    """M6: labelled feature rows: 1 for the true query, 5-10 sampled negatives."""
-    pairs = reuse(train.dropna(subset=["prefix", "query"]).select("prefix", "query").distinct())
+    """M6: labelled feature rows: 1 for the true query, 5-10 sampled negatives.
+
+    Every training row draws its own negatives.  Equal labelled rows come out once, with
+    their number as ``weight``."""
+    rows = train.dropna(subset=["prefix", "query"])
+    occ = reuse(FT.occurrences(rows, ["prefix", "query"]))
+    pairs = reuse(occ.groupBy("prefix", "query").agg(F.count(F.lit(1)).alias("weight")))
     r = build_retrieval(pool)
     pemb = prefix_embeddings(pairs)
-    cands = cut(candidates(r, pairs.select("prefix"), pemb))
-    sampled = reuse(FT.sample_negatives(pairs, cands, seed))
-    neg = sampled.select("prefix", "candidate", F.lit(0).alias("target"))
+    cands = cut(candidates(r, pairs.select("prefix").distinct(), pemb))
+    sampled = reuse(FT.sample_negatives(occ, cands, seed))
+    neg = (sampled.groupBy("prefix", "candidate").agg(F.count(F.lit(1)).alias("weight"))
+           .select("prefix", "candidate", F.lit(0).alias("target"), "weight"))
     # a pair without any negative is skipped entirely, its positive too
     kept = pairs.join(sampled.select("prefix", "query").distinct(), ["prefix", "query"], "left_semi")
-    pos = kept.select("prefix", F.col("query").alias("candidate"), F.lit(1).alias("target"))
+    pos = kept.select("prefix", F.col("query").alias("candidate"), F.lit(1).alias("target"), "weight")
     # true queries missed by retrieval enter with scores (0, 0)
-    scored = ensure_true_query(cands, pairs)
+    scored = ensure_true_query(cands, pairs.select("prefix", "query"))
     rows = pos.unionByName(neg).join(scored, ["prefix", "candidate"], "left").na.fill(0.0, ["bm25_score"])
     return FT.pair_features(rows, pemb, r.pool_emb, features)
 
@@ -83,7 +89,7 @@ def reranking_dataset(train: DataFrame, pool: DataFrame, features: DataFrame, se
 def prepare_features(ds: DataFrame, names: list[str] | None = None, seed: int = 42) -> DataFrame:
     """M7: feature columns filled with 0, split flag, assembled vector."""
     names = names or FT.FEATURE_COLUMNS
-    a = FT.align_features(ds, names, keep=["prefix", "candidate", "target"])
+    a = FT.align_features(ds, names, keep=["prefix", "candidate", "target", "weight"])
     a = FT.stratified_split(a.withColumn("_k", F.concat_ws("|", "prefix", "candidate")), "_k", seed).drop("_k")
     return VectorAssembler(inputCols=names, outputCol="features").transform(a)
 
@@ -91,7 +97,8 @@ def prepare_features(ds: DataFrame, names: list[str] | None = None, seed: int =
 def train_reranker(prepared: DataFrame, params: dict | None = None) -> PipelineModel:
     """M8: gradient-boosted trees with a validation-based stop."""
     p = dict(GBT_PARAMS, **(params or {}))
-    gbt = GBTClassifier(labelCol="target", featuresCol="features", validationIndicatorCol="is_valid", **p)
+    gbt = GBTClassifier(labelCol="target", featuresCol="features", validationIndicatorCol="is_valid",
+                        weightCol="weight", **p)
     return Pipeline(stages=[gbt]).fit(prepared.withColumn("target", F.col("target").cast("double")))
 
 

@@ -24,11 +24,15 @@ _DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": BROADCAST_LIMIT,
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+_KEPT: list = []
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "typeahead") -> SparkSession:
     active = SparkSession.getActiveSession()
@@ -78,9 +82,18 @@ def reuse(df):
     A lost executor only recomputes its own partitions from lineage.
     """
     from pyspark import StorageLevel
+    _KEPT.append(df)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def release() -> None:
+    """Unpersist what ``reuse`` has kept so far; other cached tables stay."""
+    while _KEPT:
+        df = _KEPT.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # its session still runs
+            df.unpersist()
+
+
 def cut(df):
     """Write a stage result to the shared checkpoint folder and continue from
     it: later stages (and recovery after a lost executor) read the written
