@@ -14,7 +14,7 @@ def plans(spark, sf):
     out = {}
     for k, fn in E.queries().items():
         if k in ("train_reranker", "feature_importance", "rerank_topk", "explain_prefix", "model_metadata"):
-            continue  # these fit a model while building the plan; their scoring plans are covered below
+            continue  # these fit a model while building the plan; not checked here
         out[k] = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
     return out
 
