@@ -393,6 +393,40 @@ def test_main_text():
     assert tag_paths.main_text(links).count("Long") == 5 and "a\n" not in tag_paths.main_text(links)
 
 
+LONG = "A sentence of the article stands here, and it goes on for a while. " * 9
+
+
+def text_of(*blocks):
+    return "\n\n".join(" ".join(b.split()) for b in blocks)
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 200])
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<section><div>{}</div></section>"])
+def test_main_text_keeps_lists_and_tables(n, wrap):
+    items = [f"short entry number {i}" for i in range(n)]
+    lists = "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>"
+    cells = "<table>" + "".join(f"<tr><td>{x}<td>{i}" for i, x in enumerate(items)) + "</table>"
+    in_cells = [y for i, x in enumerate(items) for y in (x, str(i))]
+    menu = "<div><ul>" + "<li><a href=x>Some page</a>" * 30 + "</ul></div>"
+    for inner, short in ((lists, items), (cells, in_cells)):
+        body = "<div>" + f"<p>{LONG}" * 5 + wrap.format(inner) + f"<p>{LONG}" * 5 + "</div>"
+        got = tag_paths.main_text(menu + body)
+        assert got == text_of(*[LONG] * 5, *short, *[LONG] * 5)
+        # the same straight in the body
+        got = tag_paths.main_text("<body>" + f"<p>{LONG}" * 5 + wrap.format(inner) + f"<p>{LONG}" * 5)
+        assert got == text_of(*[LONG] * 5, *short, *[LONG] * 5)
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>"])
+def test_main_text_huge_block(wrap):
+    short = "x" * 97 + ", y"
+    huge = ("word " * 26 + "end. ") * 150
+    for around in ("<article>{}</article>", "<div>{}</div>", "{}"):
+        got = tag_paths.main_text(around.format(f"<p>{short}" * 10 + wrap.format(f"<blockquote>{huge}</blockquote>")
+                                                + f"<p>{short}" * 10))
+        assert got == text_of(*[short] * 10, huge, *[short] * 10)
+
+
 def test_pages_frame(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in tag_paths.extract_main_text(frame).collect()}

@@ -2,9 +2,13 @@
 
 A page is cut into text blocks, each with the path of block-level tags from the root.  Per
 page and path, the mean text length and the mean punctuation count of its blocks are fused
-into one ratio; the ratios are smoothed over neighbouring blocks in page order, and blocks
-above a share of the ratios' standard deviation are content.  A path's blocks rise and fall
-together, so a one-word paragraph among long ones stays.  Elements whose tag, role or class
+into one ratio, which a full paragraph reaches at most, so one huge block does not set the
+scale; the ratios are smoothed over neighbouring blocks in page order, and blocks above a
+share of the ratios' standard deviation are content.  A path's blocks rise and fall together,
+so a one-word paragraph among long ones stays.  An element that holds content of its own
+gives its decision to the lists, tables, headings and wrappers inside it, however short their
+blocks are; the page itself gives it to nested elements only between its first and its last
+own content.  Elements whose tag, role or class
 names furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments) are left out before the ratios are taken; blocks of link text have paths of
 their own.
@@ -53,6 +57,12 @@ FURNITURE_NAMES = frozenset(
     "sharing social related recommended recommendations comment comments reply replies respond disqus "
     "popup modal overlay toolbar pagination pager widget copyright disclaimer".split())
 CONTENT_TAGS = frozenset("html body article main".split())
+# elements that order text inside a container rather than being one
+ORDERING = INLINE | frozenset("html body p li ul ol dl dt dd table caption colgroup thead tbody tfoot tr td th "
+                              "blockquote pre h1 h2 h3 h4 h5 h6 hgroup figure figcaption details summary "
+                              "address center".split())
+FULL_PARAGRAPH = 1000   # the ratio of some 400 characters with 5 marks
+MEDIAN_CHARS = 200      # a block's weight in the median ends at so many characters
 
 
 def furniture(tag: str, attributes: str, in_content: bool) -> bool:
@@ -75,10 +85,12 @@ def furniture(tag: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of the page's blocks that are not furniture, in page order."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool]] = []  # tag, furniture
+def blocks(page: str) -> list[tuple[str, str, tuple]]:
+    """(path, text, containers) of the page's blocks that are not furniture, in page order;
+    containers are (number, tag) of the elements around it that are not mere ordering."""
+    out: list[tuple[str, str, tuple]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, furniture, number
+    opened = 0
     parts: list[str] = []
     hidden = links = link_chars = 0
 
@@ -94,16 +106,17 @@ def blocks(page: str) -> list[tuple[str, str]]:
             raw = "".join(parts)
             found = " ".join(entities.unescape(raw).split())
             if found:
-                path = "/".join(t for t, _ in stack if t not in INLINE)
-                out.append((path + "/a" if 2 * link_chars > len(raw) else path, found))
+                path = "/".join(t for t, _, _ in stack if t not in INLINE)
+                around = tuple((number, t) for t, _, number in stack if t not in ORDERING)
+                out.append((path + "/a" if 2 * link_chars > len(raw) else path, found, around))
             parts.clear()
         link_chars = 0
 
     def close(to: int) -> None:
         nonlocal hidden, links
-        if any(t not in INLINE for t, _ in stack[to:]):
+        if any(t not in INLINE for t, _, _ in stack[to:]):
             flush()
-        for t, dropped in stack[to:]:
+        for t, dropped, _ in stack[to:]:
             hidden -= dropped
             links -= t == "a"
         del stack[to:]
@@ -129,7 +142,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         tag = m[2].lower()
         if m[1]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None and not (tag in INLINE and any(t in SCOPE for t, _ in stack[at:])):
+            if at is not None and not (tag in INLINE and any(t in SCOPE for t, _, _ in stack[at:])):
                 close(at)
             continue
         if tag in RAW:
@@ -147,36 +160,68 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if tag not in INLINE:
             flush()
-        in_content = any(t in ("article", "main") for t, _ in stack)
+        in_content = any(t in ("article", "main") for t, _, _ in stack)
         dropped = furniture(tag, m[3], in_content)
-        stack.append((tag, dropped))
+        opened += 1
+        stack.append((tag, dropped, opened))
         hidden += dropped
         links += tag == "a"
     flush()
     return out
 
 
-def select(found: list[tuple[str, str]], share: float = 0.25) -> list[bool]:
-    """Which blocks are content, by the smoothed ratios of their paths."""
-    size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in found:
-        size[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
-        count[path] += 1
-    ratio = {p: size[p] / count[p] * (1 + marks[p] / count[p]) ** 0.5 for p in count}
-    raw = [ratio[p] for p, _ in found]
+def spread_out(raw: list[float], share: float) -> tuple[list[float], list[float], float]:
+    """The ratios, the smoothed ratios and the least one of content."""
     # neighbours in page order lend a heading the weight of the text it stands over
     smooth = [0.5 * x + 0.25 * (raw[i - 1] if i else x) + 0.25 * (raw[i + 1] if i + 1 < len(raw) else x)
               for i, x in enumerate(raw)]
     mean = sum(smooth) / len(smooth) if smooth else 0.0
     spread = (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5 if smooth else 0.0
-    # a link block keeps its own low ratio, whatever stands beside it
-    return [(r if p.endswith("/a") else s) >= share * spread for (p, _), s, r in zip(found, smooth, raw)]
+    return raw, smooth, share * spread
+
+
+def select(found: list[tuple[str, str, tuple]], share: float = 0.25) -> list[bool]:
+    """Which blocks are content, by the smoothed ratios of their paths and by their containers."""
+    size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for path, text, _ in found:
+        size[path] += len(text)
+        marks[path] += len(PUNCTUATION.findall(text))
+        count[path] += 1
+    ratio = {p: size[p] / count[p] * (1 + marks[p] / count[p]) ** 0.5 for p in count}
+    link = [p.endswith("/a") for p, _, _ in found]
+    # text beyond a full paragraph, or four times the page's usual one, says nothing more
+    weights = sorted((ratio[p], min(len(t), MEDIAN_CHARS)) for (p, t, _), a in zip(found, link) if not a)
+    half, most = sum(w for _, w in weights) / 2, FULL_PARAGRAPH
+    for r, w in weights:
+        half -= w
+        if half <= 0:
+            most = min(most, 4 * r)
+            break
+    raw, smooth, least = spread_out([min(ratio[p], most) for p, _, _ in found], share)
+    link_raw, _, link_least = spread_out([min(ratio[p], FULL_PARAGRAPH) for p, _, _ in found], share)
+    # containers with content of their own, and articles with any; the page itself is number 0
+    holds: set[int] = set()
+    on_page: list[int] = []
+    for i, (_, _, around) in enumerate(found):
+        if not link[i] and raw[i] >= least:
+            holds.add(around[-1][0] if around else 0)
+            holds.update(number for number, tag in around if tag == "article")
+            if not around:
+                on_page.append(i)
+
+    def inherits(i: int) -> bool:
+        around = found[i][2]
+        if not around:
+            return 0 in holds
+        return any(number in holds for number, _ in around) or bool(on_page) and on_page[0] < i < on_page[-1]
+
+    # a link block keeps its own low ratio, whatever stands beside or around it
+    return [link_raw[i] >= link_least if link[i] else smooth[i] >= least or inherits(i) for i in range(len(found))]
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n\n".join(text for (_, text), keep in zip(found, select(found)) if keep)
+    return "\n\n".join(text for (_, text, _), keep in zip(found, select(found)) if keep)
 
 
 def extract_batches(batches):
