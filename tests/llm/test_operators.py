@@ -427,6 +427,27 @@ def test_main_text_huge_block(wrap):
         assert got == text_of(*[short] * 10, huge, *[short] * 10)
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='content no-sidebar'", "div id=content class=has-banner", "section class='post comments-open'",
+    "div class='with-sidebar'", "div class=sidebar", "div id=comments", "div class='left-sidebar main'", "form",
+    "form id=aspnetForm class=form", "div role=form"])
+@pytest.mark.parametrize("inner", ["{}", "<h1>Title</h1>{}", "<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_main_text_in_named_wrappers(wrapper, inner):
+    tag = wrapper.split()[0]
+    page = (f"<body><header><h1>Site</h1></header><div class=masthead>Our site</div><div class='site-footer'>Some imprint.</div>"
+            f"<{wrapper}>" + inner.format(f"<p>{LONG}" * 4) + "<div class=share-buttons>Tell others, please.</div>"
+            f"<div class=newsletter><form>Your address, please: <input></form></div></{tag}><div class='cookie-notice'>Crumbs, here.</div>")
+    assert tag_paths.main_text(page) == text_of(*["Title"] * ("h1" in inner), *[LONG] * 4)
+
+
+def test_main_text_reader_comments():
+    for article in ("<article>{}</article>", "<div><h1>Title</h1>{}</div>"):
+        page = article.format(f"<p>{LONG}") + "<div class=comments>" + f"<article><p>{LONG} I say.</article>" * 9 + "</div>"
+        assert tag_paths.main_text(page) == text_of(*["Title"] * ("h1" in article), LONG)
+    page = f"<article><p>{LONG}</article><div class=ad>" + f"<p>{LONG} Buy." * 9 + "</div>"
+    assert tag_paths.main_text(page) == text_of(LONG)
+
+
 def test_pages_frame(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in tag_paths.extract_main_text(frame).collect()}

@@ -11,7 +11,11 @@ blocks are; the page itself gives it to nested elements only between its first a
 own content.  Elements whose tag, role or class
 names furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments) are left out before the ratios are taken; blocks of link text have paths of
-their own.
+their own.  A class or id names furniture as a whole token or as the head of a compound
+("site-footer", "share-buttons"), not as a layout's mark ("no-sidebar", "has-banner",
+"comments-open").  A form or named wrapper that holds the main element, most of the page's
+text, or an article or h1 with a quarter of it is no furniture; reader comments stay
+furniture when the page's article stands outside them.
 
 Null or empty html gives an empty text; broken markup is closed the way browsers do for
 paragraphs, list items and table cells; nothing is cut off at any length.  Every input row
@@ -56,6 +60,13 @@ FURNITURE_NAMES = frozenset(
     "consent notice notices notification gdpr newsletter subscribe subscription signup login share "
     "sharing social related recommended recommendations comment comments reply replies respond disqus "
     "popup modal overlay toolbar pagination pager widget copyright disclaimer".split())
+ANCHORS = frozenset("article main h1".split())
+HEADER_NAME = frozenset(("header",))
+READER_NAMES = frozenset("comment comments reply replies respond disqus".split())
+# parts of compounds that say how a page is laid out, and nouns that follow the name of furniture
+LAYOUT_PARTS = frozenset("no has have with without not hide show is".split())
+PLACE_NOUNS = frozenset("area bar block box button buttons container form icon icons inner item items left link "
+                        "links list panel post posts right section top bottom wrap wrapper".split())
 CONTENT_TAGS = frozenset("html body article main".split())
 # elements that order text inside a container rather than being one
 ORDERING = INLINE | frozenset("html body p li ul ol dl dt dd table caption colgroup thead tbody tfoot tr td th "
@@ -65,37 +76,106 @@ FULL_PARAGRAPH = 1000   # the ratio of some 400 characters with 5 marks
 MEDIAN_CHARS = 200      # a block's weight in the median ends at so many characters
 
 
-def furniture(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in FURNITURE_TAGS or tag == "header" and not in_content:
+def named(token: str, names: frozenset) -> bool:
+    """Whether a class or id token is one of the names, or a compound headed by one."""
+    if token in names:
         return True
-    if not attributes or tag in CONTENT_TAGS:
+    parts = [x for x in re.split(r"[^a-z]+", token) if x]
+    if not parts or LAYOUT_PARTS & set(parts):
         return False
+    return parts[-1] in names or parts[0] in names and all(x in PLACE_NOUNS for x in parts[1:])
+
+
+def furniture(tag: str, attributes: str, in_content: bool) -> str:
+    """Empty for content; else whether the element is left out "always", or as a "wrapper" or
+    "reader" comments unless it turns out to hold the page's content."""
+    if tag in FURNITURE_TAGS and tag != "form" or tag == "header" and not in_content:
+        return "always"
+    found = "wrapper" if tag == "form" else ""
+    if not attributes or tag in CONTENT_TAGS:
+        return found
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "role" and value in FURNITURE_ROLES or name == "hidden":
-            return True
+            if value != "form":
+                return "always"
+            found = found or "wrapper"
         if name == "aria-hidden" and value == "true":
-            return True
+            return "always"
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "always"
         if name in ("class", "id"):
-            names = set(re.split(r"[^a-z]+", value))
-            if names & FURNITURE_NAMES or "header" in names and not in_content:
-                return True
-    return False
+            tokens = value.split()
+            if any(named(t, READER_NAMES) for t in tokens):
+                found = "reader"
+            elif any(named(t, FURNITURE_NAMES) or not in_content and named(t, HEADER_NAME) for t in tokens):
+                found = found or "wrapper"
+    return found
+
+
+class Wrappers:
+    """What the page's forms and elements named as furniture hold, and what stands outside them."""
+
+    def __init__(self):
+        self.all: list[dict] = []
+        self.open: list[dict] = []
+        self.anchors = self.mains = self.articles = 0   # open elements
+        self.chars = self.article_outside = self.anchor_outside = 0
+
+    def enter(self, number: int, kind: str, tag: str) -> None:
+        if kind in ("wrapper", "reader"):
+            found = {"number": number, "kind": kind, "chars": 0, "anchor": 0, "main": 0,
+                     "anchors": self.anchors, "mains": self.mains}
+            self.all.append(found)
+            self.open.append(found)
+        self.step(tag, 1)
+
+    def step(self, tag: str, by: int) -> None:
+        self.anchors += by * (tag in ANCHORS)
+        self.articles += by * (tag in ("article", "main"))
+        self.mains += by * (tag == "main")
+
+    def text(self, n: int, link: bool) -> None:
+        own = 0 if link else n
+        self.chars += own
+        for w in self.open:
+            w["chars"] += own
+            w["anchor"] += n * (self.anchors > w["anchors"])
+            w["main"] += n * (self.mains > w["mains"])
+        if not self.open:
+            self.article_outside += n * (self.articles > 0)
+        if self.anchors and all(w["kind"] != "reader" for w in self.open):
+            self.anchor_outside += n
+
+    def content(self) -> frozenset:
+        """Numbers of those that hold the page's content."""
+        return frozenset(
+            w["number"] for w in self.all
+            if w["main"] or not (w["kind"] == "reader" and self.anchor_outside)
+            and (2 * w["chars"] > self.chars and (w["anchor"] or not self.article_outside)
+                 or w["anchor"] and 4 * w["chars"] >= self.chars))
 
 
 def blocks(page: str) -> list[tuple[str, str, tuple]]:
     """(path, text, containers) of the page's blocks that are not furniture, in page order;
     containers are (number, tag) of the elements around it that are not mere ordering."""
+    out, content = parse(page, frozenset())
+    return parse(page, content)[0] if content else out
+
+
+def parse(page: str, content: frozenset) -> tuple[list[tuple[str, str, tuple]], frozenset]:
+    """The blocks, given the numbers of wrappers known as content, and the numbers found to be."""
     out: list[tuple[str, str, tuple]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, furniture, number
-    opened = 0
+    stack: list[tuple[str, str, int]] = []  # tag, kind of furniture, number
+    wrappers = Wrappers()
+    opened = always = 0
     parts: list[str] = []
     hidden = links = link_chars = 0
 
     def text(raw: str) -> None:
         nonlocal link_chars
+        if raw and not always and not raw.isspace():
+            wrappers.text(len(raw), links > 0)
         if not hidden and raw:
             parts.append(raw)
             link_chars += len(raw) if links else 0
@@ -113,12 +193,16 @@ def blocks(page: str) -> list[tuple[str, str, tuple]]:
         link_chars = 0
 
     def close(to: int) -> None:
-        nonlocal hidden, links
+        nonlocal hidden, always, links
         if any(t not in INLINE for t, _, _ in stack[to:]):
             flush()
-        for t, dropped, _ in stack[to:]:
-            hidden -= dropped
+        for t, kind, number in reversed(stack[to:]):
+            hidden -= kind != "" and number not in content
+            always -= kind == "always"
             links -= t == "a"
+            wrappers.step(t, -1)
+            if kind and kind != "always":
+                wrappers.open.pop()
         del stack[to:]
 
     def innermost(tags) -> int | None:
@@ -161,13 +245,15 @@ def blocks(page: str) -> list[tuple[str, str, tuple]]:
         if tag not in INLINE:
             flush()
         in_content = any(t in ("article", "main") for t, _, _ in stack)
-        dropped = furniture(tag, m[3], in_content)
+        kind = furniture(tag, m[3], in_content)
         opened += 1
-        stack.append((tag, dropped, opened))
-        hidden += dropped
+        stack.append((tag, kind, opened))
+        wrappers.enter(opened, kind, tag)
+        hidden += kind != "" and opened not in content
+        always += kind == "always"
         links += tag == "a"
     flush()
-    return out
+    return out, wrappers.content()
 
 
 def spread_out(raw: list[float], share: float) -> tuple[list[float], list[float], float]:
