@@ -341,6 +341,58 @@ def test_kneser_ney(docs, rows, empty, spark):
         assert isclose(sum(p(u, v) for v in uni) + p(u, b"unknown"), 1.0, rel_tol=1e-9)
 
 
+def test_kneser_ney_trigrams(docs, rows, empty, spark, monkeypatch):
+    from math import isclose, log10
+    from pyspark.sql import functions as F
+    from typeahead.llm.common import id_remainder
+    held = id_remainder(F.col("doc_id"), 7) == 2
+    more = [(100 + i, " ".join(f"w{(i * j * j + i // 3) % 11}" for j in range(i % 40)), None) for i in range(150)]
+    rows = rows + more
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in more], "doc_id long, text string"))
+    assert kneser_ney.perplexity_scores(empty, held, order=3).count() == 0
+    assert all(r.score == 0 for r in kneser_ney.perplexity_scores(docs, F.lit(True), order=3).collect())
+    with pytest.raises(ValueError, match="order"):
+        kneser_ney.perplexity_scores(docs, held, order=4)
+    tokens = [lower(t).split() + [b" end"] for _, t, _ in rows]
+    train = [w for (i, _, _), w in zip(rows, tokens) if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    uni = Counter(w for d in train for w in d)
+    tri = Counter(t for d in train for t in zip([b" start"] + d, d, d[1:]))
+    bi = Counter((v, w) for _, v, w in tri) + Counter((b" start", d[0]) for d in train)
+    cont, ctx2, ctx3 = Counter(w for _, w in bi), defaultdict(Counter), defaultdict(Counter)
+    for counts, ctx in ((bi, ctx2), (tri, ctx3)):
+        for (*u, _), c in counts.items():
+            ctx[tuple(u)][min(c, 3)] += 1
+            ctx[tuple(u)]["total"] += c
+
+    def cuts(counts):
+        of = Counter(counts)
+        return (0, *kneser_ney.discounts(*(of[k] for k in (1, 2, 3, 4))))
+    d3, d2, d1, types = cuts(tri.values()), cuts(bi.values()), cuts(cont.values()), sum(cont.values())
+    rest = sum(d1[min(c, 3)] for c in cont.values()) / types / (len(uni) + 1)
+
+    def p(context, w):
+        if not context:
+            return max(0, cont[w] - d1[min(cont[w], 3)]) / types + rest
+        counts, ctx, d = (bi, ctx2, d2) if len(context) == 1 else (tri, ctx3, d3)
+        low = p(context[1:], w)
+        if context not in ctx:
+            return low
+        c, of = counts.get((*context, w), 0), ctx[context]
+        return (c - d[min(c, 3)] + sum(d[k] * of[k] for k in (1, 2, 3)) * low) / of["total"]
+    for context in ((b"w1", b"w2"), (b" start", b"the"), (b"the", b"lazy"), (b"no", b"never"), (b"never", b"the")):
+        assert isclose(sum(p(context, w) for w in uni) + p(context, b"unknown"), 1.0, rel_tol=1e-9)
+    want = defaultdict(list)
+    for (i, _, _), w in zip(rows, tokens):
+        past = [b" start"] + w
+        want[i].append((len(w), sum(log10(p(tuple(past[max(0, k - 1):k + 1]), x)) for k, x in enumerate(w))))
+    for shard, heavy in ((kneser_ney.PAIR_SHARD, "one shard"), (400, "many shards")):
+        monkeypatch.setattr(kneser_ney, "PAIR_SHARD", shard)
+        got = kneser_ney.perplexity_scores(docs, held, order=3).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert any(r.n_tokens == n and isclose(r.score, x, rel_tol=1e-4) for n, x in want[r.doc_id]), heavy
+
+
 def test_arc_to_warc(spark):
     long = "<p>" + "x" * 200 + "é</p>"
     pages = [(1, "http://a/ b", long), (2, "http://a", long), (3, None, "short"), (4, "http://b", "short"),

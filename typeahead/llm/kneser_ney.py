@@ -1,17 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from mapped arrays.
+"""Interpolated modified Kneser-Ney bigram or trigram model, counted in Spark, scored from
+mapped arrays.
 
 Tokens are white-space words, A-Z lower-cased, and an end token per text.  Training makes
 
 * the vocabulary: token hashes in sorted arrays (a token's id is its rank), with counts;
+* at order three, the trigrams: per context (two ids) the ids that follow, with counts, and
+  the context's total and counts of counts.  A context lies in the shard of its second id,
+  those of very frequent ids are spread over all shards by both ids;
 * the bigrams: hashes of (context id, token id) in sorted arrays, with counts.  Bigrams lie in
   the shard of their context, but those of very frequent contexts are spread over all shards,
-  so no shard follows a hot word;
+  so no shard follows a hot word.  At order three their counts are of the distinct ids that
+  stand before them, and plain ones where a text starts;
 * per id: one over the context's count, its back-off weight, and the Kneser-Ney unigram.
 
 All arrays are written to the folder that executors share; workers map them into memory and
-look their texts' distinct tokens and bigrams up by binary search.  Discounts are the usual
-three per order, from counts of counts.  The order is two because the shuffle and arrays of
-trigrams exceed the disk budget.
+look their texts' distinct tokens and n-grams up by binary search.  Discounts are the usual
+three per order, from counts of counts.  A text's first token is predicted from the start
+alone, the second from the start and the first.
 
 Null text is an empty one: the end token alone.  With no training text every probability is
 one.  Rows that repeat a document count and are scored each; an empty table gives no rows;
@@ -38,6 +43,7 @@ VOCAB_SHARD = 500_000    # tokens per vocabulary file, about
 PAIR_SHARD = 3_000_000   # training tokens per bigram file, about
 ID_BLOCK = 1 << 19       # ids per file of the per-id arrays
 SLICE_TOKENS = 1_000_000   # tokens that a worker holds as arrays at a time, about
+LOW = np.uint64(0xFFFFFFFF)
 
 
 # --- arrays in the shared folder ------------------------------------------------------------
@@ -134,6 +140,23 @@ class Vocabulary:
         return context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
 
+    def contexts(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The two ids before each; before a text's first there is no first (``size + 2``)."""
+        first, second = np.empty_like(ids), np.empty_like(ids)
+        second[1:], first[2:] = ids[:-1], ids[:-2]
+        starts = np.cumsum(lengths) - lengths
+        second[starts] = self.size + 1
+        first[(starts + 1)[lengths > 1]] = self.size + 1
+        first[starts] = self.size + 2
+        return first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+
+    def triple_shards(self, context: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
+        second = context & LOW
+        mixed = np.where(np.isin(second, self.heavy), mix(context), mix(second))
+        at_start = context >> np.uint64(32) == self.size + 2
+        return top_bits(np.where(at_start, mix(second << np.uint64(32) | token), mixed), bits)
+
+
 _opened: dict[str, object] = {}
 
 
@@ -165,25 +188,121 @@ def write_vocabulary(rows: pa.Table, folder: str) -> pa.Table:
     return pa.table({"shard": [shard], "n": [len(order)]})
 
 
+def packed(values: np.ndarray) -> pa.Array:
+    """Bytes of equal weight lie together, so the leading zeros cost nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(planes)], pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    unpack, size = zstandard.ZstdDecompressor().decompress, np.dtype(dtype).itemsize
+    return [np.ascontiguousarray(np.frombuffer(unpack(x.as_py()), np.uint8).reshape(size, -1).T).view(dtype).ravel()
+            for x in column]
+
+
+def by_shard(shards: np.ndarray):
+    """An order that puts equal shards together, and (shard, from, to) in it."""
+    order = np.argsort(shards, kind="stable")
+    shards = shards[order]
+    cuts = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(shards))
+    return order, [(int(shards[lo]), lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
+def pair_rows(keys: np.ndarray, n: np.ndarray, bits: int, heavy: np.ndarray):
+    """Per shard one row: the sorted bigram keys as compressed gaps, and counts."""
+    order, parts = by_shard(pair_shards(keys, bits, heavy))
+    keys, n = keys[order], n[order].astype(np.uint32)
+    for shard, lo, hi in parts:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([shard]), packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), packed(n[lo:hi])],
+            ["shard", "keys", "n"])
+
+
 def count_pairs(batches, spec: dict):
-    """Per batch and shard one row: the sorted bigram keys as compressed gaps, and counts."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    """Per batch and shard one row of bigrams."""
     vocab = opened(Vocabulary, spec)
     for batch in batches:
         for _, hashes, lengths in token_slices(batch.column(0).to_pylist()):
             keys, n = np.unique(vocab.keys(vocab.of(hashes)[0], lengths), return_counts=True)
-            shards = pair_shards(keys, spec["pair_bits"], vocab.heavy)
-            order = np.argsort(shards, kind="stable")
-            keys, n, shards = keys[order], n[order].astype(np.uint32), shards[order]
-            cuts = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(shards))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                gaps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                # bytes of equal weight lie together, so the leading zeros cost nothing
-                planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+            yield from pair_rows(keys, n, spec["pair_bits"], vocab.heavy)
+
+
+def distinct_triples(context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by context and token, and where in it each distinct trigram begins."""
+    order = np.lexsort((token, context))
+    context, token = context[order], token[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (token[1:] != token[:-1])
+    return order, np.flatnonzero(new)
+
+
+def count_triples(batches, spec: dict):
+    """Per batch and shard one row of trigrams: sorted contexts as gaps, tokens and counts."""
+    vocab = opened(Vocabulary, spec)
+    for batch in batches:
+        for _, hashes, lengths in token_slices(batch.column(0).to_pylist()):
+            token = vocab.of(hashes)[0]
+            context = vocab.contexts(token, lengths)
+            token = token.astype(np.uint64)
+            order, first = distinct_triples(context, token)
+            n = np.diff(first, append=len(order)).astype(np.uint32)
+            context, token = context[order][first], token[order][first]
+            order, parts = by_shard(vocab.triple_shards(context, token, spec["pair_bits"]))
+            context, token, n = context[order], token[order].astype(np.uint32), n[order]
+            for shard, lo, hi in parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shards[lo])]), pa.array([pack(planes)], pa.binary()),
-                     pa.array([pack(n[lo:hi].view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())],
-                    ["shard", "keys", "n"])
+                    [pa.array([shard]), packed(np.diff(context[lo:hi], prepend=np.uint64(0))), packed(token[lo:hi]),
+                     packed(n[lo:hi])], ["shard", "contexts", "tokens", "n"])
+
+
+def smallest(values: np.ndarray) -> np.ndarray:
+    """As 1, 2 or 4 bytes each, whatever the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+
+
+def fold_triples(rows: pa.Table, spec: dict) -> pa.Table:
+    """Add up one shard's trigrams, write its arrays, and return its bigrams by the number of
+    ids before them, and the counts of counts (shard -1)."""
+    vocab, folder = opened(Vocabulary, spec), spec["folder"]
+    shard = rows.column("shard")[0].as_py()
+    context = np.concatenate([np.cumsum(g, dtype=np.uint64) for g in unpacked(rows.column("contexts"), np.uint64)])
+    token = np.concatenate(unpacked(rows.column("tokens"), np.uint32)).astype(np.uint64)
+    n = np.concatenate(unpacked(rows.column("n"), np.uint32)).astype(np.int64)
+    order, first = distinct_triples(context, token)
+    n = np.add.reduceat(n[order], first)
+    context, token = context[order][first], token[order][first]
+
+    at_start = context >> np.uint64(32) == vocab.size + 2
+    start_keys, start_n = (context << np.uint64(32) | token)[at_start], n[at_start]
+    context, token, n = context[~at_start], token[~at_start], n[~at_start]
+    keys, before = np.unique(context << np.uint64(32) | token, return_counts=True)
+    keys, before = np.append(keys, start_keys), np.append(before, start_n)
+    order = np.argsort(keys)
+    out = list(pair_rows(keys[order], before[order], spec["pair_bits"], vocab.heavy))
+    of = np.array([(n == c).sum() for c in (1, 2, 3, 4)], np.int64)
+    out.append(pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([b""], pa.binary()), packed(of)],
+                                          ["shard", "keys", "n"]))
+    starts = np.flatnonzero(np.diff(context, prepend=~context[:1]))
+    degree = np.diff(starts, append=len(context))
+    # a context with one id after it needs no more than that; most are such
+    one = starts[degree == 1]
+    one = one[np.argsort(mix(context[one]))]
+    for name, values in (("ones", mix(context[one])), ("onetokens", token[one].astype(np.uint32)),
+                         ("onecounts", smallest(n[one]))):
+        write_array(folder, f"{name}-{shard:05d}", values)
+    many = np.repeat(degree > 1, degree)
+    sums = [np.add.reduceat(x.astype(np.int64), starts)[degree > 1] if len(starts) else np.empty(0, np.int64)
+            for x in (n == 1, n == 2, n)]
+    starts, token, n = starts[degree > 1], token[many].astype(np.uint32), n[many]
+    begin = np.cumsum(degree[degree > 1]) - degree[degree > 1]
+    hashed = mix(context[starts])
+    order = np.argsort(hashed)
+    for name, values in (("many", hashed[order]), ("manybegin", begin[order].astype(np.uint32)),
+                         ("manyids", degree[degree > 1][order].astype(np.uint32)), ("manytokens", token),
+                         ("manycounts", smallest(n)),
+                         *((f"many{c}", smallest(x[order])) for c, x in zip(("n1", "n2", "total"), sums))):
+        write_array(folder, f"{name}-{shard:05d}", values)
+    return pa.Table.from_batches(out)
 
 
 STATS = "kind int, id long, n1 long, n2 long, n3 long, total long"
@@ -191,15 +310,14 @@ STATS = "kind int, id long, n1 long, n2 long, n3 long, total long"
 
 def fold_pairs(rows: pa.Table, folder: str) -> pa.Table:
     """Add up one shard's bigrams, write its arrays, and return what its contexts (kind 0),
-    tokens (1) and counts of counts (2) contribute."""
-    unpack = zstandard.ZstdDecompressor().decompress
+    tokens (1), counts of counts (2) and those of trigrams (3) contribute."""
     shard = rows.column("shard")[0].as_py()
-    keys, n = [], []
-    for k, c in zip(rows.column("keys"), rows.column("n")):
-        planes = np.frombuffer(unpack(k.as_py()), np.uint8).reshape(8, -1)
-        keys.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64))
-        planes = np.frombuffer(unpack(c.as_py()), np.uint8).reshape(4, -1)
-        n.append(np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64))
+    if shard < 0:  # counts of counts of the trigrams
+        of = np.sum(unpacked(rows.column("n"), np.int64), axis=0)
+        return pa.table({"kind": pa.array([3], pa.int32()), "id": [0],
+                         **{c: [int(x)] for c, x in zip(("n1", "n2", "n3", "total"), of)}})
+    keys = [np.cumsum(gaps, dtype=np.uint64) for gaps in unpacked(rows.column("keys"), np.uint64)]
+    n = [x.astype(np.int64) for x in unpacked(rows.column("n"), np.uint32)]
     keys, n = np.concatenate(keys), np.concatenate(n)
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
@@ -251,16 +369,18 @@ def write_ids(rows: pa.Table, spec: dict) -> pa.Table:
     return pa.table({"block": [block]})
 
 
-def train(docs: DataFrame, text_col: str = "text") -> dict:
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> dict:
     """Count and write the model of ``docs``; returns its specification (a few numbers and
     lists that grow with the number of files, not of tokens)."""
+    if order not in (2, 3):
+        raise ValueError("the order is two or three")
     spark = docs.sparkSession
     folder = scratch(spark, "kneser-ney")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = stage(texts.mapInArrow(count_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")),
                    "tokens")
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if v + 2 >= 1 << 32:
+    if v + 3 >= 1 << 32:
         raise ValueError("a bigram key holds two 32-bit ids")
     bits = max(0, (v // VOCAB_SHARD).bit_length())
     pair_bits = max(0, (n // PAIR_SHARD).bit_length())
@@ -278,15 +398,25 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     limit = max(1, n >> (pair_bits + 2))
     heavy = [r.token % (1 << 64) for r in counts.filter(F.col("n") > limit).select("token").collect()]
     spec = {"folder": folder, "V": v, "N": n, "vocab_bits": bits, "pair_bits": pair_bits, "offsets": offsets,
-            "heavy": heavy, "D": (0.5,) * 3, "E": (0.5,) * 3, "types": 0, "rest": 1 / (v + 1)}
+            "heavy": heavy, "order": order, "D3": (0.5,) * 3, "D": (0.5,) * 3, "E": (0.5,) * 3, "types": 0, "rest": 1 / (v + 1)}
     if not n:
         return spec
 
     def fold(rows: pa.Table) -> pa.Table:
         return fold_pairs(rows, folder)
 
-    stats = stage(texts.mapInArrow(partial(count_pairs, spec=spec), "shard long, keys binary, n binary")
-                  .groupBy("shard").applyInArrow(fold, STATS), "pair-stats")
+    def fold_three(rows: pa.Table) -> pa.Table:
+        return fold_triples(rows, spec)
+
+    pairs = "shard long, keys binary, n binary"
+    if order == 2:
+        counted = texts.mapInArrow(partial(count_pairs, spec=spec), pairs)
+    else:
+        counted = texts.mapInArrow(partial(count_triples, spec=spec),
+                                   "shard long, contexts binary, tokens binary, n binary") \
+            .groupBy("shard").applyInArrow(fold_three, pairs)
+    stats = stage(counted.groupBy("shard").applyInArrow(fold, STATS), "pair-stats")
+    of3 = stats.filter("kind = 3").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "total")]).first()
     of = stats.filter("kind = 2").agg(*[F.sum(c) for c in ("n1", "n2", "n3", "total")]).first()
     kind0, kind1 = F.col("kind") == 0, F.col("kind") == 1
     by_id = stage(stats.filter("kind < 2").groupBy("id").agg(
@@ -298,7 +428,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
                                        F.sum((F.col("seen") == 2).cast("long"))).first()
     e = discounts(*(seen.get(k, 0) for k in (1, 2, 3, 4)))
     rest = (e[0] * one + e[1] * two + e[2] * (words - one - two)) / types / (v + 1)
-    spec |= {"D": discounts(*of), "E": e, "types": types, "rest": rest}
+    spec |= {"D3": discounts(*of3), "D": discounts(*of), "E": e, "types": types, "rest": rest}
 
     def blocks(rows: pa.Table) -> pa.Table:
         return write_ids(rows, spec)
@@ -311,6 +441,22 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
 
 # --- scoring --------------------------------------------------------------------------------
 
+# name, the array of as many or None, the type or None where it is the smallest that fits
+TRIPLES = (("ones", None, np.uint64), ("onetokens", None, np.uint32), ("onecounts", "ones", None),
+           ("many", None, np.uint64), ("manybegin", None, np.uint32), ("manyids", None, np.uint32),
+           ("manytokens", None, np.uint32), ("manycounts", "manytokens", None),
+           *((f"many{c}", "many", None) for c in ("n1", "n2", "total")))
+
+
+def map_sized(folder: str, name: str, as_many: str | None, shard: int, dtype) -> np.ndarray:
+    if dtype is None:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        items = fs.get_file_info(f"{root}/{as_many}-{shard:05d}").size // (8 if as_many in ("ones", "many") else 4)
+        size = fs.get_file_info(f"{root}/{name}").size
+        dtype = np.dtype(f"u{size // items}") if items else np.uint8
+    return map_array(folder, name, dtype)
+
+
 class Model(Vocabulary):
     def __init__(self, spec: dict):
         super().__init__(spec)
@@ -322,6 +468,8 @@ class Model(Vocabulary):
         self.pairs = {s: (map_array(folder, f"pairs-{s:05d}", np.uint64),
                           map_array(folder, f"paircounts-{s:05d}", np.float32))
                       for s in shards if f"pairs-{s:05d}" in there}
+        self.triples = {s: {name: map_sized(folder, f"{name}-{s:05d}", keys, s, kind) for name, keys, kind in TRIPLES}
+                        for s in shards if f"ones-{s:05d}" in there}
         n_blocks = -(-(self.size + 2) // ID_BLOCK)
         self.by_id = {name: [map_array(folder, f"{name}-{b:05d}", np.float32) if f"{name}-{b:05d}" in there
                              else None for b in range(n_blocks)]
@@ -349,14 +497,64 @@ class Model(Vocabulary):
                 out[order[lo:hi][hit]] = counts[at[hit]]
         return out
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of each bigram's probability."""
+    def probability(self, keys: np.ndarray) -> np.ndarray:
+        """Each bigram's probability."""
         context, token = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         count = self.pair_counts(keys)
         cut = np.select([count == 0, count == 1, count == 2], [0.0, *self.spec["D"][:2]], self.spec["D"][2])
-        p = (count - cut) * self.values("inverse", context) \
+        return (count - cut) * self.values("inverse", context) \
             + self.values("backoff", context) * self.values("unigram", token)
-        return np.log10(p)
+
+    def trigram_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Each trigram's probability; an unseen context gives the bigram's."""
+        d = np.array((0.0, *self.spec["D3"]))
+        second = context << np.uint64(32) | token
+        keys, where = np.unique(second, return_inverse=True)
+        lower = self.probability(keys)[where]
+        shard, hashed = self.triple_shards(context, token, self.spec["pair_bits"]), mix(context)
+        order = np.lexsort((hashed, shard))
+        cuts = shard[order]
+        for s, have in self.triples.items():
+            lo, hi = np.searchsorted(cuts, [s, s + 1])
+            at, places = order[lo:hi], have["ones"]
+            if len(at) and len(places):
+                found = np.minimum(np.searchsorted(places, hashed[at]), len(places) - 1)
+                hit = places[found] == hashed[at]
+                found, to = found[hit], at[hit]
+                total = have["onecounts"][found].astype(np.int64)
+                cut = d[np.minimum(total, 3)]
+                same = have["onetokens"][found] == token[to]
+                lower[to] = same * (total - cut) / total + cut / total * lower[to]
+            places = have["many"]
+            if len(at) and len(places):
+                found = np.minimum(np.searchsorted(places, hashed[at]), len(places) - 1)
+                hit = places[found] == hashed[at]
+                found, to = found[hit], at[hit]
+                begin, ids = have["manybegin"][found].astype(np.int64), have["manyids"][found].astype(np.int64)
+                n1, n2 = (have[c][found].astype(np.int64) for c in ("manyn1", "manyn2"))
+                total = have["manytotal"][found].astype(np.int64)
+                left, right, wanted = begin.copy(), begin + ids, token[to]
+                for _ in range(int(ids.max(initial=0)).bit_length()):  # all ranges halve in step
+                    middle = (left + right) // 2
+                    less = (left < right) & (have["manytokens"][np.minimum(middle, begin + ids - 1)] < wanted)
+                    left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+                place = np.minimum(left, begin + ids - 1)
+                count = have["manycounts"][place] * (have["manytokens"][place] == wanted).astype(np.int64)
+                back = (d[1] * n1 + d[2] * n2 + d[3] * (ids - n1 - n2)) / total
+                lower[to] = (count - d[np.minimum(count, 3)]) / total + back * lower[to]
+        return lower
+
+    def scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability."""
+        if self.spec["order"] == 2:
+            keys, where = np.unique(self.keys(ids, lengths), return_inverse=True)
+            return np.log10(self.probability(keys))[where]
+        context, token = self.contexts(ids, lengths), ids.astype(np.uint64)
+        order, first = distinct_triples(context, token)
+        distinct = self.trigram_probability(context[order][first], token[order][first])
+        out = np.empty(len(ids))
+        out[order] = np.repeat(np.log10(distinct), np.diff(first, append=len(ids)))
+        return out
 
 
 SCORES = ("id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -370,8 +568,7 @@ def score_batches(batches, spec: dict):
         for first, hashes, lengths in token_slices(batch.column(2).to_pylist()):
             ids, counts = model.of(hashes)
             starts = np.cumsum(lengths) - lengths
-            keys, where = np.unique(model.keys(ids, lengths), return_inverse=True)
-            score = np.add.reduceat(model.log10(keys)[where], starts)
+            score = np.add.reduceat(model.scores(ids, lengths), starts)
             base = np.add.reduceat(np.log10((counts + 1) / (spec["N"] + spec["V"] + 1)), starts)
             known = np.add.reduceat((counts > 0).astype(np.int64), starts)
             rows = batch.slice(first, len(lengths))
@@ -380,9 +577,10 @@ def score_batches(batches, spec: dict):
                  pa.array(np.full(len(lengths), spec["N"])), pa.array(base), pa.array(score)], names)
 
 
-def perplexity_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def perplexity_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text",
+                      order: int = 2) -> DataFrame:
     """Train on the rows where ``held_out`` (a boolean column) is false; score all rows."""
-    spec = train(docs.filter(~held_out), text_col)
+    spec = train(docs.filter(~held_out), text_col, order)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"),
                        F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(partial(score_batches, spec=spec), SCORES).withColumnRenamed("id", id_col)
@@ -390,4 +588,4 @@ def perplexity_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_co
 
 @register("op8_kneser_ney")
 def op8(spark, sf_dir):
-    return perplexity_scores(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
+    return perplexity_scores(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2, order=3)
