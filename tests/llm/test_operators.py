@@ -169,6 +169,14 @@ def test_language_id(docs, rows, empty, spark, sf):
     assert sum(r.lang == r.lang_pred for r in found) / len(found) > 0.9
 
 
+def test_filter_without_labels(docs, rows):
+    from pyspark.sql import functions as F
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = Counter(r.text for r in crf_langid.drop_unidentified(bare).collect())
+    assert got == Counter(t for _, t, _ in rows if any(c.isalpha() for c in t or ""))
+    assert {r.lang_pred for r in crf_langid.identify_languages(bare).collect()} == {"und"}
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
     rng = np.random.default_rng(4)

@@ -267,7 +267,11 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def accept_batches(batches, model: dict, text_at: int, min_score: float):
     for batch in batches:
-        names, scores = label_documents(batch.column(text_at).to_pylist(), model)
+        texts = batch.column(text_at).to_pylist()
+        if not model["labels"]:
+            yield batch.filter(pa.array([len(words_of(t)) > 0 for t in texts], pa.bool_()))
+            continue
+        names, scores = label_documents(texts, model)
         yield batch.filter(pa.array([n != "und" and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
 
 
@@ -275,7 +279,8 @@ def drop_unidentified(docs: DataFrame, min_score: float = 0.3, id_col: str = "do
                       text_col: str = "text", lang_col: str = "lang",
                       docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """``docs`` without texts that have no letters or whose language is less likely than
-    ``min_score``, columns unchanged."""
+    ``min_score``, columns unchanged.  Where no document that may train has a language,
+    nothing is learnt and every text with letters stays."""
     held = id_remainder(F.col(id_col), 3) == 1
     labelled = docs.filter(~held & F.col(lang_col).isNotNull())
     model = train(training_sample(labelled, id_col, text_col, lang_col, docs_per_lang))
