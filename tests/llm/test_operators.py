@@ -419,6 +419,28 @@ def test_arc_to_warc(spark):
     assert arc_to_warc.read_warcs(arc_to_warc.arc_to_warc(none)).count() == 0
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_record_layouts(spark, tmp_path, version):
+    import gzip
+    payloads = {i: (f"<p>{i}</p>\n\nhttp://x 0.0.0.0 2000 text/html 5\n" + "y" * 3000 * i).encode() for i in range(40)}
+    records = [arc_to_warc.version_block("a.arc.gz", version)]
+    records += [arc_to_warc.arc_record(i, f"http://x/{i}", p, version, "a.arc.gz", 0) for i, p in payloads.items()]
+    members = {"one.arc.gz": gzip.compress(b"".join(records)), "each.arc.gz": b"".join(map(gzip.compress, records)),
+               "some.arc.gz": b"".join(gzip.compress(b"".join(records[i:i + 7])) for i in range(0, 41, 7)),
+               "plain.arc": b"".join(records)}
+    want = {(i, len(p), hashlib.sha256(p).hexdigest(), "response") for i, p in payloads.items()}
+    for name, data in members.items():
+        (tmp_path / name).write_bytes(data)
+        got = arc_to_warc.read_warcs(arc_to_warc.arc_to_warc(
+            spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string"))).collect()
+        assert len(got) == 40 and {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in got} == want
+    for bad in (b"".join(records) + b"left over", b"".join(records)[:-9], b"".join(records) + b"left over\n"):
+        for data in (bad, gzip.compress(bad)):
+            (tmp_path / "bad.arc").write_bytes(data)
+            with pytest.raises(ValueError, match="record header|declared length"):
+                list(arc_to_warc.each_record(f"file://{tmp_path}/bad.arc"))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_headers(version):
     block = arc_to_warc.version_block("a.arc.gz", version)

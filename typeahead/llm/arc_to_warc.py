@@ -1,9 +1,11 @@
 """ARC to WARC: parse legacy archives record by record and write equivalent WARC files.
 
-An ARC file is a sequence of gzip members.  The first holds the version block, whose header
+An ARC file is a sequence of records, plain or in gzip members of one or more records each (a
+member is held in memory whole).  The first holds the version block, whose header
 line names the format version and whose last line names the fields of every record's header
 line: version 1 has five fields, version 2 ten, and both end with the declared length of
-what follows.  The converter trusts only that length, never the content, and writes
+what follows.  The converter trusts only that length, never the content, raises where anything
+but newlines stands between records, and writes
 
 * a ``warcinfo`` record for the version block,
 * a ``response`` record for an HTTP response (``resource`` for anything else), or
@@ -43,6 +45,7 @@ ARC_V1 = "URL IP-address Archive-date Content-type Archive-length"
 ARC_V2 = ("URL IP-address Archive-date Content-type Result-code Checksum Location Offset "
           "Filename Archive-length")
 ARC_FIELDS = {b"1": ARC_V1.split(), b"2": ARC_V2.split()}
+GZIP = b"\x1f\x8b"
 FILE_BYTES = 256 << 20  # an archive is closed once it is this large
 
 
@@ -70,17 +73,20 @@ class Archive:
 
 
 class Members:
-    """Reads members of archives by offset; keeps the last file open."""
+    """Reads records of archives; keeps the last file open and its last member's data."""
 
     def __init__(self):
-        self.path, self.file = None, None
+        self.path, self.file, self.at, self.data = None, None, None, b""
 
-    def read(self, path: str, at: int, length: int) -> bytes:
+    def read(self, path: str, at: int, length: int, inner: int, size: int) -> bytes:
         if path != self.path:
-            fs, inner = pafs.FileSystem.from_uri(path)
-            self.path, self.file = path, fs.open_input_file(inner)
-        self.file.seek(at)
-        return gzip.decompress(self.file.read(length))
+            fs, name = pafs.FileSystem.from_uri(path)
+            self.path, self.file, self.at = path, fs.open_input_file(name), None
+        if at != self.at:
+            self.file.seek(at)
+            data = self.file.read(length)
+            self.at, self.data = at, gzip.decompress(data) if data[:2] == GZIP else data
+        return self.data[inner:inner + size]
 
 
 def each_member(path: str, chunk: int = 1 << 20):
@@ -103,6 +109,62 @@ def each_member(path: str, chunk: int = 1 << 20):
                 start, unzip, out = done, zlib.decompressobj(31), []
 
 
+def record_length(line: bytes) -> int:
+    last = line.rstrip(b"\r").rpartition(b" ")[2]
+    if not last.isdigit():
+        raise ValueError(f"no record header: {line[:80]!r}")
+    return int(last)
+
+
+def record_spans(data: bytes):
+    """(offset, size) of the records in a member, by their declared lengths."""
+    at = 0
+    while True:
+        while data[at:at + 1] == b"\n":
+            at += 1
+        if at == len(data):
+            return
+        end = data.find(b"\n", at)
+        length = record_length(data[at:end if end >= 0 else len(data)])
+        stop = end + 1 + length
+        if end < 0 or stop > len(data):
+            raise ValueError(f"declared length {length}, found {len(data) - end - 1 if end >= 0 else 0}")
+        yield at, stop - at
+        at = stop
+
+
+def each_record(path: str, chunk: int = 1 << 16):
+    """(offset and length in the file, offset and size in the member, data) of every record."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as f:
+        plain = f.read(2) != GZIP
+        at, size = 0, f.size()
+        while plain and at < size:
+            f.seek(at)
+            head = f.read(chunk)
+            blank = len(head) - len(head.lstrip(b"\n"))
+            if blank:
+                at += blank
+                continue
+            while b"\n" not in head:
+                more = f.read(chunk)
+                if not more:
+                    raise ValueError(f"{path}: no record header at {at}")
+                head += more
+            line = head.partition(b"\n")[0]
+            length = len(line) + 1 + record_length(line)
+            f.seek(at)
+            data = f.read(length)
+            if len(data) != length:
+                raise ValueError(f"{path}: declared length {length - len(line) - 1}, found {len(data) - len(line) - 1}")
+            yield at, length, 0, length, data
+            at += length
+    if not plain:
+        for at, length, data in each_member(path):
+            for inner, n in record_spans(data):
+                yield at, length, inner, n, data[inner:inner + n]
+
+
 # --- ARC -----------------------------------------------------------------------------------
 
 def version_block(name: str, version: int) -> bytes:
@@ -149,7 +211,7 @@ def parse_arc(data: bytes, fields: list[str] | None):
     """(header dict, content, fields): ``fields`` is None for the version block, which
     brings the fields of the records after it."""
     line, _, rest = data.partition(b"\n")
-    parts = line.decode("ascii", "replace").split(" ")
+    parts = line.rstrip(b"\r").decode("ascii", "replace").split(" ")
     length = int(parts[-1])
     content = rest[:length]
     if len(content) != length:
@@ -176,7 +238,7 @@ def page_id_of(http_head: bytes) -> int | None:
     return int(found[1]) if found else None
 
 
-INDEX = ("path string, at long, length long, fields string, page_id long, payload_bytes long, "
+INDEX = ("path string, at long, length long, inner long, size long, fields string, page_id long, payload_bytes long, "
          "payload_digest string")
 
 
@@ -185,12 +247,12 @@ def index_arc(batches):
     for batch in batches:
         for path in batch.column(0).to_pylist():
             rows, fields = [], None
-            for at, length, data in each_member(path):
+            for at, length, inner, size, data in each_record(path):
                 new = fields is None
                 _, content, fields = parse_arc(data, fields)
                 http = None if new else http_parts(content)
                 payload = http[1] if http else content
-                rows.append((path, at, length, None if new else " ".join(fields),
+                rows.append((path, at, length, inner, size, None if new else " ".join(fields),
                              page_id_of(http[0]) if http else None, len(payload),
                              hashlib.sha256(payload).hexdigest()))
                 if len(rows) == 10_000:
@@ -201,7 +263,7 @@ def index_arc(batches):
 
 def index_batch(rows) -> pa.RecordBatch:
     names = [f.split()[0] for f in INDEX.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.int64(), pa.string()]
     cols = list(zip(*rows)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
@@ -253,13 +315,14 @@ def write_warc(batches, folder: str):
     source, warc = Members(), None
     for batch in batches:
         for row in batch.to_pylist():
-            name = row["path"].rpartition("/")[2].replace(".arc.gz", ".warc.gz")
+            name = row["path"].rpartition("/")[2]
+            name = name.replace(".arc.gz", ".warc.gz") if name.endswith(".arc.gz") else f"{name}.warc.gz"
             if warc is None or warc.path != f"{folder}/{name}":
                 if warc is not None:
                     warc.close()
                     yield manifest([warc.path])
                 warc = Archive(folder, name)
-            warc.member(convert(source.read(row["path"], row["at"], row["length"]), row))
+            warc.member(convert(source.read(*(row[c] for c in ("path", "at", "length", "inner", "size"))), row))
     if warc is not None:
         warc.close()
         yield manifest([warc.path])
@@ -277,8 +340,8 @@ def arc_to_warc(arcs: DataFrame, min_revisit: int = 100) -> DataFrame:
                   .filter("n > 1").drop("n")
                   .withColumn("revisitable", F.lit(True)), "arc-first")
     rows = index.withColumn("revisitable", shared).join(first, ["payload_digest", "revisitable"], "left")
-    rows = rows.select("path", "at", "length", "fields", "page_id", "payload_digest", "first_id")
-    files = rows.repartition(n, "path").sortWithinPartitions("path", "at")
+    rows = rows.select("path", "at", "length", "inner", "size", "fields", "page_id", "payload_digest", "first_id")
+    files = rows.repartition(n, "path").sortWithinPartitions("path", "at", "inner")
     return stage(files.mapInArrow(partial(write_warc, folder=scratch(spark, "warc")), "path string"), "warcs")
 
 
