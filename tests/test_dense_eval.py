@@ -30,6 +30,15 @@ def test_lsh_recall_against_exact(spark, sf):
     assert len(exact & approx) / len(exact) > 0.5
 
 
+def test_lsh_recall_at_both_sizes(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
+    p, q = e.withColumnRenamed("vec_id", "probe_id"), e.withColumnRenamed("vec_id", "item_id")
+    for k in (5, 250):  # 250 is what the registered query asks for
+        exact = {(r.probe_id, r.item_id) for r in D.knn_l2(p, q, k).collect()}
+        approx = {(r.probe_id, r.item_id) for r in D.knn_lsh_join(p, q, k).collect()}
+        assert len(exact & approx) / len(exact) >= 0.9
+
+
 def test_auc_and_metrics(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.6), (0, 0.6), (0, 0.2), (1, 0.4), (0, 0.1)], "target int, score double")
     # pairs (pos, neg): 9 pairs; pos>neg: 0.9>all 3, 0.6>0.2,0.1 and tie with 0.6, 0.4>0.2,0.1
