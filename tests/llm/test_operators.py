@@ -301,6 +301,33 @@ def test_vantage_point_tree_finds_every_link():
     assert (mine == simhash_vp.roots(parent, np.arange(len(fps)))).all()
 
 
+def test_dense_ball_is_dealt_in_blocks():
+    import pyarrow as pa
+    import pyarrow.compute
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 2 ** 64, 1000, dtype=np.uint64)
+    ball = np.full(2000, fps[0])
+    for _ in range(3):
+        ball ^= np.uint64(1) << rng.integers(0, 64, len(ball)).astype(np.uint64)
+    fps = np.unique(np.concatenate([fps, ball]))
+    tree = simhash_vp.fit_tree(fps, len(fps), 200, 4)
+    dense = simhash_vp.dense_leaves(fps, len(fps), 200, tree, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])
+    routed = pa.Table.from_batches(simhash_vp.route([batch], tree, 4, dense))
+    own = Counter(s for s, r in zip(routed["shard"].to_pylist(), routed["resident"].to_pylist()) if r)
+    assert max(own.values()) < 600  # without blocks the ball is one shard of some 2000
+    place = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    parent = np.arange(len(fps))
+    for shard in set(routed["shard"].to_pylist()):
+        out = simhash_vp.link_shard(routed.filter(pa.compute.equal(routed["shard"], shard)), 4)
+        simhash_vp.union(parent, *(np.array([place[x] for x in out[c].to_pylist()], int) for c in "ab"))
+    mine = simhash_vp.roots(parent, np.arange(len(fps)))
+    parent = np.arange(len(fps))
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    simhash_vp.union(parent, i, j)
+    assert (mine == simhash_vp.roots(parent, np.arange(len(fps)))).all()
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = dict(simhash_vp.components(edges).collect())

@@ -125,13 +125,31 @@ def walk(fps: np.ndarray, resident: np.ndarray, tree, max_bits: int):
                      (outer, rows[d > radius - max_bits], False)]
 
 
-def route(batches, tree, max_bits: int):
+def dense_leaves(sample: np.ndarray, total: int, shard: int, tree, max_bits: int) -> dict[int, int]:
+    """Leaves that no split made small, by the sample: into how many blocks each is dealt."""
+    found = {}
+    for leaf, rows, here in walk(sample, np.ones(len(sample), bool), tree, max_bits):
+        if here and len(rows) * total > 2 * shard * len(sample):
+            found[leaf] = -(-len(rows) * total // (shard * len(sample)))
+    return found
+
+
+def route(batches, tree, max_bits: int, dense: dict[int, int]):
+    """A row per leaf that a fingerprint lives in or must visit; in a dense leaf, one per pair
+    of blocks, so that any two of its rows meet and no task holds more than two blocks."""
     for batch in batches:
         fps = batch.column(0).to_numpy().view(np.uint64)
-        for shard, rows, here in walk(fps, np.ones(len(fps), bool), tree, max_bits):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), shard, np.int64)), pa.array(fps[rows].view(np.int64)),
-                 pa.array(np.full(len(rows), here))], ["shard", "fp", "resident"])
+        for leaf, rows, here in walk(fps, np.ones(len(fps), bool), tree, max_bits):
+            n = dense.get(leaf, 1)
+            block = (fps[rows] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(n)
+            pairs = [(i, j) for i in range(n) for j in range(i + 1, n)] or [(0, 0)]
+            for i, j in pairs:
+                some = fps[rows[(block == i) | (block == j)]]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), leaf << 32 | i << 16 | j, np.int64)),
+                         pa.array(some.view(np.int64)), pa.array(np.full(len(some), here))],
+                        ["shard", "fp", "resident"])
 
 
 # --- inside a shard -----------------------------------------------------------------------
@@ -234,13 +252,13 @@ def assign(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits:
     sample = np.array([r.fp for r in classes.filter(key < share).select("fp").limit(SAMPLE).collect()],
                       np.int64).view(np.uint64)
     tree = fit_tree(np.sort(sample), total, SHARD, max_bits)
-
+    dense = dense_leaves(sample, total, SHARD, tree, max_bits) if len(sample) else {}
 
     def link(rows: pa.Table) -> pa.Table:
         return link_shard(rows, max_bits)
 
     links = (classes.select("fp")
-             .mapInArrow(partial(route, tree=tree, max_bits=max_bits), "shard long, fp long, resident boolean")
+             .mapInArrow(partial(route, tree=tree, max_bits=max_bits, dense=dense), "shard long, fp long, resident boolean")
              .groupBy("shard").applyInArrow(link, "a long, b long"))
     linked = components(links)
     named = classes.join(linked, classes["fp"] == linked["node"], "left") \
