@@ -18,5 +18,6 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from . import (arc_to_warc, binpack, byte_shards, context_coder, crf_langid, exact_dedup, kneser_ney, phrase_index, simhash_vp, tag_paths)  # noqa: F401
+    from . import (arc_to_warc, binpack, byte_shards, context_coder, crf_langid, exact_dedup, kneser_ney,  # noqa: F401
+                   merkle_octopus, phrase_index, simhash_vp, tag_paths)
     return dict(QUERIES), dict(ORACLES)
