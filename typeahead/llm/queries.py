@@ -19,5 +19,5 @@ def register(name: str, sql: str | None = None):
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
     from . import (arc_to_warc, binpack, byte_shards, context_coder, crf_langid, exact_dedup,  # noqa: F401
-                   kneser_ney, merkle_octopus, phrase_index, simhash_vp, strata_search, tag_paths)
+                   gauss_quality, kneser_ney, merkle_octopus, phrase_index, simhash_vp, strata_search, tag_paths)
     return dict(QUERIES), dict(ORACLES)
