@@ -10,11 +10,12 @@ import hashlib
 
 import pytest
 
-from typeahead.operators.fuzzy import partial_ratio
 from typeahead.functions.text import normalize_text
 from typeahead.plans import track_a as TA
 from typeahead.sources import fixtures as fx
 
+from test_fuzzy_windows import slow_partial_ratio
+
 
 
 def _lev(a, b):
@@ -35,7 +36,7 @@ def _window_score(p, q):
 
 @pytest.mark.parametrize("K, fuzzy", [(20, "levenshtein"), (150, "levenshtein"), (20, "partial_ratio")])
 def test_cascade_matches_sequential_loop(spark, sf, K, fuzzy):
-    similarity = _window_score if fuzzy == "levenshtein" else lambda p, q: round(partial_ratio(p, q), 6)
+    similarity = _window_score if fuzzy == "levenshtein" else lambda p, q: round(slow_partial_ratio(p, q), 6)
     ins = fx.inputs(spark, sf)
     a = TA.build(ins["train"], ins["pool"], ins["features"], ins["test"], K)
     prefixes = ins["test"].select(normalize_text("prefix").alias("prefix_clean")).distinct()

@@ -130,13 +130,3 @@ def test_bm25_pruned_topk_equals_exhaustive(spark, sf):
         a = {tuple(r) for r in L.bm25_topk(idx, test, k, prune=True).select(*cols).collect()}
         b = {tuple(r) for r in L.bm25_topk(idx, test, k, prune=False).select(*cols).collect()}
         assert a == b
-
-
-def test_partial_ratio_batch_equals_scalar():
-    import random
-    random.seed(3)
-    a = ["".join(random.choice("ab c") for _ in range(random.randint(0, 12))) for _ in range(800)]
-    b = ["".join(random.choice("ab cd") for _ in range(random.randint(0, 25))) for _ in range(800)]
-    got = FZ.partial_ratio_batch(a + ["ifon"], b + ["iphone"])
-    want = [FZ.partial_ratio(x, y) for x, y in zip(a + ["ifon"], b + ["iphone"])]
-    assert max(abs(g - w) for g, w in zip(got, want)) < 1e-9

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -95,8 +96,13 @@ def release() -> None:
 
 
 def cut(df):
-    """Write a stage result to the shared checkpoint folder and continue from
-    it: later stages (and recovery after a lost executor) read the written
-    table instead of replaying the whole lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a stage result as Parquet under the shared checkpoint folder and continue from
+    it: later stages (and recovery after a lost executor) read the written table instead of
+    replaying the lineage, columns not needed are not read, and joins are planned by its size.
+    The folder goes when the application ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"stage-{uuid.uuid4().hex}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
