@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import table
 from .queries import register
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
-                   r"|<[/!?][^>]*>", re.S)
+MARKUP = re.compile(r"<(?:[a-zA-Z]|/[a-zA-Z]|[/!?])")
+NAME_END = re.compile(r"[\s/>]")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟।]")
 
@@ -114,41 +115,65 @@ def furniture(tag: str, attributes: str, in_content: bool) -> str:
 
 
 class Wrappers:
-    """What the page's forms and elements named as furniture hold, and what stands outside them."""
+    """What the page's forms and elements named as furniture hold, and what stands outside them.
+
+    What a wrapper holds, those around it hold too: text is booked once, on the innermost
+    wrapper it counts for, and handed outwards when that one closes.
+    """
 
     def __init__(self):
         self.all: list[dict] = []
         self.open: list[dict] = []
-        self.anchors = self.mains = self.articles = 0   # open elements
+        self.anchors: list[int] = []   # per open element: how many wrappers stand around it
+        self.mains: list[int] = []
+        self.articles = self.readers = 0   # open ones
         self.chars = self.article_outside = self.anchor_outside = 0
 
     def enter(self, number: int, kind: str, tag: str) -> None:
         if kind in ("wrapper", "reader"):
-            found = {"number": number, "kind": kind, "chars": 0, "anchor": 0, "main": 0,
-                     "anchors": self.anchors, "mains": self.mains}
+            found = {"number": number, "kind": kind, "chars": 0, "anchor": 0, "main": 0}
             self.all.append(found)
             self.open.append(found)
-        self.step(tag, 1)
-
-    def step(self, tag: str, by: int) -> None:
-        self.anchors += by * (tag in ANCHORS)
-        self.articles += by * (tag in ("article", "main"))
-        self.mains += by * (tag == "main")
+            self.readers += kind == "reader"
+        if tag in ANCHORS:
+            self.anchors.append(len(self.open))
+        if tag == "main":
+            self.mains.append(len(self.open))
+        self.articles += tag in ("article", "main")
+
+    def leave(self, kind: str, tag: str) -> None:
+        if tag in ANCHORS:
+            self.anchors.pop()
+        if tag == "main":
+            self.mains.pop()
+        self.articles -= tag in ("article", "main")
+        if kind in ("wrapper", "reader"):
+            inner = self.open.pop()
+            self.readers -= kind == "reader"
+            if self.open:
+                for c in ("chars", "anchor", "main"):
+                    self.open[-1][c] += inner[c]
 
     def text(self, n: int, link: bool) -> None:
         own = 0 if link else n
         self.chars += own
-        for w in self.open:
-            w["chars"] += own
-            w["anchor"] += n * (self.anchors > w["anchors"])
-            w["main"] += n * (self.mains > w["mains"])
-        if not self.open:
+        if self.open:
+            self.open[-1]["chars"] += own
+            # the wrappers outside the innermost open anchor hold it with the anchor
+            if self.anchors and self.anchors[-1]:
+                self.open[self.anchors[-1] - 1]["anchor"] += n
+            if self.mains and self.mains[-1]:
+                self.open[self.mains[-1] - 1]["main"] += n
+        else:
             self.article_outside += n * (self.articles > 0)
-        if self.anchors and all(w["kind"] != "reader" for w in self.open):
+        if self.anchors and not self.readers:
             self.anchor_outside += n
 
     def content(self) -> frozenset:
         """Numbers of those that hold the page's content."""
+        for i in range(len(self.open) - 1, 0, -1):  # never closed
+            for c in ("chars", "anchor", "main"):
+                self.open[i - 1][c] += self.open[i][c]
         return frozenset(
             w["number"] for w in self.all
             if w["main"] or not (w["kind"] == "reader" and self.anchor_outside)
@@ -156,18 +181,78 @@ class Wrappers:
                  or w["anchor"] and 4 * w["chars"] >= self.chars))
 
 
-def blocks(page: str) -> list[tuple[str, str, tuple]]:
-    """(path, text, containers) of the page's blocks that are not furniture, in page order;
-    containers are (number, tag) of the elements around it that are not mere ordering."""
-    out, content = parse(page, frozenset())
-    return parse(page, content)[0] if content else out
+class Tokens:
+    """Comments and tags of a page, each found in one forward scan."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.name_end = -1
+        self.dead: set[int] = set()  # marks outside quotes from which no tag ends
+
+    def tag_end(self, at: int) -> int:
+        """The position after the ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        seen = []
+        while at <= self.last:
+            m = QUOTE_OR_END.search(self.page, at)
+            if m.start() in self.dead:
+                break
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.dead.update(seen)
+        return -1
+
+    def next(self, pos: int) -> tuple[int, int, str, str, bool] | None:
+        """start, end, tag (empty for what is no element), attributes, whether it closes."""
+        page = self.page
+        while (m := MARKUP.search(page, pos)) is not None:
+            start = m.start()
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", "", False
+            if start > self.last:  # only a comment can still begin
+                pos = start + 1
+                continue
+            closing = page[start + 1] == "/"
+            name = start + 1 + closing
+            if page[name].isalpha():
+                if self.name_end < name:
+                    self.name_end = NAME_END.search(page, name).start()
+                end = self.tag_end(self.name_end)
+                if end >= 0:
+                    return start, end, page[name:self.name_end].lower(), page[self.name_end:end - 1], closing
+            if page[start + 1] in "/!?":
+                return start, page.index(">", start) + 1, "", "", False
+            pos = start + 1
+        return None
+
+
+class Outline:
+    """The page's paths and containers as parent links, so that deep pages stay small."""
 
+    def __init__(self):
+        self.paths: dict[tuple[int, str], int] = {}   # (parent's path, tag) -> path
+        self.container: dict[int, tuple[int, str]] = {0: (0, "")}  # number -> (the one around it, tag); 0 is the page
+
+
+def blocks(page: str) -> tuple[list[tuple[tuple[int, bool], str, int]], Outline]:
+    """((path, whether mostly link text), text, container) of the page's blocks that are not
+    furniture, in page order; a container is an element that is not mere ordering."""
+    out, outline, content = parse(page, frozenset())
+    return parse(page, content)[:2] if content else (out, outline)
 
-def parse(page: str, content: frozenset) -> tuple[list[tuple[str, str, tuple]], frozenset]:
+
+def parse(page: str, content: frozenset):
     """The blocks, given the numbers of wrappers known as content, and the numbers found to be."""
-    out: list[tuple[str, str, tuple]] = []
-    stack: list[tuple[str, str, int]] = []  # tag, kind of furniture, number
-    wrappers = Wrappers()
+    out: list[tuple[tuple[int, bool], str, int]] = []
+    outline = Outline()
+    stack: list[tuple[str, str, int, int, int]] = []  # tag, kind of furniture, number, path, container
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+    scopes: list[int] = []
+    wrappers, tokens = Wrappers(), Tokens(page)
     opened = always = 0
     parts: list[str] = []
     hidden = links = link_chars = 0
@@ -186,51 +271,48 @@ def parse(page: str, content: frozenset) -> tuple[list[tuple[str, str, tuple]],
             raw = "".join(parts)
             found = " ".join(entities.unescape(raw).split())
             if found:
-                path = "/".join(t for t, _, _ in stack if t not in INLINE)
-                around = tuple((number, t) for t, _, number in stack if t not in ORDERING)
-                out.append((path + "/a" if 2 * link_chars > len(raw) else path, found, around))
+                path, around = stack[-1][3:] if stack else (0, 0)
+                out.append(((path, 2 * link_chars > len(raw)), found, around))
             parts.clear()
         link_chars = 0
 
     def close(to: int) -> None:
         nonlocal hidden, always, links
-        if any(t not in INLINE for t, _, _ in stack[to:]):
+        if any(stack[i][0] not in INLINE for i in range(to, len(stack))):
             flush()
-        for t, kind, number in reversed(stack[to:]):
+        while len(stack) > to:
+            t, kind, number, _, _ = stack.pop()
+            places[t].pop()
+            if t in SCOPE:
+                scopes.pop()
             hidden -= kind != "" and number not in content
             always -= kind == "always"
             links -= t == "a"
-            wrappers.step(t, -1)
-            if kind and kind != "always":
-                wrappers.open.pop()
-        del stack[to:]
+            wrappers.leave(kind, t)
 
     def innermost(tags) -> int | None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in SCOPE:
-                return None
-        return None
+        """Where the innermost of ``tags`` is open, unless a scope stands inside it."""
+        at = max((places[t][-1] for t in tags if places[t]), default=-1)
+        return at if at >= 0 and (not scopes or scopes[-1] <= at) else None
 
     pos, end = 0, len(page)
     while pos < end:
-        m = TOKEN.search(page, pos)
+        m = tokens.next(pos)
         if m is None:
             text(page[pos:])
             break
-        text(page[pos:m.start()])
-        pos = m.end()
-        if not m[2]:
+        start, after, tag, attributes, closing = m
+        text(page[pos:start])
+        pos = after
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None and not (tag in INLINE and any(t in SCOPE for t, _, _ in stack[at:])):
+        if closing:
+            at = places[tag][-1] if places[tag] else None
+            if at is not None and not (tag in INLINE and scopes and scopes[-1] >= at):
                 close(at)
             continue
         if tag in RAW:
-            ends = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
+            ends = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos, tokens.last + 1)
             pos = ends.end() if ends else end
             continue
         if tag in CLOSES or tag in PARAGRAPH_ENDS:
@@ -244,16 +326,24 @@ def parse(page: str, content: frozenset) -> tuple[list[tuple[str, str, tuple]],
             continue
         if tag not in INLINE:
             flush()
-        in_content = any(t in ("article", "main") for t, _, _ in stack)
-        kind = furniture(tag, m[3], in_content)
+        kind = furniture(tag, attributes, wrappers.articles > 0)
         opened += 1
-        stack.append((tag, kind, opened))
+        path, around = stack[-1][3:] if stack else (0, 0)
+        if tag not in INLINE:
+            path = outline.paths.setdefault((path, tag), len(outline.paths) + 1)
+        if tag not in ORDERING:
+            outline.container[opened] = (around, tag)
+            around = opened
+        places[tag].append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append((tag, kind, opened, path, around))
         wrappers.enter(opened, kind, tag)
         hidden += kind != "" and opened not in content
         always += kind == "always"
         links += tag == "a"
     flush()
-    return out, wrappers.content()
+    return out, outline, wrappers.content()
 
 
 def spread_out(raw: list[float], share: float) -> tuple[list[float], list[float], float]:
@@ -266,7 +356,7 @@ def spread_out(raw: list[float], share: float) -> tuple[list[float], list[float]
     return raw, smooth, share * spread
 
 
-def select(found: list[tuple[str, str, tuple]], share: float = 0.25) -> list[bool]:
+def select(found: list[tuple[tuple[int, bool], str, int]], outline: Outline, share: float = 0.25) -> list[bool]:
     """Which blocks are content, by the smoothed ratios of their paths and by their containers."""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, _ in found:
@@ -274,7 +364,7 @@ def select(found: list[tuple[str, str, tuple]], share: float = 0.25) -> list[boo
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
     ratio = {p: size[p] / count[p] * (1 + marks[p] / count[p]) ** 0.5 for p in count}
-    link = [p.endswith("/a") for p, _, _ in found]
+    link = [p[1] for p, _, _ in found]
     # text beyond a full paragraph, or four times the page's usual one, says nothing more
     weights = sorted((ratio[p], min(len(t), MEDIAN_CHARS)) for (p, t, _), a in zip(found, link) if not a)
     half, most = sum(w for _, w in weights) / 2, FULL_PARAGRAPH
@@ -287,27 +377,37 @@ def select(found: list[tuple[str, str, tuple]], share: float = 0.25) -> list[boo
     link_raw, _, link_least = spread_out([min(ratio[p], FULL_PARAGRAPH) for p, _, _ in found], share)
     # containers with content of their own, and articles with any; the page itself is number 0
     holds: set[int] = set()
+    climbed: set[int] = set()
     on_page: list[int] = []
     for i, (_, _, around) in enumerate(found):
         if not link[i] and raw[i] >= least:
-            holds.add(around[-1][0] if around else 0)
-            holds.update(number for number, tag in around if tag == "article")
+            holds.add(around)
             if not around:
                 on_page.append(i)
+            while around and around not in climbed:
+                climbed.add(around)
+                outer, tag = outline.container[around]
+                if tag == "article":
+                    holds.add(around)
+                around = outer
+    within = {0: False}  # whether the container or one around it holds content, the page aside
+    for number, (outer, _) in outline.container.items():  # outer ones come first
+        if number:
+            within[number] = number in holds or within[outer]
 
     def inherits(i: int) -> bool:
         around = found[i][2]
         if not around:
             return 0 in holds
-        return any(number in holds for number, _ in around) or bool(on_page) and on_page[0] < i < on_page[-1]
+        return within[around] or bool(on_page) and on_page[0] < i < on_page[-1]
 
     # a link block keeps its own low ratio, whatever stands beside or around it
     return [link_raw[i] >= link_least if link[i] else smooth[i] >= least or inherits(i) for i in range(len(found))]
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    return "\n\n".join(text for (_, text, _), keep in zip(found, select(found)) if keep)
+    found, outline = blocks(page or "")
+    return "\n\n".join(text for (_, text, _), keep in zip(found, select(found, outline)) if keep)
 
 
 def extract_batches(batches):
