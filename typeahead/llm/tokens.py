@@ -23,7 +23,7 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+"
 UNSAFE = re.compile("[^\x00-\x1b\x20-ſ‐-‧‰-⁞₠-₿]")
 SPACED_WORD = re.compile(f" [{LETTERS}]+")
 
-CACHE_PIECES = 200_000  # per worker; a full cache is emptied, which changes no result
+CACHE_PIECES = 150_000  # per generation, two of them per worker; the older one is dropped when full
 
 
 class PieceEncoder:
@@ -37,17 +37,21 @@ class PieceEncoder:
         self.n_bytes = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
-        self._clear()
+        self._turn()
+        self._turn()
 
-    def _clear(self):
+    def _turn(self):
+        """Start a generation; pieces of the last one come over when they are met again."""
+        self.old = (self.index, self.ids, self.ends) if hasattr(self, "index") else ({}, None, None)
         self.index: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         """Append the ids of new pieces, in order, to the cache arrays."""
-        lists: list = [None] * len(pieces)
-        spaced = [i for i, p in enumerate(pieces) if SPACED_WORD.fullmatch(p)]
+        known, ids, ends = self.old
+        lists = [ids[ends[at]:ends[at + 1]] if (at := known.get(p)) is not None else None for p in pieces]
+        spaced = [i for i, p in enumerate(pieces) if lists[i] is None and SPACED_WORD.fullmatch(p)]
         for lo in range(0, len(spaced), 20_000):
             # " word word" splits before each blank again: one call, cut by byte lengths
             part = spaced[lo:lo + 20_000]
@@ -55,8 +59,8 @@ class PieceEncoder:
                 ["".join(pieces[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum([len(pieces[i].encode()) for i in part])
             cuts = np.searchsorted(np.cumsum(self.n_bytes[joined]), ends) + 1
-            for i, ids in zip(part, np.split(joined, cuts[:-1])):
-                lists[i] = ids
+            for i, found in zip(part, np.split(joined, cuts[:-1])):
+                lists[i] = found
         rest = [i for i, x in enumerate(lists) if x is None]
         for i, e in zip(rest, self.tok.encode_batch_fast([pieces[i] for i in rest],
                                                          add_special_tokens=False)):
@@ -68,7 +72,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each followed by ``end_id``, and the end offset of each text."""
         if len(self.index) > CACHE_PIECES:
-            self._clear()
+            self._turn()
         words: list[list[str] | None] = []
         for text in texts:
             plain = text is None or not (UNSAFE.search(text) or any(s in text for s in self.special))
