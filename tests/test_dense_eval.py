@@ -10,7 +10,7 @@ from typeahead.operators import evaluate as E
 def test_knn_l2_matches_numpy(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
     got = D.knn_l2(e.withColumnRenamed("vec_id", "probe_id"), e.withColumnRenamed("vec_id", "item_id"), 5,
-                   probe_block=64, pool_block=128, chunk=16).collect()
+                   cell_rows=40, block_rows=30, visits=64, chunk=16).collect()
     rows = e.orderBy("vec_id").collect()
     ids = np.array([r.vec_id for r in rows])
     X = np.array([r.vec for r in rows], dtype=np.float64)
@@ -22,12 +22,49 @@ def test_knn_l2_matches_numpy(spark, sf):
     assert {(r.probe_id, r.item_id) for r in got} == want
 
 
-def test_lsh_recall_against_exact(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
-    p, q = e.withColumnRenamed("vec_id", "probe_id"), e.withColumnRenamed("vec_id", "item_id")
-    exact = {(r.probe_id, r.item_id) for r in D.knn_l2(p, q, 5).collect()}
-    approx = {(r.probe_id, r.item_id) for r in D.knn_lsh_join(p, q, 5).collect()}
-    assert len(exact & approx) / len(exact) > 0.5
+def _clustered(spark, n_pool, n_probes):
+    """Vectors around a few far centres, with ties, repeated rows, nulls and missing keys."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 8)) * 20
+    def rows(n):
+        x = np.round(centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 8)), 1)
+        return [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    pool, probes = rows(n_pool), rows(n_probes)
+    pool += [(n_pool, pool[3][1]), (7, pool[7][1])]
+    odd = [(900, None), (901, [1.0, None] + [0.0] * 6), (None, pool[1][1])]
+    return (pool, spark.createDataFrame([(i, v, (i or 0) % 5 * 0.5) for i, v in pool + odd],
+                                        "item_id long, vec array<float>, b double").repartition(4),
+            probes, spark.createDataFrame(probes + odd[:2], "probe_id long, vec array<float>").repartition(4))
+
+
+def test_cells_are_exact_and_prune(spark, monkeypatch):
+    pool, pool_df, probes, probe_df = _clustered(spark, 600, 80)
+    x, y = (np.float32([v for _, v in r]).astype(float) for r in (probes, pool))
+    bias = np.array([i % 5 * 0.5 for i, _ in pool])
+    visits = []
+    monkeypatch.setattr(D, "cut", lambda df, kept=D.cut: (
+        visits.append(n.count()) if (n := kept(df)).columns == ["pk", "vec", "cell"] else None, n)[1])
+    for metric, cost in (("l2", ((x[:, None] - y[None]) ** 2).sum(-1)), ("dot", -(x @ y.T + bias))):
+        want = set()
+        for (pid, _), row in zip(probes, cost.round(6)):
+            want |= {(pid, *z, r) for r, z in enumerate(sorted(
+                ((i, round(c, 6)) for (i, _), c in zip(pool, row)), key=lambda t: (t[1], t[0]))[:9], 1)}
+        for sizes in (dict(cell_rows=25, block_rows=20, visits=50, chunk=7), {}):
+            visits.clear()
+            got = D.block_topk(probe_df, pool_df, 9, metric, bias="b" if metric == "dot" else None, **sizes).collect()
+            sign = 1 if metric == "l2" else -1
+            assert {(r.probe_id, r.item_id, round(sign * r.score, 6) + 0.0, r["rank"]) for r in got} == want
+            assert len(got) == 9 * len(probes)
+            if sizes and metric == "l2":
+                assert sum(visits) < 0.35 * len(probes) * 25  # of all (probe, cell) pairs
+
+
+def test_knn_of_empty_sides(spark):
+    _, pool_df, _, probe_df = _clustered(spark, 20, 5)
+    for fn in (D.knn_l2, D.dense_dot_scores, D.knn_lsh_join):
+        assert fn(probe_df, pool_df.where("vec IS NULL"), 3).count() == 0
+        assert fn(probe_df.limit(0), pool_df, 3).count() == 0
+    assert {r.probe_id for r in D.knn_lsh_join(probe_df, pool_df, 3).collect()} <= set(range(5))
 
 
 def test_lsh_recall_at_both_sizes(spark, sf):

@@ -64,3 +64,15 @@ def test_release_keeps_other_caches(spark):
     release()
     assert own.storageLevel.useMemory is False and other.storageLevel.useMemory is True
     other.unpersist()
+
+
+@pytest.mark.parametrize("n", [1, 2, 58, 30_000])
+def test_quantiles_at_every_size(spark, n):
+    """Fewer rows than the sketch tells apart, and more; a third of the rows share a value."""
+    import numpy as np
+    x = np.where(np.arange(n) % 3 == 0, 0.5, np.random.default_rng(n).normal(size=n).round(4))
+    df = spark.range(n).selectExpr("id", "CAST(NULL AS STRING) AS g")
+    df = df.join(spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(x)], "id long, v double"), "id")
+    probs = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p999": 0.999, "p100": 1.0}
+    got = quantiles(df, "v", probs, ["g"]).first()
+    assert got.g is None and all(abs(got[k] - np.quantile(x, p)) < 1e-9 for k, p in probs.items())

@@ -1,24 +1,30 @@
 """Dense vectors: embedding column, exact k-NN, LSH join, vector functions.
 
-Exact nearest neighbours are a blocked matrix product: probes are hashed into
-B blocks and pool rows into M blocks; each probe row is replicated to the M
-pool blocks and each pool row to the B probe blocks (``explode`` of the block
-ids), and ``cogroup(...).applyInPandas`` multiplies one probe block by one
-pool block in NumPy, keeping only the local top-k per probe.  A final
-per-probe ``WindowGroupLimit`` merges the M partial lists.  Every task holds
-one bounded block pair; no pair list is ever materialised.
+Exact nearest neighbours meet cells, not all pool rows.  Pool rows go to the nearest of some
+centres, fitted on a bounded sample; a cell's radius bounds how near (or how large a dot
+product) its rows can come to a probe.  A probe first visits the cells nearest to it until
+they hold k rows, which gives its running k-th score, and then the cells whose bound that
+score does not exclude.  A pool row is shipped once per visit round (a cell with very many
+visitors is dealt to several tasks), a probe once per cell it visits; a task holds one
+bounded block of pool rows and streams the probes past it in NumPy.
+
+A row whose vector is null or holds a null is no item, and as a probe has no neighbours, nor
+is a row without a key an item; all vectors have one length; ties go to the smaller key; repeated keys are rows of their own; an empty side gives no rows.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import add_char_ngrams, md5_int
+from ..session import cut
 from .topk import topk_per_key
 
 EMBED_DIM = 64
@@ -41,6 +47,20 @@ def embed_text(df: DataFrame, col: str, out: str = "embedding", dim: int = EMBED
     return df.withColumn(out, vec).drop("__g", "__c", "__n")
 
 
+def model_encoder(load, batch_size: int = 64):
+    """D1 with a learned model, as the ``encode`` argument of the tracks.
+
+    ``load()`` runs once per Python worker and returns a function from an array of strings to
+    a matrix of vectors, which gets at most ``batch_size`` texts at a time.  Null is ''."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+    predict = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch_size)
+
+    def encode(df: DataFrame, col: str, out: str) -> DataFrame:
+        return df.withColumn(out, predict(F.coalesce(F.col(col), F.lit(""))))
+    return encode
+
+
 def _d(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
@@ -79,103 +99,232 @@ def scale_l2(a, factor: float, eps: float = 1e-10) -> Column:
 
 # ------------------------------------------------------------------ exact k-NN
 
-def _block_kernel(k: int, metric: str, pk: str, ik: str, has_bias: bool, chunk: int = 512,
-                  rescore: int = 1 << 18):
-    """Local top-k of one probe block against one pool block.
-
-    Candidates are selected in float32 (half the memory and BLAS time of
-    float64) with a slack that covers float32 error; the kept pairs are then
-    scored exactly in float64 and cut to k per probe by rounded score and key.
-    """
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = [pk, ik, "score"]
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        Q = np.stack(right["vec"].to_numpy()).astype(np.float64)
-        Q32 = Q.astype(np.float32)
-        q2 = (Q * Q).sum(1)
-        bias = right["bias"].to_numpy(dtype=np.float64) if has_bias else None
-        pkeys, ikeys = left[pk].to_numpy(), right[ik].to_numpy()
-        kk = min(k, len(right))
-        key_rank = np.empty(len(right), dtype=np.int64)
-        key_rank[sorted(range(len(right)), key=ikeys.__getitem__)] = np.arange(len(right))
-        out_p, out_i, out_s = [], [], []
-        # probe rows in chunks: the score matrix held at once is chunk x block
-        for lo in range(0, len(left), chunk):
-            P = np.stack(left["vec"].to_numpy()[lo:lo + chunk]).astype(np.float64)
-            G = (P.astype(np.float32) @ Q32.T).astype(np.float64)
-            p2 = (P * P).sum(1)
-            if metric == "l2":
-                S = p2[:, None] + q2[None, :] - 2.0 * G
-                scale = p2[:, None] + q2[None, :]
+SAMPLE_ROWS = 20_000   # pool rows, about, that the centres are fitted on
+MAX_CENTRES = 1024
+CELL_ROWS = 4096       # pool rows per cell, about, until MAX_CENTRES is reached
+BLOCK_ROWS = 32_768    # most pool rows a task holds: larger cells are cut by a hash of the row
+VISITS = 200_000       # visitors of one block, about, before it is dealt to a further task
+
+
+def _array(column) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _fit_centres(x: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
+    """``n`` centres by Lloyd's rounds from evenly spread rows (fewer where rows repeat)."""
+    c = np.unique(x[np.linspace(0, len(x) - 1, n).astype(int)], axis=0)
+    for _ in range(rounds):
+        near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        size = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
+    return c
+
+
+@dataclass
+class Cells:
+    """What is known of the pool's cells; bounded by MAX_CENTRES."""
+    centres: np.ndarray
+    rows: np.ndarray    # pool rows in each cell
+    radius: np.ndarray  # largest distance of a row from the centre
+    bias: np.ndarray    # largest bias of a row
+    metric: str
+
+    def bounds(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per probe and cell the best cost any of its rows can have, and the order in which to
+        visit first; costs are squared distances or negative dot products."""
+        dots, p2 = p @ self.centres.T, (p * p).sum(1)[:, None]
+        dist = np.sqrt(np.maximum(p2 + (self.centres ** 2).sum(1)[None] - 2 * dots, 0))
+        if self.metric == "l2":
+            best = np.maximum(dist - self.radius[None], 0) ** 2
+            return best - 1e-5 * (1 + best), dist
+        best = -(dots + np.sqrt(p2) * self.radius[None] + self.bias[None])
+        return best - 1e-5 * (1 + np.abs(best)), best
+
+    def first(self, order: np.ndarray, k: int) -> np.ndarray:
+        """The cells each probe visits first: in order, until they hold k rows."""
+        at = np.argsort(np.where(self.rows[None] > 0, order, np.inf), axis=1, kind="stable")
+        held = np.cumsum(self.rows[at], axis=1) - self.rows[at]
+        chosen = np.zeros(order.shape, bool)
+        np.put_along_axis(chosen, at, held < k, axis=1)
+        return chosen & (self.rows[None] > 0)
+
+
+def _assign(batches, centres: np.ndarray):
+    for batch in batches:
+        x = _array(batch.column("vec"))
+        d = np.maximum((x * x).sum(1)[:, None] + (centres ** 2).sum(1)[None] - 2 * x @ centres.T, 0)
+        near = d.argmin(1)
+        own = np.sqrt(((x - centres[near]) ** 2).sum(1))
+        yield batch.append_column("cell", pa.array(near, pa.int32())).append_column("dist", pa.array(own, pa.float64()))
+
+
+def _visit(batches, cells: Cells, k: int, again: bool):
+    """A probe row per cell to visit: first the nearest cells; ``again``, those of the others
+    that ``theta``, the cost of the k-th row found (null: fewer found), does not exclude."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            best, order = cells.bounds(_array(part.column("vec")))
+            chosen = cells.first(order, k)
+            if again:
+                theta = part.column("theta").to_numpy(zero_copy_only=False).astype(np.float64)
+                theta = np.where(np.isnan(theta), np.inf, theta)
+                chosen = ~chosen & (cells.rows[None] > 0) & (best <= theta[:, None])
+            rows, cell = np.nonzero(chosen)
+            if len(rows):
+                out = part.select(["pk", "vec"]).take(pa.array(rows))
+                yield out.append_column("cell", pa.array(cell, pa.int32()))
+
+
+class _Block:
+    """Pool rows of one task, and the best of them for batches of probes.
+
+    Candidates are selected in float32 (half the memory and BLAS time of float64) with a
+    slack that covers float32 error; the kept pairs are then scored exactly in float64 and
+    cut to k per probe by rounded score and key."""
+
+    def __init__(self, keys: list, x: np.ndarray, bias: np.ndarray, metric: str, k: int):
+        self.keys, self.x, self.bias, self.metric = np.array(keys, dtype=object), x, bias, metric
+        self.x32, self.x2, self.k = x.astype(np.float32), (x * x).sum(1), min(k, len(x))
+        self.key_rank = np.empty(len(x), dtype=np.int64)
+        self.key_rank[sorted(range(len(x)), key=keys.__getitem__)] = np.arange(len(x))
+
+    def best(self, p: np.ndarray, rescore: int = 1 << 18):
+        """(probe row, pool row, score) of the k best per probe."""
+        g = (p.astype(np.float32) @ self.x32.T).astype(np.float64)
+        p2 = (p * p).sum(1)
+        if self.metric == "l2":
+            s = p2[:, None] + self.x2[None, :] - 2.0 * g
+            scale = p2[:, None] + self.x2[None, :]
+        else:
+            s = -(g + self.bias[None, :])
+            scale = np.sqrt(p2)[:, None] * np.sqrt(self.x2)[None, :]
+        thr = np.partition(s, self.k - 1, axis=1)[:, self.k - 1][:, None]
+        # float32 error is a few 1e-7 of the magnitudes involved; keep a
+        # wide margin plus the rounding step of the final scores
+        near = s <= thr + 1e-5 * (1.0 + scale.max(axis=1, keepdims=True)) + 1e-6
+        # many pool rows may tie: a few probes at a time, each cut to its k best
+        step = max(1, rescore // max(1, int(near.sum(axis=1).max())))
+        for a in range(0, len(p), step):
+            rows, items = np.nonzero(near[a:a + step])
+            rows += a
+            if self.metric == "l2":
+                diff = p[rows] - self.x[items]
+                val = (diff * diff).sum(1)
             else:
-                S = -(G + (bias[None, :] if has_bias else 0.0))
-                scale = np.sqrt(p2)[:, None] * np.sqrt(q2)[None, :]
-            thr = np.partition(S, kk - 1, axis=1)[:, kk - 1][:, None]
-            # float32 error is a few 1e-7 of the magnitudes involved; keep a
-            # wide margin plus the rounding step of the final scores
-            slack = 1e-5 * (1.0 + scale.max(axis=1, keepdims=True)) + 1e-6
-            near = S <= thr + slack
-            # many pool rows may tie: a few probes at a time, each cut to its k best
-            step = max(1, rescore // max(1, int(near.sum(axis=1).max())))
-            for a in range(0, len(P), step):
-                rows, cols_i = np.nonzero(near[a:a + step])
-                rows += a
-                if metric == "l2":
-                    diff = P[rows] - Q[cols_i]
-                    val = (diff * diff).sum(1)
-                else:
-                    val = np.einsum("ij,ij->i", P[rows], Q[cols_i])
-                    if has_bias:
-                        val = val + bias[cols_i]
-                val = np.round(val, 6) + 0.0
-                best = np.lexsort((key_rank[cols_i], val if metric == "l2" else -val, rows))
-                rows, cols_i, val = rows[best], cols_i[best], val[best]
-                first = np.searchsorted(rows, rows)
-                keep = np.arange(len(rows)) - first < kk
-                out_p.append(pkeys[lo + rows[keep]])
-                out_i.append(ikeys[cols_i[keep]])
-                out_s.append(val[keep])
-        return pd.DataFrame({pk: np.concatenate(out_p), ik: np.concatenate(out_i),
-                             "score": np.concatenate(out_s)})
-    return run
+                val = np.einsum("ij,ij->i", p[rows], self.x[items]) + self.bias[items]
+            val = np.round(val, 6) + 0.0
+            order = np.lexsort((self.key_rank[items], val if self.metric == "l2" else -val, rows))
+            rows, items, val = rows[order], items[order], val[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
+            yield rows[keep], items[keep], val[keep]
+
+
+def _score_blocks(batches, metric: str, k: int, kinds: list, chunk: int):
+    """Rows sorted by (cell, part, deal, probe): a block's pool rows, then its visitors."""
+    key, held, block = None, [], None
+    for batch in batches:
+        marks = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "deal", "probe")]
+        cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in marks], axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            rows = batch.slice(lo, hi - lo)
+            at = tuple(int(x[lo]) for x in marks[:3])
+            if at != key:
+                key, held, block = at, [], None
+            if not marks[3][lo]:
+                held.append(rows)
+                continue
+            if not held and block is None:
+                continue
+            if block is None:
+                pool = pa.Table.from_batches(held)
+                block = _Block(pool.column("ik").to_pylist(), _array(pool.column("vec").combine_chunks()),
+                               pool.column("bias").to_numpy().astype(np.float64), metric, k)
+                held = []
+            for a in range(0, rows.num_rows, chunk):
+                probes = rows.slice(a, chunk)
+                names = np.array(probes.column("pk").to_pylist(), dtype=object)
+                for r, i, val in block.best(_array(probes.column("vec"))):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[r].tolist(), kinds[0]), pa.array(block.keys[i].tolist(), kinds[1]),
+                         pa.array(val, pa.float64())], ["pk", "ik", "score"])
 
 
 def block_topk(probes: DataFrame, pool: DataFrame, k: int, metric: str = "l2",
                probe_key: str = "probe_id", item_key: str = "item_id", vec: str = "vec",
-               bias: str | None = None, probe_block: int = 8192, pool_block: int = 32768,
-               chunk: int = 512) -> DataFrame:
-    """D2 / D7 kernel: for every probe the ``k`` best pool items.
-
-    Each probe row is shipped to M pool blocks and each pool row to B probe
-    blocks, so the shuffle is ``n_probes·M + n_pool·B`` rows; large blocks
-    keep both factors small, and the kernel walks a probe block in chunks so
-    its score matrix stays ``512 x pool_block`` doubles.
+               bias: str | None = None, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+               visits: int = VISITS, chunk: int = 512) -> DataFrame:
+    """D2 / D7 kernel: for every probe the ``k`` best pool items, exactly.
 
     ``metric='l2'`` ranks by squared L2 ascending; ``'dot'`` by dot product
     (+ optional per-item ``bias``) descending.  Ties by item key.
     Output ``(probe_key, item_key, score, rank)``.
     """
-    from ..session import reuse
-    ptype = dict(probes.dtypes)[probe_key]
-    itype = dict(pool.dtypes)[item_key]
-    pcols = [F.col(probe_key), F.col(vec).alias("vec")]
-    icols = [F.col(item_key), F.col(vec).alias("vec")] + ([F.col(bias).alias("bias")] if bias else [])
-    # Both sides are read twice (row count, then the blocks): keep them.
-    probes, pool = reuse(probes.select(*pcols)), reuse(pool.select(*icols))
-    n_p, n_q = probes.count(), pool.count()
-    B = max(1, math.ceil(n_p / probe_block))
-    M = max(1, math.ceil(n_q / pool_block))
-    p = (probes
-         .withColumn("b", F.pmod(F.xxhash64(probe_key), F.lit(B)))
-         .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(M - 1)))))
-    q = (pool
-         .withColumn("m", F.pmod(F.xxhash64(item_key), F.lit(M)))
-         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
-    schema = f"{probe_key} {ptype}, {item_key} {itype}, score double"
-    part = (p.groupBy("b", "m").cogroup(q.groupBy("b", "m"))
-            .applyInPandas(_block_kernel(k, metric, probe_key, item_key, bias is not None, chunk), schema))
-    return topk_per_key(part, probe_key, "score", k, tie=item_key, ascending=(metric == "l2"))
+    whole = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
+    # written before the filter, which would otherwise repeat the vector's expression
+    p = cut(probes.select(F.col(probe_key).alias("pk"), _d(F.col(vec)).alias("vec"))).where(whole)
+    weight = F.col(bias).cast("double") if bias else F.lit(0.0)
+    q = cut(pool.select(F.col(item_key).alias("ik"), _d(F.col(vec)).alias("vec"), weight.alias("bias"))) \
+        .where(whole & F.col("ik").isNotNull())
+    p_type, i_type = dict(p.dtypes)["pk"], dict(q.dtypes)["ik"]
+    schema = f"pk {p_type}, ik {i_type}, score double"
+    kinds = [to_arrow_type(p.schema["pk"].dataType), to_arrow_type(q.schema["ik"].dataType)]
+    n_pool = q.count()
+    if not n_pool:
+        return p.sparkSession.createDataFrame([], f"{probe_key} {p_type}, {item_key} {i_type}, score double, rank int")
+
+    n_centres = min(MAX_CENTRES, -(-n_pool // cell_rows))
+    sample = q.select("vec").limit(1) if n_centres == 1 else q.select("vec").where(
+        F.pmod(F.xxhash64("ik"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / n_pool)) + 1)
+    rows = np.array([r[0] for r in sample.collect()])
+    centres = _fit_centres(rows, n_centres) if len(rows) else np.zeros((1, len(q.first()["vec"])))
+    cellular = cut(q.mapInArrow(partial(_assign, centres=centres),
+                                f"ik {i_type}, vec array<double>, bias double, cell int, dist double"))
+    rows_of, radius, most = np.zeros(len(centres), np.int64), np.zeros(len(centres)), np.zeros(len(centres))
+    for c, n, r, b in cellular.groupBy("cell").agg(F.count(F.lit(1)), F.max("dist"), F.max("bias")).collect():
+        rows_of[c], radius[c], most[c] = n, r, b  # a row per centre
+    cells = Cells(centres, rows_of, radius, most, metric)
+    n_parts = F.element_at(F.array(*[F.lit(-(-max(1, int(n)) // block_rows)) for n in rows_of]), F.col("cell") + 1)
+    tie = F.monotonically_increasing_id()  # parts rows that share a key too
+    blocks = cellular.withColumn("part", F.pmod(F.xxhash64("ik", tie), n_parts).cast("int")).drop("dist")
+
+    def scored(found: DataFrame, again: bool) -> DataFrame:
+        seen = cut(found.mapInArrow(partial(_visit, cells=cells, k=k, again=again),
+                                    f"pk {p_type}, vec array<double>, cell int"))
+        deals = seen.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / visits).cast("int").alias("deals")).collect()
+        if not deals:
+            return p.sparkSession.createDataFrame([], schema)
+        by_cell = F.create_map(*[F.lit(x) for r in deals for x in r])  # a row per visited cell
+        n_deals = F.element_at(by_cell, F.col("cell"))
+        one = F.lit(None)
+        items = (blocks.where(n_deals.isNotNull())
+                 .withColumn("deal", F.explode(F.sequence(F.lit(0), n_deals - 1)))
+                 .select("cell", "part", "deal", F.lit(0).alias("probe"), one.cast(p_type).alias("pk"), "ik", "vec", "bias"))
+        asked = (seen.withColumn("deal", F.pmod(F.xxhash64("pk", "vec"), n_deals).cast("int"))
+                 .withColumn("part", F.explode(F.sequence(F.lit(0), n_parts.cast("int") - 1)))
+                 .select("cell", "part", "deal", F.lit(1).alias("probe"), "pk", one.cast(i_type).alias("ik"), "vec",
+                         one.cast("double").alias("bias")))
+        return (items.unionByName(asked).repartition("cell", "part", "deal")
+                .sortWithinPartitions("cell", "part", "deal", "probe")
+                .mapInArrow(partial(_score_blocks, metric=metric, k=k, kinds=kinds, chunk=chunk), schema))
+
+    ascending = metric == "l2"
+    top = topk_per_key(scored(p, False), "pk", "score", k, tie="ik", ascending=ascending)
+    if int((rows_of > 0).sum()) > 1:
+        top = cut(top)
+        cost = F.col("score") if ascending else -F.col("score")
+        theta = top.where(F.col("rank") == k).select("pk", cost.alias("theta"))
+        rest = scored(p.join(theta, "pk", "left").select("pk", "vec", "theta"), True)
+        top = topk_per_key(top.select("pk", "ik", "score").unionByName(rest), "pk", "score", k, tie="ik",
+                           ascending=ascending)
+    return top.select(F.col("pk").alias(probe_key), F.col("ik").alias(item_key), "score", "rank")
 
 
 def knn_l2(probes: DataFrame, pool: DataFrame, k: int = 300, **kw) -> DataFrame:
@@ -192,9 +341,16 @@ def knn_lsh_join(probes: DataFrame, pool: DataFrame, k: int, probe_key: str = "p
                  item_key: str = "item_id", vec: str = "vec", bucket_length: float = 0.5,
                  num_tables: int = 4, seed: int = 42) -> DataFrame:
     """Approximate k-NN for pools too big for D2, via Spark ML's
-    random-projection LSH similarity join (Euclidean distance)."""
+    random-projection LSH similarity join (Euclidean distance).  Rows whose vector is null or
+    holds a null are left out; an empty side gives no rows."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
+    whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
+    # written after the filter too: the conversion below must not meet a row that it drops
+    probes, pool = cut(cut(probes.select(probe_key, vec)).where(whole)), cut(cut(pool.select(item_key, vec)).where(whole))
+    if pool.isEmpty():  # nothing to fit the projections on
+        types = dict(probes.dtypes)[probe_key], dict(pool.dtypes)[item_key]
+        return probes.sparkSession.createDataFrame([], f"{probe_key} {types[0]}, {item_key} {types[1]}, score double, rank int")
     a = probes.select(F.col(probe_key).alias("pk"), array_to_vector(_d(F.col(vec))).alias("features"))
     b = pool.select(F.col(item_key).alias("ik"), array_to_vector(_d(F.col(vec))).alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import join_null_safe, quantiles, running_sums
+from .ranking import quantiles, running_sums
 
 
 def score_counts(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
@@ -86,8 +86,8 @@ def classification_report(df: DataFrame, label: str = "target", score: str = "sc
 def probability_distribution(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
     """Mean, median, population std of the score per class."""
     d = df.select(F.col(label).alias("target"), F.col(score).cast("double").alias("score"))
-    a = d.groupBy("target").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
-    return join_null_safe(a, quantiles(d, "score", {"median": 0.5}, ["target"]), ["target"], "left")
+    return quantiles(d, "score", {"median": 0.5}, ["target"],
+                     [F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")])
 
 
 def roc_curve(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:

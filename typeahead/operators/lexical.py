@@ -1,19 +1,21 @@
 """Lexical retrieval: char-n-gram Okapi BM25 (B1-B3) and hashed BM25.
 
-The index is a long-form posting table ``(gram, query, tf, dl, w)``; scoring
-a batch of prefixes is one equi-join on ``gram`` plus a ``groupBy(prefix,
-query).sum`` with map-side partial aggregation, followed by a per-prefix
-``WindowGroupLimit``.  No per-prefix loop and no full sort per prefix.
+The index is a long-form posting table ``(gram, query, tf, dl, w)`` over the pool's
+distinct queries.  Exhaustive scoring of a batch of prefixes is one equi-join on ``gram``
+plus a ``groupBy(prefix, query).sum`` with map-side partial aggregation; the top-k reads
+only postings whose weight can matter (``bm25_topk``).  No per-prefix loop and no full sort
+per prefix.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import add_char_ngrams, md5_int, word_tokens
+from ..session import cut
 from .topk import topk_per_key
 
 # Okapi BM25 defaults of the scorer the reference calls.
@@ -32,6 +34,8 @@ class BM25Index:
     idf: DataFrame           # gram, df, idf
     n_docs: int
     avgdl: float
+    k1: float = OKAPI_K1
+    b: float = OKAPI_B
 
 
 def bm25_postings(pool: DataFrame, text: str = "query", n: int = 3) -> DataFrame:
@@ -62,10 +66,10 @@ def bm25_index(pool: DataFrame, text: str = "query", n: int = 3,
     idf = df.select("gram", "df", F.when(F.col("idf_raw") < 0, F.lit(epsilon * mean_idf))
                     .otherwise(F.col("idf_raw")).alias("idf"))
     denom = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    post = post.withColumn("w", F.col("tf") * F.lit(k1 + 1) / denom)
+    post = cut(post.withColumn("w", F.col("tf") * F.lit(k1 + 1) / denom))
     # the largest doc weight per gram bounds what the gram can add to any score
     maxw = post.groupBy("gram").agg(F.max("w").alias("maxw"))
-    return BM25Index(post, reuse(idf.join(maxw, "gram")), n_docs, avgdl)
+    return BM25Index(post, reuse(idf.join(maxw, "gram")), n_docs, avgdl, k1, b)
 
 
 def bm25_corpus_stats(index: BM25Index) -> DataFrame:
@@ -91,50 +95,71 @@ def bm25_scores(index: BM25Index, prefixes: DataFrame, col: str = "prefix", n: i
             .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("w")), 6).alias("bm25_score")))
 
 
-def _exact_scores(index: BM25Index, pg: DataFrame, cands: DataFrame, col: str) -> DataFrame:
-    """Exact BM25 of given ``(prefix, query)`` pairs: each pair meets the
-    prefix's grams and looks up its own postings by ``(gram, query)``."""
-    j = (cands.join(pg.select(col, "gram", "qtf", "idf"), col)
-         .join(index.postings.select("gram", "query", "w"), ["gram", "query"]))
-    return (j.groupBy(col, F.col("query").alias("candidate"))
-            .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("w")), 6).alias("bm25_score")))
+def _scores_from_text(index: BM25Index, pairs: DataFrame, pg: DataFrame, col: str, n: int) -> DataFrame:
+    """Exact BM25 of given ``(prefix, query)`` pairs, from the query's own grams: term counts
+    and length follow from its text, so no posting is looked up.  ``pg`` rows of a prefix are
+    few (at most its grams)."""
+    asked = pg.groupBy(col).agg(F.collect_list(F.struct("gram", (F.col("qtf") * F.col("idf")).alias("v"))).alias("_asked"))
+    held = add_char_ngrams(pairs.join(asked, col), "query", "_grams", n)
+    long = F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.size("_grams") / F.lit(index.avgdl))
+    held = held.withColumn("_long", long)
+
+    def gain(acc, g):
+        tf = F.size(F.filter("_grams", lambda x: x == g["gram"]))
+        return acc + g["v"] * tf * F.lit(index.k1 + 1) / (tf + F.col("_long"))
+    return held.select(col, F.col("query").alias("candidate"),
+                       F.round(F.aggregate("_asked", F.lit(0.0), gain), 6).alias("bm25_score"))
 
 
 def bm25_topk(index: BM25Index, prefixes: DataFrame, k: int = 300,
               col: str = "prefix", n: int = 3, prune: bool = True) -> DataFrame:
     """Top ``k`` candidates per prefix by BM25, ties by candidate text.
 
-    With ``prune`` (exact, MaxScore-style) not every posting of every gram is
-    scored.  Each prefix gram g has an upper bound ``ub = qtf·idf·max_w(g)``
-    on what it adds to any query's score.  First the rarest grams, until
-    their postings hold k queries, give k exactly scored queries and so a
-    threshold θ (the k-th score) that the final k-th score cannot fall below.
-    Grams sorted by ``ub``: the longest low run whose bounds sum below
-    θ − 1e-6 is "non-essential"; a query holding only such grams scores
-    below θ (also after rounding), so only postings of the essential grams
-    are read.  Common grams have small IDF, so their long posting lists are
-    the ones skipped.  Windows here run over one prefix's grams (≤ its length).
-    """
-    from pyspark.sql import Window
+    With ``prune`` (exact) most postings are never read.  A gram's postings of equal weight
+    form a block, known by its weight; a gram's ``k`` first postings by weight are listed.
 
-    from ..session import reuse
+    * The answer of a prefix of one gram is that gram's list.
+    * For others the lists of their rarest grams, until these hold k queries, are scored and
+      give a threshold θ that the final k-th score cannot fall below.  A gram adds at most
+      ``ub = qtf·idf·max_w``.  Grams whose bounds, smallest first, sum below θ are not
+      essential: a query that holds only such grams stays below θ.  Of an essential gram only
+      the blocks are read whose own weight, with the bounds of the other grams, reaches θ.
+
+    Candidates are scored from their texts, so postings are shuffled twice: for the lists
+    (``k`` a gram after the map side) and for the blocks read.  A null or empty prefix has no
+    grams and no rows; repeated prefixes count once; queries that share no gram are not listed.
+    """
     if not prune:
         return topk_per_key(bm25_scores(index, prefixes, col, n), col, "bm25_score", k)
     pg = prefix_grams(prefixes, col, n).join(index.idf, "gram")
-    pg = reuse(pg.withColumn("ub", F.greatest(F.col("qtf") * F.col("idf") * F.col("maxw"), F.lit(0.0))))
-    post = index.postings.select("gram", "query")
+    own = Window.partitionBy(col)
+    pg = cut(pg.withColumn("ub", F.greatest(F.col("qtf") * F.col("idf") * F.col("maxw"), F.lit(0.0)))
+             .withColumn("_n", F.sum("qtf").over(own)).withColumn("_all", F.sum("ub").over(own)))
+    grams = cut(pg.select("gram", "idf").distinct())
+    post = index.postings.join(grams, "gram")
+    lists = cut(topk_per_key(post.select("gram", "query", F.round(F.col("idf") * F.col("w"), 6).alias("bm25_score")),
+                             "gram", "bm25_score", k, tie="query"))
+    alone = (pg.where("_n = 1").select(col, "gram").join(lists, "gram")
+             .select(col, F.col("query").alias("candidate"), "bm25_score"))
+
+    pg = pg.where("_n > 1")
     rare = Window.partitionBy(col).orderBy(F.col("df").asc(), F.col("gram").asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     seeds = pg.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("_before") < k)
-    seed_docs = seeds.select(col, "gram").join(post, "gram").select(col, "query").distinct()
-    first = topk_per_key(_exact_scores(index, pg, seed_docs, col), col, "bm25_score", k)
-    theta = first.where(F.col("rank") == k).select(col, F.col("bm25_score").alias("theta"))
+    seed_pairs = cut(seeds.select(col, "gram").join(lists, "gram").select(col, "query").distinct())
+    first = cut(topk_per_key(_scores_from_text(index, seed_pairs, pg, col, n), col, "bm25_score", k))
+    theta = first.where(F.col("rank") == k).select(col, (F.col("bm25_score") - 1e-6).alias("theta"))
     by_ub = Window.partitionBy(col).orderBy(F.col("ub").asc(), F.col("gram").asc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    g = pg.join(theta, col, "left").withColumn("_cum", F.sum("ub").over(by_ub))
-    essential = g.where(F.col("theta").isNull() | (F.col("_cum") >= F.col("theta") - 1e-6))
-    docs = essential.select(col, "gram").join(post, "gram").select(col, "query").distinct()
-    return topk_per_key(_exact_scores(index, pg, docs, col), col, "bm25_score", k)
+    g = pg.join(theta, col, "left").na.fill(float("-inf"), ["theta"]).withColumn("_cum", F.sum("ub").over(by_ub))
+    essential = g.where(F.col("_cum") >= F.col("theta"))
+    blocks = cut(post.groupBy("gram", "w").agg(F.count(F.lit(1)).alias("_size")))
+    reached = F.col("qtf") * F.col("idf") * F.col("w") + (F.col("_all") - F.col("ub")) >= F.col("theta")
+    read = essential.join(blocks, "gram").where(reached).select(col, "gram", "w")
+    pairs = cut(read.join(index.postings.select("gram", "w", "query"), ["gram", "w"]).select(col, "query").distinct())
+    rest = _scores_from_text(index, pairs.join(seed_pairs, [col, "query"], "left_anti"), pg, col, n)
+    scored = alone.unionByName(first.drop("rank")).unionByName(rest)
+    return topk_per_key(scored, col, "bm25_score", k)
 
 
 # ---------------------------------------------------------------- hashed BM25
@@ -147,21 +172,22 @@ class HashedBM25:
     avgdl: float
 
 
-def hashed_buckets(df: DataFrame, col: str, n_features: int = HASHED_FEATURES) -> DataFrame:
-    """Distinct ``(col, bucket)`` pairs: word tokens hashed into ``n_features``
-    buckets, binary (a bucket counts once per text)."""
-    toks = df.select(col, F.explode(word_tokens(col)).alias("tok"))
+def hashed_buckets(df: DataFrame, col: str, n_features: int = HASHED_FEATURES, tokens=word_tokens) -> DataFrame:
+    """Distinct ``(col, bucket)`` pairs: the words that ``tokens`` makes of a column, hashed
+    into ``n_features`` buckets, binary (a bucket counts once per text)."""
+    toks = df.select(col, F.explode(tokens(col)).alias("tok"))
     return toks.select(col, (md5_int("tok") % n_features).cast("int").alias("bucket")).distinct()
 
 
 def bm25_hashed_fit(pool: DataFrame, text: str = "query",
                     n_features: int = HASHED_FEATURES,
-                    k1: float = HASHED_K1, b: float = HASHED_B) -> HashedBM25:
+                    k1: float = HASHED_K1, b: float = HASHED_B, tokens=word_tokens) -> HashedBM25:
     """B4 + B5: N, mean distinct-bucket count, bucket df and doc weights
-    ``1 / (k1(1-b+b·dl/avgdl) + 1)`` (binary tf)."""
+    ``1 / (k1(1-b+b·dl/avgdl) + 1)`` (binary tf).  ``tokens`` maps a column to its words; the
+    same one must be given to ``bm25_hashed_query_weights``."""
     from ..session import reuse
     docs = pool.select(F.col(text).alias("query"))
-    buckets = reuse(hashed_buckets(docs, "query", n_features))
+    buckets = reuse(hashed_buckets(docs, "query", n_features, tokens))
     dl = reuse(buckets.groupBy("query").agg(F.count(F.lit(1)).alias("dl")))
     n_docs = int(docs.count())
     total = dl.agg(F.sum("dl")).first()[0] or 0
@@ -174,13 +200,12 @@ def bm25_hashed_fit(pool: DataFrame, text: str = "query",
 
 
 def bm25_hashed_query_weights(model: HashedBM25, prefixes: DataFrame, col: str = "prefix",
-                              n_features: int = HASHED_FEATURES) -> DataFrame:
+                              n_features: int = HASHED_FEATURES, tokens=word_tokens) -> DataFrame:
     """Per prefix bucket ``idf = ln((N+1)/(df+0.5))`` (df 0 when unseen),
     divided by the prefix's idf sum, and its L2-normalised form."""
-    qb = hashed_buckets(prefixes.select(col).distinct(), col, n_features)
+    qb = hashed_buckets(prefixes.select(col).distinct(), col, n_features, tokens)
     j = qb.join(model.bucket_df, "bucket", "left").na.fill(0, ["df"])
     j = j.withColumn("idf", F.log(F.lit(model.n_docs + 1.0) / (F.col("df") + 0.5)))
-    from pyspark.sql import Window
     w = Window.partitionBy(col)
     j = j.withColumn("q_weight", F.col("idf") / F.sum("idf").over(w))
     return j.withColumn("q_weight_l2", F.col("q_weight") / (F.sqrt(F.sum(F.col("q_weight") ** 2).over(w)) + 1e-10))

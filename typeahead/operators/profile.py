@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from .ranking import join_null_safe, quantiles
+from .ranking import quantiles
 
 
 def prefix_query_freq(train: DataFrame) -> DataFrame:
@@ -64,13 +64,10 @@ def unpivot(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
 def describe_long(long_df: DataFrame, group: list[str]) -> DataFrame:
     """G7 core over long form ``(group..., value)``: count, mean, sample std,
     min, quartiles (linear interpolation), max."""
-    v = long_df.where(F.col("value").isNotNull())
-    a = v.groupBy(*group).agg(
+    q = quantiles(long_df, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, group, [
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(v, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, group)
-    return join_null_safe(a, q, group).select(
-        *group, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        F.min("value").alias("min"), F.max("value").alias("max")])
+    return q.select(*group, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Running sums, quantiles and large top-n without a one-task sort.
 
-Rows are range-partitioned on the order columns and written to the checkpoint folder, so
+Quantiles come from a sketch that brackets each rank and a count inside the brackets.
+For the others rows are range-partitioned on the order columns and written to the checkpoint folder, so
 their range buckets stay the same however often they are read.  A count or sum per bucket
 (one row each) gives the offset of every bucket; inside a bucket a window does the rest.
 """
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, reuse
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -44,24 +45,45 @@ def running_sums(df: DataFrame, order_col: str, cols: list[str], descending: boo
     return out.drop("_b", *[f"_o_{c}" for c in cols])
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], group: list[str]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group and one column per
-    entry of ``probs``.  Equal values are counted first, so a hot value is one row."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    r = running_sums(c, value, ["n"], group=group)
-    size = r.groupBy(*group).agg(F.sum("n").alias("_size"))
-    r = join_null_safe(r, size, group)
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-
-    def at(i):
-        return F.max(F.when((first <= i) & (i <= last), F.col(value)))
-    low = {k: F.floor((F.col("_size") - 1) * p) for k, p in probs.items()}
-    high = {k: F.ceil((F.col("_size") - 1) * p) for k, p in probs.items()}
-    a = r.groupBy(*group).agg(F.max("_size").alias("_size"), *[at(low[k]).alias(f"_l_{k}") for k in probs],
-                              *[at(high[k]).alias(f"_h_{k}") for k in probs])
-    return a.select(*group, *[
-        (F.col(f"_l_{k}") + ((F.col("_size") - 1) * p - low[k]) * (F.col(f"_h_{k}") - F.col(f"_l_{k}"))).alias(k)
-        for k, p in probs.items()])
+ACCURACY = 10_000  # the sketch finds a rank to within 1 / ACCURACY of all rows
+
+
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], group: list[str],
+              extra: list[Column] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per group, a column per entry of
+    ``probs`` and the aggregates ``extra`` over the same rows.
+
+    Two passes, no sort of the column.  The first takes a sketch per group, which brackets
+    every wanted rank between two values.  The second counts the rows below a bracket and the
+    rows of each value inside it (equal values are one row), and only those few are ranked.
+    Null values are left out; a group of nulls alone gives no row; null groups are a group.
+    """
+    v = reuse(df.where(F.col(value).isNotNull()))
+    # beyond the sketch's error, and a rank for the interpolation's neighbour
+    slack = 3.0 / ACCURACY
+    ends = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    first = v.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"), F.percentile_approx(value, ends, ACCURACY).alias("_ends"),
+                                  F.array(F.min(value), F.max(value)).alias("_range"), *(extra or []))
+    # in a group with fewer rows than the sketch tells apart, all values are inside
+    first = cut(first.withColumn("_ends", F.when(F.col("_size") > ACCURACY, F.col("_ends")).otherwise(
+        F.flatten(F.array_repeat("_range", len(probs))))).drop("_range"))
+    near = join_null_safe(v.select(*group, F.col(value).alias("_v")), first.select(*group, "_ends"), group)
+    near = near.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1))))
+    lo, hi = F.element_at("_ends", 2 * F.col("_i") + 1), F.element_at("_ends", 2 * F.col("_i") + 2)
+    inside = (near.where(F.col("_v") <= hi).withColumn("_v", F.when(F.col("_v") >= lo, F.col("_v")))
+              .groupBy(*group, "_i", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    upto = Window.partitionBy(*group, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    r = join_null_safe(inside.withColumn("_last", F.sum("_n").over(upto) - 1), first.select(*group, "_size"), group)
+
+    picks, out = [], []
+    for i, (k, p) in enumerate(probs.items()):
+        at = (F.col("_size") - 1) * p
+        for side, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
+            hit = (F.col("_i") == i) & (F.col("_last") - F.col("_n") < rank) & (rank <= F.col("_last"))
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}_{k}"))
+        out.append((F.col(f"_l_{k}") + (at - F.floor(at)) * (F.col(f"_h_{k}") - F.col(f"_l_{k}"))).alias(k))
+    r = join_null_safe(first.drop("_ends"), r.groupBy(*group).agg(*picks), group)
+    return r.select(*[c for c in first.columns if c not in ("_size", "_ends")], *out)
 
 
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -61,7 +61,7 @@ SELECT * FROM r WHERE rank <= {N_DENSE}"""
 def _knn(spark, d):
     e = _emb_table(spark, d)
     return D.knn_l2(e.withColumnRenamed("vec_id", "probe_id"), e.withColumnRenamed("vec_id", "item_id"), N_DENSE,
-                    probe_key="probe_id", item_key="item_id", probe_block=256, pool_block=1024)
+                    probe_key="probe_id", item_key="item_id")
 
 
 @register("knn_l2", _KNN_SQL)

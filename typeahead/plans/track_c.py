@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -39,18 +40,17 @@ GBT_PARAMS = dict(maxIter=500, stepSize=0.05, maxDepth=5, minInstancesPerNode=20
 class Retrieval:
     index: L.BM25Index
     pool_emb: DataFrame        # candidate, cvec
+    encode: Callable           # (df, column, out) -> df with a vector column
 
 
-def build_retrieval(pool: DataFrame) -> Retrieval:
+def build_retrieval(pool: DataFrame, encode=D.embed_text) -> Retrieval:
     idx = L.bm25_index(pool, "query", 3)
-    idx.postings = reuse(idx.postings)
-    emb = reuse(D.embed_text(pool.select("query"), "query", "cvec")
-                .select(F.col("query").alias("candidate"), "cvec"))
-    return Retrieval(idx, emb)
+    emb = cut(encode(pool.select("query"), "query", "cvec").select(F.col("query").alias("candidate"), "cvec"))
+    return Retrieval(idx, emb, encode)
 
 
-def prefix_embeddings(prefixes: DataFrame) -> DataFrame:
-    return reuse(D.embed_text(prefixes.select("prefix").distinct(), "prefix", "pvec"))
+def prefix_embeddings(prefixes: DataFrame, encode=D.embed_text) -> DataFrame:
+    return cut(encode(prefixes.select("prefix").distinct(), "prefix", "pvec"))
 
 
 def candidates(r: Retrieval, prefixes: DataFrame, pemb: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def candidates(r: Retrieval, prefixes: DataFrame, pemb: DataFrame) -> DataFrame:
     return candidate_union(bm, dn)
 
 
-def reranking_dataset(train: DataFrame, pool: DataFrame, features: DataFrame, seed: int = 42) -> DataFrame:
+def reranking_dataset(train: DataFrame, pool: DataFrame, features: DataFrame, seed: int = 42,
+                      encode=D.embed_text) -> DataFrame:
     """M6: labelled feature rows: 1 for the true query, 5-10 sampled negatives.
 
     Every training row draws its own negatives.  Equal labelled rows come out once, with
@@ -71,8 +72,8 @@ def reranking_dataset(train: DataFrame, pool: DataFrame, features: DataFrame, se
     rows = train.dropna(subset=["prefix", "query"])
     occ = reuse(FT.occurrences(rows, ["prefix", "query"]))
     pairs = reuse(occ.groupBy("prefix", "query").agg(F.count(F.lit(1)).alias("weight")))
-    r = build_retrieval(pool)
-    pemb = prefix_embeddings(pairs)
+    r = build_retrieval(pool, encode)
+    pemb = prefix_embeddings(pairs, encode)
     cands = cut(candidates(r, pairs.select("prefix").distinct(), pemb))
     sampled = reuse(FT.sample_negatives(occ, cands, seed))
     neg = (sampled.groupBy("prefix", "candidate").agg(F.count(F.lit(1)).alias("weight"))
@@ -120,12 +121,12 @@ def score(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def rerank_topk(model: PipelineModel, test: DataFrame, pool: DataFrame, features: DataFrame,
-                names: list[str] | None = None, k: int = TOP_K) -> DataFrame:
+                names: list[str] | None = None, k: int = TOP_K, encode=D.embed_text) -> DataFrame:
     """``(prefix, retrieved_queries)`` for every test row."""
     names = names or FT.FEATURE_COLUMNS
     prefixes = test.select("prefix").where(F.col("prefix").isNotNull() & (F.col("prefix") != "")).distinct()
-    r = build_retrieval(pool)
-    pemb = prefix_embeddings(prefixes)
+    r = build_retrieval(pool, encode)
+    pemb = prefix_embeddings(prefixes, encode)
     rows = FT.pair_features(candidates(r, prefixes, pemb), pemb, r.pool_emb, features)
     s = score(model, rows, names)
     top = topk_per_key(s, "prefix", "relevance_score", k)
@@ -134,12 +135,12 @@ def rerank_topk(model: PipelineModel, test: DataFrame, pool: DataFrame, features
 
 
 def explain_prefix(model: PipelineModel, prefixes: DataFrame, pool: DataFrame, features: DataFrame,
-                   names: list[str] | None = None, k: int = 10) -> DataFrame:
+                   names: list[str] | None = None, k: int = 10, encode=D.embed_text) -> DataFrame:
     """The top ``k`` re-ranked candidates of the given prefixes with
     their component scores and features."""
     names = names or FT.FEATURE_COLUMNS
-    r = build_retrieval(pool)
-    pemb = prefix_embeddings(prefixes)
+    r = build_retrieval(pool, encode)
+    pemb = prefix_embeddings(prefixes, encode)
     rows = FT.pair_features(candidates(r, prefixes.select("prefix"), pemb), pemb, r.pool_emb, features)
     return topk_per_key(score(model, rows, names), "prefix", "relevance_score", k)
 
