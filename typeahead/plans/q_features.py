@@ -10,7 +10,7 @@ from ..operators import candidates as C
 from ..operators import features as FT
 from ..operators import topk as W
 from ..sources import fixtures as fx
-from ..session import reuse
+from ..session import cut, reuse, shared
 from . import track_c as TC
 from .q_dense import _sql_dot, _sql_sq_l2, emb_sql
 from .q_eval import split_sql
@@ -221,10 +221,14 @@ def _sample_negatives(spark, d):
 
 
 def _model(spark, d):
+    """The inputs, the written training rows and the model fitted on them, once per session
+    and input."""
     ins = fx.inputs(spark, d)
-    ds = reuse(TC.reranking_dataset(ins["train"], ins["pool"], ins["features"]))
-    prep = reuse(TC.prepare_features(ds))
-    return ins, prep, TC.train_reranker(prep)
+
+    def fit():
+        prep = cut(TC.prepare_features(TC.reranking_dataset(ins["train"], ins["pool"], ins["features"])))
+        return prep, TC.train_reranker(prep)
+    return ins, *shared(spark, "reranker", [f"{d}/{t}.parquet" for t in ("part", "lineitem")], fit)
 
 
 @register("train_reranker")

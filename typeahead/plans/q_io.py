@@ -12,38 +12,28 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators.candidates import guard_empty_prefix
-from ..operators.profile import prefix_query_freq
-from ..operators.topk import collect_ranked_list, topk_per_key
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks as SK
 from ..sources.tables import load_inputs, table_profile
 from . import sqlfrag as S
+from . import track_a as TA
+from .q_prefix import _TA, _cascade
 from .registry import register
 
-K = 150
-
 
 def _scratch(spark, name):
     return scratch_path(spark, f"io/{name}-{uuid.uuid4().hex[:12]}")
 
 
 def _submission(spark, d):
-    """History-strategy submission: top 150 past queries per test prefix."""
-    hist = prefix_query_freq(fx.fx_train(spark, d)).withColumnRenamed("query_clean", "candidate")
-    lists = collect_ranked_list(topk_per_key(hist, "prefix_clean", "freq", K), "prefix_clean")
-    return guard_empty_prefix(fx.fx_test(spark, d), lists)
-
-
-_SUB_SQL = fx.with_fx("fx_train", "fx_test") + f"""
-, hist AS (SELECT {S.norm('prefix')} AS prefix_clean, {S.norm('query')} AS query_clean, count(*) AS freq
-           FROM fx_train GROUP BY 1, 2),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix_clean ORDER BY freq DESC, query_clean) AS r
-        FROM hist) WHERE r <= {K}),
-lists AS (SELECT prefix_clean, list(query_clean ORDER BY r) AS l FROM top GROUP BY 1),
-sub AS (SELECT coalesce(t.prefix, '') AS prefix,
-               CASE WHEN coalesce(t.prefix, '') = '' THEN []::VARCHAR[] ELSE coalesce(l, []::VARCHAR[]) END AS l
+    """The cascade's lists: top 150 queries for every test row."""
+    return TA.submission(fx.fx_test(spark, d), _cascade(spark, d)[1])
+
+
+_SUB_SQL = _TA + f"""
+, lists AS (SELECT prefix_clean, list(query_clean ORDER BY rank) AS l FROM ranked GROUP BY 1),
+sub AS (SELECT coalesce(t.prefix, '') AS prefix, coalesce(l, []::VARCHAR[]) AS l
         FROM fx_test t LEFT JOIN lists ON lists.prefix_clean = {S.norm('t.prefix')})
 """
 

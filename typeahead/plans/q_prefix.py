@@ -9,6 +9,7 @@ from ..operators import candidates as C
 from ..operators import fuzzy as FZ
 from ..operators import prefix as R
 from ..operators import topk as W
+from ..session import cut, shared
 from ..sources import fixtures as fx
 from . import sqlfrag as S
 from . import track_a as TA
@@ -130,6 +131,15 @@ def _a(spark, d):
     return i, TA.build(i["train"], i["pool"], i["features"], i["test"])
 
 
+def _cascade(spark, d):
+    """The cascade's candidates and ranked lists, run once per session and input."""
+    def run():
+        i, a = _a(spark, d)
+        c = cut(TA.cascade_candidates(a, _tp(i["test"]), K))
+        return c, cut(TA.rank_candidates(a, c, K))
+    return shared(spark, "cascade", [f"{d}/{t}.parquet" for t in ("part", "lineitem")], run)
+
+
 def _tp(test):
     return (test.select(normalize_text("prefix").alias("prefix_clean"))
             .distinct())
@@ -170,31 +180,41 @@ def q_fuzzy_partial_ratio(spark, d):
     return FZ.fuzzy_partial_ratio(_tp(i["test"]), a.popular, limit=K)
 
 
-@register("fuzzy_popular_subset", _TA + "SELECT query_clean, popularity_score FROM popular")
+POPULAR_ROWS = 500  # below the pool's size, so that the limit decides
+
+
+@register("fuzzy_popular_subset", _TA + f"""SELECT query_clean, max(popularity_score) AS popularity_score FROM
+  (SELECT * FROM scored ORDER BY popularity_score DESC, query_clean, query LIMIT {POPULAR_ROWS}) GROUP BY 1""")
 def q_fuzzy_popular_subset(spark, d):
-    return _a(spark, d)[1].popular
+    return FZ.fuzzy_popular_subset(_a(spark, d)[1].scored, POPULAR_ROWS)
 
 
 @register("popularity_fallback", _TA + "SELECT prefix_clean, query_clean, round(score, 6) AS score FROM s4")
 def q_popularity_fallback(spark, d):
-    i, a = _a(spark, d)
-    c = TA.cascade_candidates(a, _tp(i["test"]), K)
-    return (c.where("stage = 4").select("prefix_clean", "query_clean", "score"))
+    return _cascade(spark, d)[0].where("stage = 4").select("prefix_clean", "query_clean", "score")
 
 
 @register("topk_per_prefix", _TA + "SELECT prefix_clean, query_clean, score, stage, rank FROM top")
 def q_topk_per_prefix(spark, d):
-    i, a = _a(spark, d)
-    c = TA.cascade_candidates(a, _tp(i["test"]), K).withColumnRenamed("query_clean", "candidate")
+    c = _cascade(spark, d)[0].withColumnRenamed("query_clean", "candidate")
     return (W.topk_per_key(c, "prefix_clean", "score", K)
             .select("prefix_clean", F.col("candidate").alias("query_clean"), "score", "stage", "rank"))
 
 
-@register("backfill_random", _TA + "SELECT prefix_clean, query_clean, rank FROM bf")
+@register("backfill_random", _TA + f"""
+, hl AS (SELECT * FROM (SELECT hist.prefix_clean, hist.query_clean, CAST(row_number() OVER (PARTITION BY hist.prefix_clean
+         ORDER BY hist.freq DESC, hist.query_clean) AS INT) AS rank FROM hist JOIN tp USING (prefix_clean)) WHERE rank <= {K}),
+hc AS (SELECT prefix_clean, count(*) AS n FROM hl GROUP BY 1 HAVING count(*) < {K}),
+hb AS (SELECT hc.prefix_clean, hc.n, fill.fr, fill.query_clean FROM hc, fill
+       WHERE NOT EXISTS (SELECT 1 FROM hl WHERE hl.prefix_clean = hc.prefix_clean AND hl.query_clean = fill.query_clean))
+SELECT prefix_clean, query_clean, CAST(n + i AS INT) AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY prefix_clean ORDER BY fr) AS i FROM hb) WHERE i <= {K} - n""")
 def q_backfill_random(spark, d):
+    """The fill of the test prefixes' history lists, which are mostly short."""
     i, a = _a(spark, d)
-    ranked = TA.cascade_ranked(a, _tp(i["test"]), K)
-    return ranked.where("stage = 5").select("prefix_clean", "query_clean", "rank")
+    hist = a.history.join(_tp(i["test"]), "prefix_clean").withColumnRenamed("query_clean", "candidate")
+    lists = W.topk_per_key(hist, "prefix_clean", "freq", K).withColumnRenamed("candidate", "query_clean")
+    return R.backfill_random(lists, a.scored, K)
 
 
 @register("cascade_topk", _TA + f"""SELECT t.prefix, r.rank, r.query_clean AS query
@@ -217,8 +237,7 @@ def q_cascade_topk_partial_ratio(spark, d):
 @register("collect_ranked_list", _TA + """SELECT prefix_clean, CAST(count(*) AS INT) AS n_items,
   string_agg(query_clean, '|' ORDER BY rank) AS items FROM ranked GROUP BY prefix_clean""")
 def q_collect_ranked_list(spark, d):
-    i, a = _a(spark, d)
-    ranked = TA.cascade_ranked(a, _tp(i["test"]), K).withColumnRenamed("query_clean", "candidate")
+    ranked = _cascade(spark, d)[1].withColumnRenamed("query_clean", "candidate")
     lists = W.collect_ranked_list(ranked, "prefix_clean")
     return lists.select("prefix_clean", F.size("retrieved_queries").alias("n_items"),
                         F.array_join("retrieved_queries", "|").alias("items"))
@@ -227,8 +246,7 @@ def q_collect_ranked_list(spark, d):
 @register("strategy_contribution", _TA + """SELECT stage, CAST(count(*) AS BIGINT) AS n_rows,
   CAST(count(DISTINCT prefix_clean) AS BIGINT) AS n_prefixes FROM ranked GROUP BY stage""")
 def q_strategy_contribution(spark, d):
-    i, a = _a(spark, d)
-    ranked = TA.cascade_ranked(a, _tp(i["test"]), K)
+    ranked = _cascade(spark, d)[1]
     return ranked.groupBy("stage").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.countDistinct("prefix_clean").alias("n_prefixes"))
 
@@ -241,10 +259,9 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST((SELECT count(*) FROM fx_test) A
        CAST((SELECT count(*) FROM (SELECT DISTINCT prefix FROM fx_test) e
              WHERE e.prefix NOT IN (SELECT prefix FROM sub)) AS BIGINT) AS n_missing FROM sub""")
 def q_submission_validation(spark, d):
-    i = _inputs(spark, d)
-    sub = TA.cascade_topk(i["train"], i["test"], i["pool"], i["features"], K)
     from ..operators.evaluate import submission_validation
-    return submission_validation(sub, i["test"], K)
+    test = fx.fx_test(spark, d)
+    return submission_validation(cut(TA.submission(test, _cascade(spark, d)[1])), test, K)
 
 
 # ----------------------------------------------------------- lookups & coverage
@@ -298,19 +315,19 @@ def q_cap_postings(spark, d):
     return W.cap_postings(a.history, "prefix_clean", K, [F.col("freq").desc(), F.col("query_clean").asc()])
 
 
-# Sizes of the reduced pool.
-REDUCE_TOP, REDUCE_RANDOM = 560_000, 140_000
+# a thousandth of the usual sizes, below the test pool's size, so that both limits decide
+REDUCE_TOP, REDUCE_RANDOM = 560, 140
 
 
 @register("reduce_pool", _TA + f"""SELECT DISTINCT * FROM (
- (SELECT query_clean, popularity_score, round(popularity_norm, 6) AS popularity_norm FROM scored
+ (SELECT query_clean, popularity_score, round(popularity_norm, 6) AS popularity_norm FROM pop
   ORDER BY popularity_score DESC, query_clean LIMIT {REDUCE_TOP})
  UNION ALL
- (SELECT query_clean, popularity_score, round(popularity_norm, 6) FROM scored
+ (SELECT query_clean, popularity_score, round(popularity_norm, 6) FROM pop
   ORDER BY md5('42|' || query_clean), query_clean LIMIT {REDUCE_RANDOM}))""")
 def q_reduce_pool(spark, d):
     _, a = _a(spark, d)
-    s = a.scored.select("query_clean", "popularity_score", F.round("popularity_norm", 6).alias("popularity_norm"))
+    s = a.popularity.select("query_clean", "popularity_score", F.round("popularity_norm", 6).alias("popularity_norm"))
     return W.reduce_pool(s, "popularity_score", REDUCE_TOP, REDUCE_RANDOM, 42, "query_clean")
 
 

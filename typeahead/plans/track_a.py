@@ -92,23 +92,32 @@ def cascade_candidates(a: TrackA, prefixes: DataFrame, k: int = TOP_K,
     return c3.unionByName(s4).withColumn("score", F.round("score", 6))
 
 
-def cascade_ranked(a: TrackA, prefixes: DataFrame, k: int = TOP_K, fuzzy: str = "levenshtein") -> DataFrame:
+def rank_candidates(a: TrackA, candidates: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top ``k`` ranked rows per normalised prefix, back-filled to ``k`` (H4)."""
-    c = cascade_candidates(a, prefixes, k, fuzzy).withColumnRenamed("query_clean", "candidate")
+    c = candidates.withColumnRenamed("query_clean", "candidate")
     top = topk_per_key(c, "prefix_clean", "score", k).select(
         "prefix_clean", F.col("candidate").alias("query_clean"), "rank", "stage")
     fill = R.backfill_random(top, a.scored, k).withColumn("stage", F.lit(5))
     return top.unionByName(fill)
 
 
+def cascade_ranked(a: TrackA, prefixes: DataFrame, k: int = TOP_K, fuzzy: str = "levenshtein") -> DataFrame:
+    return rank_candidates(a, cascade_candidates(a, prefixes, k, fuzzy), k)
+
+
+def submission(test: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``(prefix, retrieved_queries)`` for every test row, from the ranked lists: its raw
+    prefix (null as '') and its list (empty where there is none)."""
+    t = test.select("prefix", normalize_text("prefix").alias("prefix_clean"))
+    lists = collect_ranked_list(ranked.withColumnRenamed("query_clean", "candidate"), "prefix_clean")
+    return t.join(lists, "prefix_clean", "left").select(
+        F.coalesce("prefix", F.lit("")).alias("prefix"),
+        F.coalesce("retrieved_queries", F.array().cast("array<string>")).alias("retrieved_queries"))
+
+
 def cascade_topk(train: DataFrame, test: DataFrame, pool: DataFrame, features: DataFrame,
                  k: int = TOP_K, fuzzy: str = "levenshtein") -> DataFrame:
     """``(prefix, retrieved_queries)`` for every test row."""
     a = build(train, pool, features, test, k)
-    t = test.select("prefix", normalize_text("prefix").alias("prefix_clean"))
-    ranked = cascade_ranked(a, t, k, fuzzy).withColumnRenamed("query_clean", "candidate")
-    lists = collect_ranked_list(ranked, "prefix_clean")
-    # every test row comes out with its raw prefix (null as '') and its list
-    out = t.join(lists, "prefix_clean", "left")
-    return out.select(F.coalesce("prefix", F.lit("")).alias("prefix"),
-                      F.coalesce("retrieved_queries", F.array().cast("array<string>")).alias("retrieved_queries"))
+    prefixes = test.select(normalize_text("prefix").alias("prefix_clean"))
+    return submission(test, cascade_ranked(a, prefixes, k, fuzzy))

@@ -106,3 +106,23 @@ def cut(df):
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHARED: dict = {}
+
+
+def _state(spark, path: str) -> tuple:
+    """Names, sizes and change times of the files of an input table."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def shared(spark, name: str, inputs: list[str], build):
+    """What ``build`` returns, made once per application, name and state of the input files.
+
+    For written stage tables (see ``cut``) that several queries read."""
+    key = (spark.sparkContext.applicationId, name, tuple(_state(spark, p) for p in inputs))
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
