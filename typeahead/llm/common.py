@@ -60,10 +60,19 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named in ``kept`` (id, key), each once, columns unchanged."""
-    kept = kept.select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
-    rows = docs.withColumn("__key", text_key(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("__key") == F.col("kept_key"))
+    key, kept_id, kept_key = (unused(docs, c) for c in ("row_key", "kept_id", "kept_key"))
+    kept = kept.select(F.col("id").alias(kept_id), F.col("key").alias(kept_key)).distinct()
+    rows = docs.withColumn(key, text_key(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
     # a merge join at every size: the rows kept grow with the table
-    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
+    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates([id_col, key]).drop(key)

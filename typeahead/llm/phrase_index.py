@@ -1,8 +1,9 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 The index stores a posting (document, position, term) for every training word that occurs
-in any benchmark item, in term order within each segment, and an end-of-document posting
-whose position is the document's word count.  An item is matched window by window:
+in any benchmark item, and an end-of-document posting whose position is the document's word
+count.  A segment keeps the order in which words are met, so its document columns compress
+to runs and nothing is sorted; terms are numbers, and joins with a list of terms find theirs.  An item is matched window by window:
 
 1. the window's rarest term (by training count) proposes alignments, position minus offset;
 2. the postings of the second rarest term, adjusted by their offset, are intersected;
@@ -14,8 +15,9 @@ expanded.  An item with fewer words than a window is one window.
 
 Null or empty text has no words (documents: zero counts; items: no window).  Rows that
 repeat an item id add up under that id, a null item id counts as an empty one; rows that
-repeat a document each get the same result.  Empty tables give empty or all-zero results;
-other columns are ignored.
+repeat a document each get the same result.  Ids of documents are whole numbers or null; a
+document is told apart by its id and 64 bits of its text's hash.  Empty tables give empty or
+all-zero results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import lower_ascii, stage, table
+from .common import lower_ascii, stage, table, unused
 from .queries import register
 
 # The bytes between words once A-Z is lower-cased.
@@ -34,7 +36,10 @@ ALIGNED = [*DOC, "k", "delta"]
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), "")
+    text = F.coalesce(text, F.lit(""))
+    # in a text of one-byte characters the library's lower-casing meets A-Z alone, and is faster
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(lower_ascii(text))
+    return F.array_remove(F.split(low, BETWEEN_WORDS), "")
 
 
 class PhraseIndex(NamedTuple):
@@ -57,11 +62,10 @@ def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     text = F.col(text_col)
     tokens = docs.select(F.col(id_col).alias("doc_id"),
                          F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"),
-                         F.hash(text).alias("h"),
+                         F.xxhash64(text).alias("h"),
                          F.posexplode(F.concat(words(text), F.array(F.lit("")))).alias("pos", "term"))
     # vocab was written, so Spark knows its size: broadcast below the threshold, else shuffled
-    stored = stage(tokens.join(vocab, "term").drop("term").sortWithinPartitions("tid", *DOC, "pos"),
-                   "postings")
+    stored = stage(tokens.join(vocab, "term").drop("term"), "postings")
     end_id = vocab.filter("term = ''").first()["tid"]
     postings = stored.filter(F.col("tid") != end_id)
     ends = stored.filter(F.col("tid") == end_id).select("doc_id", *DOC, F.col("pos").cast("long").alias("n_words"))
@@ -152,9 +156,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_co
                       text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a window of any item, columns unchanged."""
     bad = stage(contamination(docs, items, window, id_col, text_col).filter("contaminated")
-                .select(F.col(id_col).alias("bad_id"), F.col("h").alias("bad_h")).distinct(), "contaminated")
-    same = F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.hash(F.col(text_col)) == F.col("bad_h"))
-    return docs.join(bad.hint("merge"), same, "left_anti")
+                .select(F.col(id_col).alias("id"), "h").distinct(), "contaminated")
+    id_, h = unused(docs, "bad_id"), unused(docs, "bad_h")
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(h))
+    return docs.join(bad.toDF(id_, h).hint("merge"), same, "left_anti")
 
 
 @register("op7_phrase_index", r"""
