@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -68,6 +69,37 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+MAX_FILTER_BITS = 1 << 26  # 8 MB, the bound of what a key filter broadcasts
+
+
+class KeyFilter(NamedTuple):
+    """A bitmap of hashed keys: tells in a scan which rows cannot have one of the keys."""
+    bitmaps: DataFrame  # bucket, bitmap (of 32,768 bits)
+    bits: int
+
+    def mark(self, df: DataFrame, key: Column, out: str) -> DataFrame:
+        """``df`` and a boolean ``out``: false where the row has none of the keys for sure.
+        The bitmaps are broadcast, so the rows, with their texts, stay where they are."""
+        bucket, bitmap = unused(df, "filter_bucket"), unused(df, "filter_bitmap")
+        at = F.pmod(key, F.lit(self.bits).cast("long"))
+        bit = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(at.bitwiseAND(F.lit(32767).cast("long")), 3).cast("int") + 1,
+                                       F.lit(1))), 16, 10).cast("int")
+        bit = bit.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
+        marked = df.withColumn(bucket, F.shiftright(at, 15)).join(
+            F.broadcast(self.bitmaps.toDF(bucket, bitmap)), bucket, "left")
+        return marked.withColumn(out, F.coalesce(bit, F.lit(False))).drop(bucket, bitmap)
+
+
+def key_filter(keys: DataFrame, key: Column, label: str) -> KeyFilter:
+    """16 bits a key, up to MAX_FILTER_BITS; beyond that more rows pass, and none is lost."""
+    keys = keys.select(key.alias("k"))
+    bits = min(MAX_FILTER_BITS, max(1 << 15, 1 << (16 * max(1, keys.count())).bit_length()))
+    at = F.pmod(F.col("k"), F.lit(bits).cast("long"))
+    bitmaps = stage(keys.groupBy(F.shiftright(at, 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767).cast("long"))).alias("bitmap")), label)
+    return KeyFilter(bitmaps, bits)
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named in ``kept`` (id, key), each once, columns unchanged."""
     key, kept_id, kept_key = (unused(docs, c) for c in ("row_key", "kept_id", "kept_key"))
