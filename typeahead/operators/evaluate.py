@@ -27,6 +27,28 @@ def roc_auc(df: DataFrame, label: str = "target", score: str = "score") -> DataF
                   / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"))
 
 
+def metrics_by(df: DataFrame, group: str, label: str = "target", score: str = "score",
+               threshold: float = 0.5, weight: str | None = None) -> DataFrame:
+    """M9 and M10 per group (train and validation): number of rows and positives, exact AUC
+    with ties counted one half, accuracy, precision, recall and F1 at a threshold; rows count
+    ``weight`` times.  0 on zero division; the AUC is null where a class is missing."""
+    w = F.col(weight) if weight else F.lit(1)
+    c = df.groupBy(group, F.col(score).alias("score")).agg(
+        F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("n_pos"),
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).alias("n_neg"))
+    c = running_sums(c, "score", ["n_neg"], group=[group])
+    below = F.col("cum_n_neg") - F.col("n_neg")
+    said = F.col("score") >= threshold
+    c = c.groupBy(group).agg(
+        F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"), F.sum(F.col("n_pos") * (below + 0.5 * F.col("n_neg"))).alias("won"),
+        F.sum(F.when(said, F.col("n_pos")).otherwise(0)).alias("tp"), F.sum(F.when(said, F.col("n_neg")).otherwise(0)).alias("fp"))
+    c = c.withColumn("precision", _div(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", _div(F.col("tp"), F.col("P")))
+    return c.select(group, (F.col("P") + F.col("N")).alias("n_rows"), F.col("P").alias("n_pos"),
+                    F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("won") / (F.col("P") * F.col("N"))).alias("auc"),
+                    _div(F.col("tp") + F.col("N") - F.col("fp"), F.col("P") + F.col("N")).alias("accuracy"), "precision", "recall",
+                    _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"))
+
+
 def with_prediction(df: DataFrame, score: str = "score", threshold: float = 0.5) -> DataFrame:
     return df.withColumn("prediction", (F.col(score) >= threshold).cast("int"))
 

@@ -159,7 +159,7 @@ def q_hybrid_weights(spark, d):
 _POP_SQL = ", ".join(f"CASE WHEN m_{c} > 0 THEN {c} / m_{c} ELSE 0e0 END AS {c}_n" for c in P.FEATURES)
 
 
-@register("hybrid_topk", fx.with_fx("fx_test", "fx_pool", "fx_query_features")[:-1] + _HASHED_CTE + _PQ_SQL + f"""
+_HYBRID_SQL = (fx.with_fx("fx_test", "fx_pool", "fx_query_features")[:-1] + _HASHED_CTE + _PQ_SQL + f"""
 , e AS (SELECT p.query, coalesce(f.orders, 0) AS orders, coalesce(f.volume, 0) AS volume,
            coalesce(f.catalog_clicks, 0) AS catalog_clicks, coalesce(f.catalog_views, 0) AS catalog_views
         FROM fx_pool p LEFT JOIN fx_query_features f ON p.query = f.query),
@@ -174,7 +174,22 @@ sc AS (SELECT allp.prefix, allp.query AS candidate,
        FROM allp JOIN pp USING (query) LEFT JOIN sp ON sp.prefix = allp.prefix AND sp.query = allp.query)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY prefix ORDER BY hybrid_score DESC, candidate) AS INT)
   AS rank FROM sc) WHERE rank <= {HYBRID_K}""")
+
+
+@register("hybrid_topk", _HYBRID_SQL)
 def q_hybrid_topk(spark, d):
     from .track_b import hybrid_topk
     ins = fx.inputs(spark, d)
     return hybrid_topk(ins["test"], ins["pool"], ins["features"], HYBRID_K, HYBRID_ALPHA, HYBRID_POP_WEIGHT)
+
+
+@register("hybrid_submission", fx.with_fx("fx_test").rstrip() + f""", top AS ({_HYBRID_SQL}),
+lists AS (SELECT prefix, list(candidate ORDER BY rank) AS l FROM top GROUP BY prefix)
+SELECT coalesce(t.prefix, '') AS prefix, CAST(len(coalesce(l, [])) AS INT) AS n_items,
+       coalesce(array_to_string(l, '|'), '') AS items FROM fx_test t LEFT JOIN lists USING (prefix)""")
+def q_hybrid_submission(spark, d):
+    """D9's lists for every test row."""
+    from .track_b import hybrid_lists
+    lists = hybrid_lists(q_hybrid_topk(spark, d), fx.fx_test(spark, d))
+    return lists.select("prefix", F.size("retrieved_queries").alias("n_items"),
+                        F.array_join("retrieved_queries", "|").alias("items"))

@@ -139,12 +139,11 @@ lb AS MATERIALIZED (SELECT * FROM (SELECT prefix, candidate, CAST(row_number() O
 """
 
 
-@register("compare_methods", _LISTS_SQL + """SELECT coalesce(la.prefix, lb.prefix) AS prefix, coalesce(la.rank, lb.rank) AS rank,
-  la.candidate AS candidate_a, lb.candidate AS candidate_b,
-  CASE WHEN x.prefix IS NULL THEN 0 ELSE 1 END AS a_in_b, CASE WHEN y.prefix IS NULL THEN 0 ELSE 1 END AS b_in_a
-FROM la FULL OUTER JOIN lb ON la.prefix = lb.prefix AND la.rank = lb.rank
-LEFT JOIN lb x ON x.prefix = la.prefix AND x.candidate = la.candidate
-LEFT JOIN la y ON y.prefix = lb.prefix AND y.candidate = lb.candidate""")
+@register("compare_methods", _LISTS_SQL + """, u AS MATERIALIZED (
+  SELECT prefix, candidate, la.rank AS ra, lb.rank AS rb FROM la FULL OUTER JOIN lb USING (prefix, candidate))
+SELECT prefix, rank, max(a) AS candidate_a, max(b) AS candidate_b, max(a_in_b) AS a_in_b, max(b_in_a) AS b_in_a FROM (
+  SELECT prefix, ra AS rank, candidate AS a, NULL AS b, CAST(rb IS NOT NULL AS INT) AS a_in_b, 0 AS b_in_a FROM u WHERE ra IS NOT NULL
+  UNION ALL SELECT prefix, rb, NULL, candidate, 0, CAST(ra IS NOT NULL AS INT) FROM u WHERE rb IS NOT NULL) GROUP BY prefix, rank""")
 def q_compare_methods(spark, d):
     a, b = _lists(spark, d)
     return C.compare_methods(a, b)
@@ -241,8 +240,16 @@ def q_train_reranker(spark, d):
 
 @register("feature_importance")
 def q_feature_importance(spark, d):
-    _, _, model = _model(spark, d)
-    return TC.feature_importance(model, FT.FEATURE_COLUMNS)
+    _, prep, model = _model(spark, d)
+    return TC.feature_importance(model, FT.FEATURE_COLUMNS, rows=prep)
+
+
+@register("model_split_metrics")
+def q_model_split_metrics(spark, d):
+    """M9, M10 of the fitted model on its own training and validation rows."""
+    _, prep, model = _model(spark, d)
+    m = TC.split_metrics(model, prep)
+    return m.select("is_valid", "n_rows", "n_pos", *_r6(["auc", "accuracy", "precision", "recall", "f1"]))
 
 
 @register("rerank_topk")

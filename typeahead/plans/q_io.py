@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -105,16 +104,16 @@ def q_write_training_table(spark, d):
 
 @register("model_metadata")
 def q_model_metadata(spark, d):
+    """What is read back of a saved model's metadata and importance, one row per split."""
     from . import track_c as TC
-    from ..operators.evaluate import roc_auc
     from ..operators.features import FEATURE_COLUMNS
     from .q_features import _model
     _, prep, model = _model(spark, d)
-    scored = model.transform(prep).select("target", vector_to_array(F.col("probability"))[1].alias("score"))
-    auc = roc_auc(scored).first()["auc"]
     p = _scratch(spark, "model")
-    TC.save_model(model, p, FEATURE_COLUMNS, {"auc": auc})
-    m, meta = TC.load_model(p)
-    return spark.createDataFrame([(meta["model_type"], meta["n_features"], meta["n_trees"],
-                                   float(meta["metrics"]["auc"]))],
-                                 "model_type string, n_features int, n_trees int, auc double")
+    TC.save_model(model, p, FEATURE_COLUMNS, prep)
+    _, meta = TC.load_model(p)
+    n_csv = spark.read.option("header", True).csv(os.path.join(p, "feature_importance")).count()
+    rows = [(meta["model_type"], meta["n_features"], meta["best_iteration"], len(meta["training_date"]) == 19, n_csv, split,
+             m["n_rows"], m["auc"], m["accuracy"], m["f1"]) for split, m in sorted(meta["metrics"].items())]
+    return spark.createDataFrame(rows, "model_type string, n_features int, best_iteration int, dated boolean, n_importances int, "
+                                       "split string, n_rows long, auc double, accuracy double, f1 double")

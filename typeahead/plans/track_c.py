@@ -13,6 +13,7 @@ import json
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -25,6 +26,7 @@ from ..operators import dense as D
 from ..operators import features as FT
 from ..operators import lexical as L
 from ..operators.candidates import candidate_union, ensure_true_query, guard_empty_prefix
+from ..operators.evaluate import metrics_by
 from ..operators.topk import collect_ranked_list, topk_per_key
 from ..session import cut, reuse
 
@@ -103,12 +105,34 @@ def train_reranker(prepared: DataFrame, params: dict | None = None) -> PipelineM
     return Pipeline(stages=[gbt]).fit(prepared.withColumn("target", F.col("target").cast("double")))
 
 
-def feature_importance(model: PipelineModel, names: list[str], top: int = 20) -> DataFrame:
-    """Importance per feature, ranked (the model's own small vector)."""
+def scored_rows(model: PipelineModel, prepared: DataFrame) -> DataFrame:
+    """The prepared rows with the model's probability of label 1 as ``score``."""
+    out = model.transform(prepared)
+    return out.withColumn("score", F.round(vector_to_array("probability")[1], 6))
+
+
+def split_metrics(model: PipelineModel, prepared: DataFrame) -> DataFrame:
+    """M9 and M10 on the model's own training and validation rows, one row per ``is_valid``."""
+    return metrics_by(scored_rows(model, prepared).select("is_valid", "target", "weight", "score"), "is_valid",
+                      weight="weight")
+
+
+def feature_importance(model: PipelineModel, names: list[str], top: int = 20,
+                       rows: DataFrame | None = None) -> DataFrame:
+    """Importance per feature, ranked (the model's own small vector), and where the
+    prepared ``rows`` are given, the feature's mean over them and over either label."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
+    columns = [(n, float(v)) for n, v in zip(names, imp)]
+    schema = "feature string, importance double"
+    if rows is not None:
+        by = [("mean", F.lit(True)), ("mean_positive", F.col("target") == 1), ("mean_negative", F.col("target") != 1)]
+        got = rows.agg(*[F.round(F.sum(F.when(c, F.col(n) * F.col("weight"))) / F.sum(F.when(c, F.col("weight"))), 6)
+                         .alias(f"{n} {k}") for n in names for k, c in by]).first()  # one row
+        columns = [(n, v, *(got[f"{n} {k}"] for k, _ in by)) for n, v in columns]
+        schema += "".join(f", {k} double" for k, _ in by)
+    df = spark.createDataFrame(columns, schema)
     return df.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
@@ -145,14 +169,19 @@ def explain_prefix(model: PipelineModel, prefixes: DataFrame, pool: DataFrame, f
     return topk_per_key(score(model, rows, names), "prefix", "relevance_score", k)
 
 
-def save_model(model: PipelineModel, path: str, names: list[str], metrics: dict) -> None:
-    """Model directory plus a metadata JSON (type, features, metrics)."""
-    model.write().overwrite().save(os.path.join(path, "model"))
+def save_model(model: PipelineModel, path: str, names: list[str], prepared: DataFrame) -> None:
+    """Model directory, importance as CSV, and a metadata JSON: type, features, number of
+    trees kept, training date and the metrics of both splits."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    gbt = model.stages[-1]
+    model.write().overwrite().save(os.path.join(path, "model"))
+    feature_importance(model, names, len(names), prepared).coalesce(1).write.mode("overwrite") \
+        .option("header", True).csv(os.path.join(path, "feature_importance"))
+    metrics = {"valid" if r["is_valid"] else "train": {k: r[k] for k in r.asDict() if k != "is_valid"}
+               for r in split_metrics(model, prepared).collect()}  # two rows
     meta = {"model_type": "GBTClassifier", "n_features": len(names), "feature_names": names,
-            "n_trees": int(gbt.getNumTrees), "metrics": metrics}
+            "best_iteration": int(model.stages[-1].getNumTrees),
+            "training_date": datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"), "metrics": metrics}
     spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(
         os.path.join(path, "metadata"))
 
