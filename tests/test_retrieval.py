@@ -3,7 +3,6 @@
 import math
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from typeahead.operators import fuzzy as FZ
 from typeahead.operators import lexical as L
