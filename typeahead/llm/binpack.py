@@ -44,6 +44,7 @@ def cut_pieces(batches, tokenizer_path: str, end_id: int, seq_len: int):
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                              ["id", "start", "length", "ids_crc32", "doc_tokens"])
+    enc.rest()
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ DOCS_PER_LANG = 150   # documented bound of the training sample
 LEXICON = 300         # words per language
 SEGMENT, SEQUENCE = 40, 320
 CACHE_WORDS = 250_000     # emissions kept per worker; a full cache is emptied
-SLICE_WORDS = 600_000     # words per forward-backward run, about
+SLICE_WORDS = 400_000     # words per forward-backward run, about
 
 
 def words_of(text: str | None) -> list[str]:
@@ -234,6 +234,7 @@ def label_batches(batches, model: dict):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
             ["id", "held_out", "lang_pred", "score"])
+    _hashes.clear()  # the worker may go on to other work
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
@@ -273,6 +274,7 @@ def accept_batches(batches, model: dict, text_at: int, min_score: float):
             continue
         names, scores = label_documents(texts, model)
         yield batch.filter(pa.array([n != "und" and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+    _hashes.clear()
 
 
 def drop_unidentified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id",

@@ -47,6 +47,10 @@ class PieceEncoder:
         self.ids = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
+    def rest(self) -> None:
+        """At a task's end: a worker that goes on to other work keeps one generation at most."""
+        self.old = ({}, None, None)
+
     def _learn(self, pieces: list[str]) -> None:
         """Append the ids of new pieces, in order, to the cache arrays."""
         known, ids, ends = self.old
