@@ -129,3 +129,19 @@ def test_bm25_pruned_topk_equals_exhaustive(spark, sf):
         a = {tuple(r) for r in L.bm25_topk(idx, test, k, prune=True).select(*cols).collect()}
         b = {tuple(r) for r in L.bm25_topk(idx, test, k, prune=False).select(*cols).collect()}
         assert a == b
+
+
+def test_bm25_topk_meets_every_shard(spark, monkeypatch):
+    """Several shards and dealt prefixes give the exhaustive lists, ties by text; the grams of
+    a text are cut once, not once more for each gram in a pushed filter."""
+    monkeypatch.setattr(L, "SHARD_QUERIES", 4)
+    monkeypatch.setattr(L, "FEW_PREFIXES", 2)
+    pool = spark.createDataFrame([(q,) for q in [*POOL, "dress a", "dress b", "dress c", ""]], "query string")
+    asked = spark.createDataFrame([("dress",), ("lap",), ("sho",), (None,), ("",), ("zzz",), ("dress",), ("women",)],
+                                  "prefix string")
+    plan = L.bm25_postings(pool)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    idx = L.bm25_index(pool)
+    rows = [{tuple(r) for r in L.bm25_topk(idx, asked, 3, prune=p).select("prefix", "candidate", "bm25_score", "rank")
+             .collect()} for p in (True, False)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {"dress", "lap", "sho", "women"}
