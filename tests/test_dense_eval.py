@@ -93,3 +93,43 @@ def test_topk_plan_uses_window_group_limit(spark):
     plan = topk_per_key(df, "prefix", "score", 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_groups_ship_cells_not_probes(spark, monkeypatch):
+    """Without structure in the vectors every cell is met: by several groups, each probe once,
+    and the lists stay exact with ties and repeated rows."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, [float(v) for v in x[4]])]
+    df = spark.createDataFrame(rows, "probe_id long, vec array<double>")
+    y = np.array([v for _, v in rows])
+    cost = ((y[:, None] - y[None]) ** 2).sum(-1).round(6)
+    visits = []
+    monkeypatch.setattr(D, "cut", lambda d, kept=D.cut: (
+        visits.append(n.count()) if (n := kept(d)).columns == ["pk", "vec", "cell"] else None, n)[1])
+    got = D.knn_l2(df, df.withColumnRenamed("probe_id", "item_id"), 12, cell_rows=20, group_rows=70, chunk=16).collect()
+    want = {(i, j) for i in range(301) for j in sorted(range(301), key=lambda j: (cost[i, j], j))[:12]}
+    assert {(r.probe_id, r.item_id) for r in got} == want and len(got) == 12 * 301
+    assert sum(visits) <= 3 * 301  # a row of a probe per cell only in the first round
+
+
+def test_lsh_join_scores_buckets_without_their_pairs(spark):
+    """The join gives what all pairs of its buckets give, and joins no pairs; equal rows count once."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.round(rng.normal(size=(60, 4)) * 0.3, 2))]
+    p = spark.createDataFrame(rows + rows[:3], "probe_id long, vec array<double>")
+    q = spark.createDataFrame(rows + rows[5:9], "item_id long, vec array<double>")
+    out = D.knn_lsh_join(p, q, 7)
+    got = sorted(tuple(r) for r in out.collect())
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from typeahead.operators.topk import topk_per_key
+    a, b = (df.withColumn("features", array_to_vector("vec")) for df in (p, q))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=4,
+                                        seed=42).fit(b)
+    pairs = model.approxSimilarityJoin(a, b, float("inf"), distCol="d").select(
+        "datasetA.probe_id", "datasetB.item_id", F.round(F.col("d") * F.col("d"), 6).alias("score"))
+    assert got == sorted(tuple(r) for r in topk_per_key(pairs, "probe_id", "score", 7, tie="item_id",
+                                                        ascending=True).collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
