@@ -76,3 +76,37 @@ def test_quantiles_at_every_size(spark, n):
     probs = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p999": 0.999, "p100": 1.0}
     got = quantiles(df, "v", probs, ["g"]).first()
     assert got.g is None and all(abs(got[k] - np.quantile(x, p)) < 1e-9 for k, p in probs.items())
+
+
+def test_negatives_draw_without_a_window_over_repetitions(spark):
+    """Repeated pairs draw row by row, as a plain loop does; counts agree with the rows."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from typeahead.operators import features as FT
+
+    def number(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+    cands = [("a", f"q{i}") for i in range(30)] + [("b", f"q{i}") for i in range(4)] + [("c", "q1"), ("a", None), ("d", "q1"), ("d", "q1")]
+    counted = [("a", "q3", 40), ("a", "q99", 3), ("b", "q2", 5), ("b", None, 2), ("c", "q1", 4), ("c", "q2", 2),
+               ("d", "q1", 3), ("none", "q1", 2), (None, "q1", 2)]
+    want = []
+    for prefix, query, n in counted:
+        own = sorted((c for p, c in cands if p == prefix),
+                     key=lambda c: (hashlib.md5("|".join(["42", prefix] + [c] * (c is not None)).encode()).hexdigest(), c or ""))
+        for occ in range(n if own and query else 0):
+            key = f"42|{prefix}|{query}|{occ}"
+            start = number(key + "|start") % len(own)
+            run = [own[(start + j) % len(own)] for j in range(min(11, len(own)))]
+            want += [(prefix, query, occ, c) for c in [c for c in run if c not in (None, query)][:5 + number(key) % 6]]
+    pairs = spark.createDataFrame(counted, "prefix string, query string, n long")
+    c = spark.createDataFrame(cands, "prefix string, candidate string")
+    got = FT.sample_negatives(pairs, c, repeats="n")
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    met, drew = FT.count_negatives(pairs, c, "n")
+    by_rows = got.groupBy("prefix", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(met.collect()) == sorted(by_rows.collect())
+    assert sorted(map(tuple, drew.collect())) == sorted({r[:2] for r in want})
