@@ -110,3 +110,24 @@ def test_negatives_draw_without_a_window_over_repetitions(spark):
     by_rows = got.groupBy("prefix", "candidate").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(met.collect()) == sorted(by_rows.collect())
     assert sorted(map(tuple, drew.collect())) == sorted({r[:2] for r in want})
+
+
+def test_scored_pool_sums_the_features_once(spark):
+    """The maximum and the rows come from one evaluation of the feature table."""
+    from typeahead.operators.popularity import scored_pool
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [("Red Lamp", 3, 2.0, 1, 4), ("blue lamp", 1, 1.0, 0, 2), ("x", 0, 0.0, 0, 0)]
+    features = spark.createDataFrame(rows, "query string, orders long, volume double, catalog_clicks long, catalog_views long")
+    features = features.withColumn("query", seen("query"))
+    pool = spark.createDataFrame([("Red Lamp",), ("blue lamp",), ("none",)], "query string")
+    got = {r["query"]: (r.popularity_score, r.popularity_norm) for r in scored_pool(pool, features).collect()}
+    assert got == {"Red Lamp": (46.0, 1.0), "blue lamp": (17.0, 17 / 46), "none": (0.0, 0.0)}
+    assert read.value == 3
+    release()
