@@ -161,3 +161,16 @@ def test_cut_tables_are_parquet_in_the_shared_folder(spark):
     assert files and all(session.ensure_checkpoint_dir(spark).split("://")[-1].split(":")[-1] in f for f in files)
     assert "ReadSchema: struct<b:bigint>" in df.select("b")._jdf.queryExecution().executedPlan().toString()
     assert os.path.basename(files[0]).endswith(".parquet")
+
+
+def test_texts_are_encoded_by_many_tasks(spark):
+    from typeahead.plans import track_c as TC
+    texts = spark.range(3 * TC.ENCODE_ROWS).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("query"))
+
+    def encode(df, col, out):
+        return df.withColumn(out, F.array(F.spark_partition_id().cast("float")))
+    pemb = TC.prefix_embeddings(texts.withColumnRenamed("query", "prefix"), encode)
+    cemb = TC.build_retrieval(texts.distinct(), encode).pool_emb
+    for emb, vec in ((pemb, "pvec"), (cemb, "cvec")):
+        assert emb.count() == 3 * TC.ENCODE_ROWS
+        assert emb.select(vec).distinct().count() == 3
