@@ -562,3 +562,27 @@ def test_pages_frame(spark):
     got = {r.page_id: r for r in tag_paths.extract_main_text(frame).collect()}
     assert got[1].n_chars == len(got[1].text) and got[None].text == ""
     assert tag_paths.extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_kneser_ney_arrays_take_few_bytes():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for bits, n in ((1, 3), (13, 5000), (21, 200_000), (32, 20_000)):
+        ids = rng.integers(0, 1 << bits, (2, n), dtype=np.uint64)
+        pairs = np.unique(ids[0] << np.uint64(32) | ids[1])
+        hashed = kneser_ney.mix_ids(pairs, bits)
+        order = np.argsort(hashed)
+        data = kneser_ney.as_keys(hashed[order], 2 * bits)
+        hit, at = kneser_ney.Keys(data, 2 * bits).find(hashed)
+        assert len(set(hashed.tolist())) == len(pairs) and hit.tolist() == list(range(len(pairs)))
+        assert (pairs[order][at] == pairs).all()
+        other = np.setdiff1d(rng.integers(0, 1 << bits, 1000, dtype=np.uint64), hashed)
+        assert not len(kneser_ney.Keys(data, 2 * bits).find(other)[0])
+        low = kneser_ney.Planes(kneser_ney.as_planes(ids[1], bits), bits)
+        assert (low[np.arange(n)] == ids[1]).all() and len(low) == n
+        if bits == 21:
+            assert len(data) < 5 * n and len(kneser_ney.as_planes(ids[1], bits)) == 3 * n
+    n = rng.integers(1, 300, 10_000) ** 2
+    counts = kneser_ney.as_counts(np.where(n < 60_000, 1 + n % 254, n))
+    assert (kneser_ney.Counts(counts)[np.arange(10_000)] == np.where(n < 60_000, 1 + n % 254, n)).all()
+    assert len(counts) < 10_000 * 5 and not len(kneser_ney.Keys(kneser_ney.as_keys(hashed[:0], 64), 64).find(hashed)[0])

@@ -14,7 +14,9 @@ Tokens are white-space words, A-Z lower-cased, and an end token per text.  Train
 * per id: one over the context's count, its back-off weight, and the Kneser-Ney unigram.
 
 All arrays are written to the folder that executors share; workers map them into memory and
-look their texts' distinct tokens and n-grams up by binary search.  Discounts are the usual
+look their texts' distinct tokens and n-grams up by binary search.  N-gram hashes have twice the
+bits of an id; a shard's leading bits are kept as offsets and the rest in as few bytes as hold
+it, counts in a byte each with the few larger ones beside them.  Discounts are the usual
 three per order, from counts of counts.  A text's first token is predicted from the start
 alone, the second from the start and the first.
 
@@ -68,6 +70,104 @@ def map_array(folder: str, name: str, dtype) -> np.ndarray:
     return np.frombuffer(fs.open_input_file(path).readall(), dtype)
 
 
+def plane_types(bits: int) -> list[np.dtype]:
+    """The types that hold numbers of ``bits`` bits, low part first, in as few bytes as they need."""
+    out = []
+    while bits > 0:
+        out.append(np.dtype(np.uint32 if bits > 24 else np.uint16 if bits > 8 else np.uint8))
+        bits -= 8 * out[-1].itemsize
+    return out or [np.dtype(np.uint8)]
+
+
+def as_planes(values: np.ndarray, bits: int) -> np.ndarray:
+    """The bytes of numbers below ``2 ** bits``, part by part."""
+    out, shift = [], 0
+    for kind in plane_types(bits):
+        out.append((values.astype(np.uint64) >> np.uint64(shift)).astype(kind).view(np.uint8))
+        shift += 8 * kind.itemsize
+    return np.concatenate(out)
+
+
+class Planes:
+    """Numbers written by ``as_planes``."""
+
+    def __init__(self, data: np.ndarray, bits: int):
+        kinds, self.planes, at = plane_types(bits), [], 0
+        n = len(data) // sum(k.itemsize for k in kinds)
+        for kind in kinds:
+            self.planes.append(data[at:at + n * kind.itemsize].view(kind))
+            at += n * kind.itemsize
+
+    def __len__(self) -> int:
+        return len(self.planes[0])
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out, shift = self.planes[0][at].astype(np.uint64), 8 * self.planes[0].itemsize
+        for plane in self.planes[1:]:
+            out |= plane[at].astype(np.uint64) << np.uint64(shift)
+            shift += 8 * plane.itemsize
+        return out
+
+
+LARGE = 255  # counts from here on lie beside the bytes
+
+
+def as_counts(n: np.ndarray) -> np.ndarray:
+    large = np.flatnonzero(n >= LARGE).astype(np.int64)
+    head = np.concatenate([[len(large)], large, n[large]]).astype(np.int64)
+    return np.concatenate([head.view(np.uint8), np.minimum(n, LARGE).astype(np.uint8)])
+
+
+class Counts:
+    """Counts written by ``as_counts``."""
+
+    def __init__(self, data: np.ndarray):
+        n = int(data[:8].view(np.int64)[0])
+        self.places, self.large = data[8:8 + 16 * n].view(np.int64).reshape(2, n)
+        self.small = data[8 + 16 * n:]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        large = np.flatnonzero(out == LARGE)
+        out[large] = self.large[np.searchsorted(self.places, at[large])]
+        return out
+
+
+def as_keys(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """Sorted numbers below ``2 ** bits``: where those of each leading part begin, and the rest."""
+    lead = min(bits, (len(hashed) // 8).bit_length())
+    rest = np.uint64(bits - lead)
+    top = hashed >> rest if lead else np.zeros(len(hashed), np.uint64)
+    begin = np.searchsorted(top, np.arange((1 << lead) + 1, dtype=np.uint64))
+    head = np.array([lead], np.int64).view(np.uint8)
+    return np.concatenate([head, begin.astype(np.uint32).view(np.uint8),
+                           as_planes(hashed & np.uint64((1 << int(rest)) - 1), int(rest))])
+
+
+class Keys:
+    """Sorted numbers written by ``as_keys``."""
+
+    def __init__(self, data: np.ndarray, bits: int):
+        self.lead = int(data[:8].view(np.int64)[0])
+        end = 8 + 4 * ((1 << self.lead) + 1)
+        self.begin, self.rest = data[8:end].view(np.uint32), np.uint64(bits - self.lead)
+        self.low = Planes(data[end:], int(self.rest))
+
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashed`` are there, and the places of those."""
+        top = (hashed >> self.rest).astype(np.int64) if self.lead else np.zeros(len(hashed), np.int64)
+        wanted = hashed & np.uint64((1 << int(self.rest)) - 1)
+        left, end = self.begin[top].astype(np.int64), self.begin[top + 1].astype(np.int64)
+        right, last = end, len(self.low) - 1
+        for _ in range(int((end - left).max(initial=0)).bit_length()):  # all ranges halve in step
+            middle = (left + right) // 2
+            less = (left < right) & (self.low[np.minimum(middle, last)] < wanted)
+            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+        hit = np.flatnonzero(left < end)
+        hit = hit[self.low[left[hit]] == wanted[hit]]
+        return hit, left[hit]
+
+
 # --- tokens and keys ------------------------------------------------------------------------
 
 def token_slices(texts: list[str | None]):
@@ -95,6 +195,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def mix_ids(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A one-to-one hash of two ids of ``bits`` bits, in the halves of a number, to twice as many bits."""
+    half, mask = np.uint64(bits), np.uint64((1 << 2 * bits) - 1)
+    x = keys >> np.uint64(32) << half | keys & LOW
+    x = x ^ (x >> half)
+    x = x * np.uint64(0x9E3779B97F4A7C15) & mask
+    x = x ^ (x >> np.uint64(bits - bits // 10))
+    x = x * np.uint64(0xBF58476D1CE4E5B9) & mask
+    return x ^ (x >> half)
+
+
+def id_bits(size: int) -> int:
+    """Bits of an id, with those of what is no token of a vocabulary."""
+    return (size + 2).bit_length()
+
+
 def pair_shards(keys: np.ndarray, bits: int, heavy: np.ndarray) -> np.ndarray:
     context = keys >> np.uint64(32)
     return top_bits(np.where(np.isin(context, heavy), mix(keys), mix(context)), bits)
@@ -255,15 +371,10 @@ def count_triples(batches, spec: dict):
                      packed(n[lo:hi])], ["shard", "contexts", "tokens", "n"])
 
 
-def smallest(values: np.ndarray) -> np.ndarray:
-    """As 1, 2 or 4 bytes each, whatever the largest needs."""
-    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
-
-
 def fold_triples(rows: pa.Table, spec: dict) -> pa.Table:
     """Add up one shard's trigrams, write its arrays, and return its bigrams by the number of
     ids before them, and the counts of counts (shard -1)."""
-    vocab, folder = opened(Vocabulary, spec), spec["folder"]
+    vocab, folder, bits = opened(Vocabulary, spec), spec["folder"], id_bits(spec["V"])
     shard = rows.column("shard")[0].as_py()
     context = np.concatenate([np.cumsum(g, dtype=np.uint64) for g in unpacked(rows.column("contexts"), np.uint64)])
     token = np.concatenate(unpacked(rows.column("tokens"), np.uint32)).astype(np.uint64)
@@ -286,21 +397,23 @@ def fold_triples(rows: pa.Table, spec: dict) -> pa.Table:
     degree = np.diff(starts, append=len(context))
     # a context with one id after it needs no more than that; most are such
     one = starts[degree == 1]
-    one = one[np.argsort(mix(context[one]))]
-    for name, values in (("ones", mix(context[one])), ("onetokens", token[one].astype(np.uint32)),
-                         ("onecounts", smallest(n[one]))):
+    hashed = mix_ids(context[one], bits)
+    order = np.argsort(hashed)
+    one = one[order]
+    for name, values in (("ones", as_keys(hashed[order], 2 * bits)), ("onetokens", as_planes(token[one], bits)),
+                         ("onecounts", as_counts(n[one]))):
         write_array(folder, f"{name}-{shard:05d}", values)
     many = np.repeat(degree > 1, degree)
     sums = [np.add.reduceat(x.astype(np.int64), starts)[degree > 1] if len(starts) else np.empty(0, np.int64)
             for x in (n == 1, n == 2, n)]
-    starts, token, n = starts[degree > 1], token[many].astype(np.uint32), n[many]
+    starts, token, n = starts[degree > 1], token[many], n[many]
     begin = np.cumsum(degree[degree > 1]) - degree[degree > 1]
-    hashed = mix(context[starts])
+    hashed = mix_ids(context[starts], bits)
     order = np.argsort(hashed)
-    for name, values in (("many", hashed[order]), ("manybegin", begin[order].astype(np.uint32)),
-                         ("manyids", degree[degree > 1][order].astype(np.uint32)), ("manytokens", token),
-                         ("manycounts", smallest(n)),
-                         *((f"many{c}", smallest(x[order])) for c, x in zip(("n1", "n2", "total"), sums))):
+    for name, values in (("many", as_keys(hashed[order], 2 * bits)), ("manybegin", begin[order].astype(np.uint32)),
+                         ("manyids", as_counts(degree[degree > 1][order])), ("manytokens", as_planes(token, bits)),
+                         ("manycounts", as_counts(n)),
+                         *((f"many{c}", as_counts(x[order])) for c, x in zip(("n1", "n2", "total"), sums))):
         write_array(folder, f"{name}-{shard:05d}", values)
     return pa.Table.from_batches(out)
 
@@ -308,7 +421,7 @@ def fold_triples(rows: pa.Table, spec: dict) -> pa.Table:
 STATS = "kind int, id long, n1 long, n2 long, n3 long, total long"
 
 
-def fold_pairs(rows: pa.Table, folder: str) -> pa.Table:
+def fold_pairs(rows: pa.Table, spec: dict) -> pa.Table:
     """Add up one shard's bigrams, write its arrays, and return what its contexts (kind 0),
     tokens (1), counts of counts (2) and those of trigrams (3) contribute."""
     shard = rows.column("shard")[0].as_py()
@@ -323,10 +436,11 @@ def fold_pairs(rows: pa.Table, folder: str) -> pa.Table:
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
     keys, n = keys[first], np.add.reduceat(n, first)
-    hashed = mix(keys)
+    bits = id_bits(spec["V"])
+    hashed = mix_ids(keys, bits)
     order = np.argsort(hashed)
-    write_array(folder, f"pairs-{shard:05d}", hashed[order])
-    write_array(folder, f"paircounts-{shard:05d}", n[order].astype(np.float32))
+    write_array(spec["folder"], f"pairs-{shard:05d}", as_keys(hashed[order], 2 * bits))
+    write_array(spec["folder"], f"paircounts-{shard:05d}", as_counts(n[order]))
 
     context, token = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
     starts = np.flatnonzero(np.diff(context, prepend=context[0] ^ np.uint64(1)))
@@ -403,7 +517,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> dict:
         return spec
 
     def fold(rows: pa.Table) -> pa.Table:
-        return fold_pairs(rows, folder)
+        return fold_pairs(rows, spec)
 
     def fold_three(rows: pa.Table) -> pa.Table:
         return fold_triples(rows, spec)
@@ -441,20 +555,15 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> dict:
 
 # --- scoring --------------------------------------------------------------------------------
 
-# name, the array of as many or None, the type or None where it is the smallest that fits
-TRIPLES = (("ones", None, np.uint64), ("onetokens", None, np.uint32), ("onecounts", "ones", None),
-           ("many", None, np.uint64), ("manybegin", None, np.uint32), ("manyids", None, np.uint32),
-           ("manytokens", None, np.uint32), ("manycounts", "manytokens", None),
-           *((f"many{c}", "many", None) for c in ("n1", "n2", "total")))
+TRIPLES = ("ones", "onetokens", "onecounts", "many", "manybegin", "manyids", "manytokens", "manycounts", "manyn1",
+           "manyn2", "manytotal")
 
 
-def map_sized(folder: str, name: str, as_many: str | None, shard: int, dtype) -> np.ndarray:
-    if dtype is None:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        items = fs.get_file_info(f"{root}/{as_many}-{shard:05d}").size // (8 if as_many in ("ones", "many") else 4)
-        size = fs.get_file_info(f"{root}/{name}").size
-        dtype = np.dtype(f"u{size // items}") if items else np.uint8
-    return map_array(folder, name, dtype)
+def map_packed(folder: str, name: str, shard: int, bits: int):
+    data = map_array(folder, f"{name}-{shard:05d}", np.uint32 if name == "manybegin" else np.uint8)
+    if name in ("ones", "many", "pairs"):
+        return Keys(data, 2 * bits)
+    return data if name == "manybegin" else Planes(data, bits) if name.endswith("tokens") else Counts(data)
 
 
 class Model(Vocabulary):
@@ -465,10 +574,10 @@ class Model(Vocabulary):
         folder = spec["folder"]
         fs, root = pafs.FileSystem.from_uri(folder)
         there = {f.base_name for f in fs.get_file_info(pafs.FileSelector(root))} if spec["N"] else set()
-        self.pairs = {s: (map_array(folder, f"pairs-{s:05d}", np.uint64),
-                          map_array(folder, f"paircounts-{s:05d}", np.float32))
+        self.id_bits = id_bits(self.size)
+        self.pairs = {s: tuple(map_packed(folder, name, s, self.id_bits) for name in ("pairs", "paircounts"))
                       for s in shards if f"pairs-{s:05d}" in there}
-        self.triples = {s: {name: map_sized(folder, f"{name}-{s:05d}", keys, s, kind) for name, keys, kind in TRIPLES}
+        self.triples = {s: {name: map_packed(folder, name, s, self.id_bits) for name in TRIPLES}
                         for s in shards if f"ones-{s:05d}" in there}
         n_blocks = -(-(self.size + 2) // ID_BLOCK)
         self.by_id = {name: [map_array(folder, f"{name}-{b:05d}", np.float32) if f"{name}-{b:05d}" in there
@@ -486,15 +595,14 @@ class Model(Vocabulary):
         return out
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        shard, hashed = pair_shards(keys, self.spec["pair_bits"], self.heavy), mix(keys)
+        shard, hashed = pair_shards(keys, self.spec["pair_bits"], self.heavy), mix_ids(keys, self.id_bits)
         order = np.lexsort((hashed, shard))
         out, shard, hashed = np.zeros(len(keys)), shard[order], hashed[order]
         for s, (have, counts) in self.pairs.items():
             lo, hi = np.searchsorted(shard, [s, s + 1])
-            if lo < hi and len(have):
-                at = np.minimum(np.searchsorted(have, hashed[lo:hi]), len(have) - 1)
-                hit = have[at] == hashed[lo:hi]
-                out[order[lo:hi][hit]] = counts[at[hit]]
+            if lo < hi:
+                hit, at = have.find(hashed[lo:hi])
+                out[order[lo:hi][hit]] = counts[at]
         return out
 
     def probability(self, keys: np.ndarray) -> np.ndarray:
@@ -511,28 +619,24 @@ class Model(Vocabulary):
         second = context << np.uint64(32) | token
         keys, where = np.unique(second, return_inverse=True)
         lower = self.probability(keys)[where]
-        shard, hashed = self.triple_shards(context, token, self.spec["pair_bits"]), mix(context)
+        shard, hashed = self.triple_shards(context, token, self.spec["pair_bits"]), mix_ids(context, self.id_bits)
         order = np.lexsort((hashed, shard))
         cuts = shard[order]
         for s, have in self.triples.items():
             lo, hi = np.searchsorted(cuts, [s, s + 1])
-            at, places = order[lo:hi], have["ones"]
-            if len(at) and len(places):
-                found = np.minimum(np.searchsorted(places, hashed[at]), len(places) - 1)
-                hit = places[found] == hashed[at]
-                found, to = found[hit], at[hit]
-                total = have["onecounts"][found].astype(np.int64)
+            at = order[lo:hi]
+            hit, found = have["ones"].find(hashed[at])
+            if len(hit):
+                to = at[hit]
+                total = have["onecounts"][found]
                 cut = d[np.minimum(total, 3)]
                 same = have["onetokens"][found] == token[to]
                 lower[to] = same * (total - cut) / total + cut / total * lower[to]
-            places = have["many"]
-            if len(at) and len(places):
-                found = np.minimum(np.searchsorted(places, hashed[at]), len(places) - 1)
-                hit = places[found] == hashed[at]
-                found, to = found[hit], at[hit]
-                begin, ids = have["manybegin"][found].astype(np.int64), have["manyids"][found].astype(np.int64)
-                n1, n2 = (have[c][found].astype(np.int64) for c in ("manyn1", "manyn2"))
-                total = have["manytotal"][found].astype(np.int64)
+            hit, found = have["many"].find(hashed[at])
+            if len(hit):
+                to = at[hit]
+                begin, ids = have["manybegin"][found].astype(np.int64), have["manyids"][found]
+                n1, n2, total = (have[c][found] for c in ("manyn1", "manyn2", "manytotal"))
                 left, right, wanted = begin.copy(), begin + ids, token[to]
                 for _ in range(int(ids.max(initial=0)).bit_length()):  # all ranges halve in step
                     middle = (left + right) // 2
