@@ -66,7 +66,7 @@ def map_array(folder: str, name: str, dtype) -> np.ndarray:
     if fs.get_file_info(path).size == 0:
         return np.empty(0, dtype)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, mode="r")
+        return np.asarray(np.memmap(path, dtype, mode="r"))  # still mapped; plain arrays index faster
     return np.frombuffer(fs.open_input_file(path).readall(), dtype)
 
 
@@ -245,10 +245,32 @@ class Vocabulary:
         return ids, counts
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        distinct, where = np.unique(hashes, return_inverse=True)
-        ids, counts = self.ids(distinct)
+        where, ids, counts = self.ranked(hashes)
         return ids[where], counts[where]
 
+    def ranked(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's rank among the distinct ones, and their ids, rising but for unknown tokens, and counts."""
+        distinct, where = np.unique(hashes, return_inverse=True)
+        return where, *self.ids(distinct)
+
+    def distinct(self, rank: np.ndarray, ids: np.ndarray, lengths: np.ndarray):
+        """An order of the tokens by context and token, where in it each distinct trigram begins, and
+        these trigrams' contexts and tokens; ``ids`` are those of the ranks."""
+        n = len(ids)
+        bits = np.uint64(id_bits(n))
+        context, token = self.contexts(rank, lengths, n), rank.astype(np.uint64)
+        if 3 * int(bits) <= 64:  # one number a trigram sorts faster
+            key = ((context >> np.uint64(32) << bits | context & LOW) << bits) | token
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        else:
+            order, first = distinct_triples(context, token)
+        at = order[first]
+        of = np.append(ids, [self.size, self.size + 1, self.size + 2]).astype(np.uint64)
+        context, token = context[at], of[rank[at]]
+        return order, first, of[context >> np.uint64(32)] << np.uint64(32) | of[context & LOW], token
+
     def keys(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         context = np.empty_like(ids)
         context[1:] = ids[:-1]
@@ -256,14 +278,14 @@ class Vocabulary:
         return context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
 
-    def contexts(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The two ids before each; before a text's first there is no first (``size + 2``)."""
+    def contexts(self, ids: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+        """The two ids before each, of a vocabulary of ``size``; before a text's first there is no first (``size + 2``)."""
         first, second = np.empty_like(ids), np.empty_like(ids)
         second[1:], first[2:] = ids[:-1], ids[:-2]
         starts = np.cumsum(lengths) - lengths
-        second[starts] = self.size + 1
-        first[(starts + 1)[lengths > 1]] = self.size + 1
-        first[starts] = self.size + 2
+        second[starts] = size + 1
+        first[(starts + 1)[lengths > 1]] = size + 1
+        first[starts] = size + 2
         return first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
 
     def triple_shards(self, context: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
@@ -357,12 +379,9 @@ def count_triples(batches, spec: dict):
     vocab = opened(Vocabulary, spec)
     for batch in batches:
         for _, hashes, lengths in token_slices(batch.column(0).to_pylist()):
-            token = vocab.of(hashes)[0]
-            context = vocab.contexts(token, lengths)
-            token = token.astype(np.uint64)
-            order, first = distinct_triples(context, token)
-            n = np.diff(first, append=len(order)).astype(np.uint32)
-            context, token = context[order][first], token[order][first]
+            rank, ids, _ = vocab.ranked(hashes)
+            _, first, context, token = vocab.distinct(rank, ids, lengths)
+            n = np.diff(first, append=len(hashes)).astype(np.uint32)
             order, parts = by_shard(vocab.triple_shards(context, token, spec["pair_bits"]))
             context, token, n = context[order], token[order].astype(np.uint32), n[order]
             for shard, lo, hi in parts:
@@ -609,7 +628,7 @@ class Model(Vocabulary):
         """Each bigram's probability."""
         context, token = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         count = self.pair_counts(keys)
-        cut = np.select([count == 0, count == 1, count == 2], [0.0, *self.spec["D"][:2]], self.spec["D"][2])
+        cut = np.array((0.0, *self.spec["D"]))[np.minimum(count, 3).astype(np.int64)]
         return (count - cut) * self.values("inverse", context) \
             + self.values("backoff", context) * self.values("unigram", token)
 
@@ -648,16 +667,14 @@ class Model(Vocabulary):
                 lower[to] = (count - d[np.minimum(count, 3)]) / total + back * lower[to]
         return lower
 
-    def scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability."""
+    def scores(self, rank: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability; ``ids`` are those of the tokens' ranks."""
         if self.spec["order"] == 2:
-            keys, where = np.unique(self.keys(ids, lengths), return_inverse=True)
+            keys, where = np.unique(self.keys(ids[rank], lengths), return_inverse=True)
             return np.log10(self.probability(keys))[where]
-        context, token = self.contexts(ids, lengths), ids.astype(np.uint64)
-        order, first = distinct_triples(context, token)
-        distinct = self.trigram_probability(context[order][first], token[order][first])
-        out = np.empty(len(ids))
-        out[order] = np.repeat(np.log10(distinct), np.diff(first, append=len(ids)))
+        order, first, context, token = self.distinct(rank, ids, lengths)
+        out = np.empty(len(rank))
+        out[order] = np.repeat(np.log10(self.trigram_probability(context, token)), np.diff(first, append=len(rank)))
         return out
 
 
@@ -670,9 +687,10 @@ def score_batches(batches, spec: dict):
     names = [f.split()[0] for f in SCORES.split(", ")]
     for batch in batches:
         for first, hashes, lengths in token_slices(batch.column(2).to_pylist()):
-            ids, counts = model.of(hashes)
+            rank, ids, counts = model.ranked(hashes)
+            counts = counts[rank]
             starts = np.cumsum(lengths) - lengths
-            score = np.add.reduceat(model.scores(ids, lengths), starts)
+            score = np.add.reduceat(model.scores(rank, ids, lengths), starts)
             base = np.add.reduceat(np.log10((counts + 1) / (spec["N"] + spec["V"] + 1)), starts)
             known = np.add.reduceat((counts > 0).astype(np.int64), starts)
             rows = batch.slice(first, len(lengths))
