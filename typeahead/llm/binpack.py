@@ -20,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, table
+from .common import in_worker, stage, table
 from .queries import register
-from .tokens import encoder, slices
+from .tokens import drop_encoders, encoder, slices
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+@in_worker("tokens", drop_encoders)
 def cut_pieces(batches, tokenizer_path: str, end_id: int, seq_len: int):
     enc = encoder(tokenizer_path)
     for batch in batches:

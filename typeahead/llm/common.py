@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,6 +50,36 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, Callable[[], None]] = {}  # what drops the caches of a kind of work, in this worker
+
+
+def free_unused() -> None:
+    """Give memory that was freed back to the system: Arrow's and the C library's pools hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def in_worker(kind: str, drop_caches: Callable[[], None] | None = None):
+    """Decorates what a task runs over its batches.  Spark reuses Python workers: caches serve the
+    further tasks of their kind, go before a worker takes up another, and a worker that waits holds
+    no memory beside them."""
+    def deco(fn):
+        @wraps(fn)
+        def task(batches, *args, **kwargs):
+            for other in _kept.keys() - {kind}:
+                _kept.pop(other)()
+            if drop_caches:
+                _kept[kind] = drop_caches
+            try:
+                yield from fn(batches, *args, **kwargs)
+            finally:
+                free_unused()
+        return task
+    return deco
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, UPPER.lower())

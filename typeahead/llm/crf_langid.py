@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_remainder, table
+from .common import id_remainder, in_worker, table
 from .queries import register
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -205,8 +205,12 @@ def label_documents(texts: list[str | None], model: dict) -> tuple[list[str], li
         lengths = np.array([len(w) for w in words])
         emit = emissions(model, words)
         packed = Packed(lengths)
+        emit -= emit.max(axis=1, keepdims=True)
+        np.exp(emit, out=emit)
+        emit += np.float32(1e-30)
         psi = np.empty_like(emit)
-        psi[packed.at] = np.exp(emit - emit.max(axis=1, keepdims=True)) + np.float32(1e-30)
+        psi[packed.at] = emit
+        del emit
         post = packed.posteriors(psi, move, begin)[0][packed.at]
         mean = np.add.reduceat(post.astype(float), np.cumsum(lengths) - lengths) / lengths[:, None]
         for d, row in zip(docs, mean):
@@ -228,6 +232,12 @@ def label_documents(texts: list[str | None], model: dict) -> tuple[list[str], li
     return names, scores
 
 
+def drop_caches() -> None:
+    _hashes.clear()
+    _emissions.clear()
+
+
+@in_worker("langid", drop_caches)
 def label_batches(batches, model: dict):
     for batch in batches:
         names, scores = label_documents(batch.column(2).to_pylist(), model)
@@ -266,6 +276,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumnRenamed("id", id_col)
 
 
+@in_worker("langid", drop_caches)
 def accept_batches(batches, model: dict, text_at: int, min_score: float):
     for batch in batches:
         texts = batch.column(text_at).to_pylist()

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep_rows, stage, table, text_key
+from .common import in_worker, keep_rows, stage, table, text_key
 from .queries import register
 
 SAMPLE = 1 << 17     # fingerprints that fit the upper tree, at most (1 MiB)
@@ -56,6 +56,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+@in_worker("simhash")
 def fingerprint_batches(batches, shingle: int):
     for batch in batches:
         fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64,
@@ -134,6 +135,7 @@ def dense_leaves(sample: np.ndarray, total: int, shard: int, tree, max_bits: int
     return found
 
 
+@in_worker("simhash")
 def route(batches, tree, max_bits: int, dense: dict[int, int]):
     """A row per leaf that a fingerprint lives in or must visit; in a dense leaf, one per pair
     of blocks, so that any two of its rows meet and no task holds more than two blocks."""

@@ -114,6 +114,10 @@ def encoder(tokenizer_path: str) -> PieceEncoder:
     return _encoders[tokenizer_path]
 
 
+def drop_encoders() -> None:
+    _encoders.clear()
+
+
 def slices(texts: list[str | None], max_chars: int = 4_000_000):
     """Index ranges of ``texts`` of at most ``max_chars`` characters (one text at least)."""
     lo = size = 0
