@@ -133,3 +133,70 @@ def test_lsh_join_scores_buckets_without_their_pairs(spark):
                                                         ascending=True).collect())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def _lsh_pairs(probe_df, pool_df, k, bucket_length):
+    """The k best of the pairs that Spark ML's join gives."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from typeahead.operators.topk import topk_per_key
+    a, b = (df.withColumn("features", array_to_vector("vec")) for df in (probe_df, pool_df))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
+                                        numHashTables=4, seed=42).fit(b)
+    pairs = model.approxSimilarityJoin(a, b, float("inf"), distCol="d").select(
+        "datasetA.probe_id", "datasetB.item_id", F.round(F.col("d") * F.col("d"), 6).alias("score")).distinct()
+    return sorted(map(str, topk_per_key(pairs, "probe_id", "score", k, tie="item_id", ascending=True).collect()))
+
+
+def test_lsh_join_of_wide_and_narrow_buckets(spark):
+    """Wide buckets are met together, each pool row once and without a sort of pairs; narrow ones one by
+    one.  Both give what Spark's join gives: with ties, missing keys and repeated rows and keys."""
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i:03d}", [float(v) for v in r]) for i, r in enumerate(np.round(rng.normal(size=(150, 5)) * 0.3, 1))]
+    far = [("far", [40.0] * 5), ("off", [-3.0, 2.0, 0.0, 1.0, 0.0])]  # buckets of one row
+    items = rows + rows[5:9] + [("k003", rows[60][1]), (None, rows[8][1]), ("k200", rows[8][1]), ("k004", rows[70][1])] + far
+    again = [("k001", rows[50][1]), ("k001", rows[51][1]), (None, rows[3][1])]
+    pool = spark.createDataFrame(items, "item_id string, vec array<double>").repartition(3)
+    sizes = dict(group_rows=40, block_rows=32, chunk=16)
+    for length, asked, together in ((0.5, rows + rows[:3] + far, True), (0.5, rows + again, False), (0.05, rows + far, False),
+                                    (0.05, rows + again, False)):
+        probes = spark.createDataFrame(asked, "probe_id string, vec array<double>").repartition(3)
+        for k, kw in ((9, sizes), (9, {}), (1000, sizes)):
+            out = D.knn_lsh_join(probes, pool, k, bucket_length=length, **kw)
+            assert sorted(map(str, out.collect())) == _lsh_pairs(probes, pool, k, length)
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "MapInArrow" in plan and ("Window" not in plan and "Aggregate" not in plan) == together
+
+
+def test_lsh_stream_keeps_lists_by_score_and_key(monkeypatch):
+    """Pool rows stream past a group in blocks: the lists are whole whatever the blocks and however
+    many keys are kept, a key's equal scores count once, and rows without a bucket in common stay out."""
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    x, y = np.round(rng.normal(size=(37, 3)), 1), np.round(rng.normal(size=(400, 3)), 1)
+    bx, by = rng.integers(0, 3, (37, 2)), rng.integers(0, 3, (400, 2))
+    bx[5] = 9  # shares no bucket
+    by[:, 0] += 3  # so the first table's buckets differ, but for probe 6
+    bx[6] = [4, 7]
+    names = sorted([None] * 3 + [f"n{i // 3:04d}" for i in range(397)], key=lambda v: (v is not None, v))
+    cost = ((x[:, None] - y[None]) ** 2).sum(-1).round(6) + 0.0
+    shared = (bx[:, None] == by[None]).any(2)
+    def batch(group, probe, at):
+        n, (v, b) = len(at), ((x, bx) if probe else (y, by))
+        return pa.RecordBatch.from_pydict({
+            "group": pa.array([group] * n, pa.int32()), "probe": pa.array([probe] * n, pa.int32()),
+            "pk": pa.array(at if probe else [None] * n, pa.int64()),
+            "ik": pa.array([None] * n if probe else [names[i] for i in at], pa.string()),
+            "vec": pa.array([v[i].tolist() for i in at], pa.list_(pa.float64())),
+            "buckets": pa.array([b[i].tolist() for i in at], pa.list_(pa.int64()))})
+    for kept, k, block, size in ((1 << 20, 6, 64, 50), (-10_000, 6, 16, 7), (1 << 20, 200, 64, 400), (0, 1, 400, 400)):
+        monkeypatch.setattr(D, "KEPT_KEYS", kept)
+        stream = [batch(g, 1, at) for g, at in ((1, list(range(20))), (2, list(range(20, 37))))]
+        pools = [[batch(g, 0, list(range(a, min(400, a + size)))) for a in range(0, 400, size)] for g in (1, 2)]
+        got = [tuple(r.values()) for out in D._stream_pool(iter([stream[0], *pools[0], stream[1], *pools[1]]), k,
+                                                            ("group",), block, 8) for r in out.to_pylist()]
+        want = []
+        for i in range(37):
+            found = {(cost[i, j], names[j] is not None, names[j] or "") for j in range(400) if shared[i, j]}
+            want += [(i, n if is_name else None, c, r) for r, (c, is_name, n) in enumerate(sorted(found)[:k], 1)]
+        assert got == want
